@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import distinct, duplicates, frequent
+from termloom.llm import distinct, duplicates, frequent, truncation
 from termloom.util import table
 
 FREQUENT_SHARE = 0.005
@@ -41,7 +41,15 @@ def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.day_overlaps(_days(spark, sf_dir), F.col("day"), "subject")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p6_found, p6_collapsed, p7_distinct, p7_overlaps)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p6_found, p6_collapsed, p7_distinct, p7_overlaps, p10_found, p10_rates)}
 
 _PLAIN = r"lower(upper(regexp_replace({}, '[^\pL\pN\pM]', '', 'g')))"
 _FIELDS = r"""array_to_string(list_sort(list_distinct(list_filter(list_transform(
