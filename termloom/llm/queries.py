@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import distinct, duplicates, frequent, truncation
+from termloom.llm import distinct, duplicates, frequent, leaks, packing, truncation
 from termloom.util import table
 
 FREQUENT_SHARE = 0.005
@@ -41,6 +41,26 @@ def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.day_overlaps(_days(spark, sf_dir), F.col("day"), "subject")
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_fill(p8_packed(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
@@ -49,7 +69,13 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p6_found, p6_collapsed, p7_distinct, p7_overlaps, p10_found, p10_rates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_intervals, p6_found, p6_collapsed, p7_distinct, p7_overlaps, p8_packed, p8_fill, p9_found, p9_spans,
+        p9_cleaned, p10_found, p10_rates,
+    )
+}
 
 _PLAIN = r"lower(upper(regexp_replace({}, '[^\pL\pN\pM]', '', 'g')))"
 _FIELDS = r"""array_to_string(list_sort(list_distinct(list_filter(list_transform(
