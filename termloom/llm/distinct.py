@@ -89,31 +89,31 @@ def solve_counts(k: np.ndarray, c: np.ndarray, starts: np.ndarray, m: int, base:
     return np.exp((low + high) / 2) * m
 
 
-def _histogram_batches(m: int, base: float, out: pa.Schema, keys: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(keys)
-            flat = lists.flatten()
-            k, c = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
-            starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
-            sizes = solve_counts(k, c.astype(float), starts, m, base)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], pa.array(sizes)], schema=out)
-
-    return run
+def histograms(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Levels and their counts, set after set, and where each set starts."""
+    levels = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = np.diff(np.asarray(lists.offsets))
+    cells = np.repeat(np.arange(len(lengths)), lengths) << 16 | levels
+    cells, counts = np.unique(cells, return_counts=True)
+    return cells & 0xFFFF, counts.astype(float), np.searchsorted(cells, np.arange(len(lengths)) << 16)
 
 
 def estimates(registers: DataFrame, keys: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
     """(keys, n_distinct): the maximum-likelihood size of every group's set."""
-    levels = registers.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"))
-    # a histogram has at most as many entries as there are levels, about 44 / ln(base)
-    lists = levels.groupBy(*keys).agg(F.collect_list(F.struct("_k", "_c")).alias("_h"))
+    # a list has at most m levels
+    lists = registers.groupBy(*keys).agg(F.collect_list("_k").alias("_h"))
     fields = [f for f in lists.schema.fields if f.name != "_h"]
     out = T.StructType([*fields, T.StructField("n_distinct", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    run = _histogram_batches(m, base, to_arrow_schema(out), len(fields))
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = solve_counts(*histograms(batch.column(len(fields))), m, base)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(sizes)], schema=schema)
+
     return lists.select(*[f.name for f in fields], "_h").mapInArrow(run, out)
 
 
@@ -131,12 +131,13 @@ def all_combinations(
     of 95 percent; ``rel_error`` states the standard error. An empty table gives no rows.
     """
     finest = sketch(df, keys, element, m, base)
-    sets = [s for n in range(len(keys), -1, -1) for s in combinations(keys, n)]
+    error = F.lit(relative_error(m, base)).alias("rel_error")
+    sized = estimates(finest, keys, m, base).select(F.lit("+".join(keys)).alias("level"), *keys, "n_distinct", error)
+    sets = [s for n in range(len(keys) - 1, -1, -1) for s in combinations(keys, n)]
     merged = (
         finest.groupingSets([[*s, "_reg"] for s in sets], *keys, "_reg")
         .agg(F.max("_k").alias("_k"), F.grouping_id().alias("_gid"))
     )
-    sized = estimates(merged, ["_gid", *keys], m, base)
     # grouping_id has a bit per grouping column, the first highest; _reg is never grouped away
     names = {
         sum(1 << (len(keys) - i) for i, k in enumerate(keys) if k not in s): "+".join(s) or "all" for s in sets
@@ -144,9 +145,8 @@ def all_combinations(
     label = F.lit(None).cast("string")
     for gid, name in names.items():
         label = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(label)
-    return sized.select(
-        label.alias("level"), *keys, "n_distinct", F.lit(relative_error(m, base)).alias("rel_error")
-    )
+    coarser = estimates(merged, ["_gid", *keys], m, base)
+    return sized.unionByName(coarser.select(label.alias("level"), *keys, "n_distinct", error))
 
 
 def joint_sizes(
