@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import distinct, duplicates, frequent, leaks, packing, truncation
+from termloom.llm import distinct, duplicates, encoding, frequent, leaks, packing, truncation
 from termloom.util import table
 
 FREQUENT_SHARE = 0.005
@@ -19,6 +19,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_intervals(spark, sf_dir).select("field", "value")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(table(spark, sf_dir, "nodes"))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.judged(table(spark, sf_dir, "nodes")).where("garbled").drop("garbled")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.repeats(table(spark, sf_dir, "descriptions"))
 
@@ -72,7 +80,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_intervals, p6_found, p6_collapsed, p7_distinct, p7_overlaps, p8_packed, p8_fill, p9_found, p9_spans,
+        p2_found, p2_intervals, p3_found, p3_restored, p6_found, p6_collapsed, p7_distinct, p7_overlaps, p8_packed, p8_fill, p9_found, p9_spans,
         p9_cleaned, p10_found, p10_rates,
     )
 }
