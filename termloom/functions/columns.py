@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from termloom.schema import STATUS_MESSAGES, XSD
 
-#: Components of a reference (RFC 3986, appendix B), with a checked scheme.
-URI_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(#[\s\S]*)?$"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 NUMBER = r"^\s*[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 
@@ -25,19 +25,37 @@ def uri_has_scheme(uri: Column) -> Column:
     return F.coalesce(uri.rlike(SCHEME), F.lit(False))
 
 
-def uri_part(uri: Column, part: str) -> Column:
-    """``scheme``, ``authority``, ``path``, ``query`` or ``fragment``; null if absent, the path never."""
-    index = ("scheme", "authority", "path", "query", "fragment").index(part) + 1
-    text = F.regexp_extract(uri, URI_PARTS, index)
-    if part == "path":
-        return text
-    start = {"scheme": SCHEME, "authority": r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "query": r"^[^?#]*\?", "fragment": "#"}
-    return F.when(uri.rlike(start[part]), text)
+#: A reference in five pieces with their delimiters, so that absent and empty ones differ.
+_PIECES = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
+
+
+def _pieces(uri: Column) -> Column:
+    """Array of the five pieces in one pass; control characters do not occur in references."""
+    return F.split(F.regexp_replace(uri, _PIECES, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01", 5)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def uri_parse(uri: Column) -> Column:
-    """Struct of the components."""
-    return F.struct(*[uri_part(uri, p).alias(p) for p in ("scheme", "authority", "path", "query", "fragment")])
+    """Struct of the components; null ones are absent, the path never is."""
+
+    def parts(p: Column) -> Column:
+        cut = lambda i, n: F.when(p[i] != "", F.substr(p[i], F.lit(n)))
+        scheme = F.when(p[0] != "", F.substr(p[0], F.lit(1), F.length(p[0]) - 1))
+        return F.struct(
+            scheme.alias("scheme"), cut(1, 3).alias("authority"), p[2].alias("path"), cut(3, 2).alias("query"),
+            cut(4, 1).alias("fragment"),
+        )
+
+    return F.when(uri.isNotNull(), _let(_pieces(uri), parts))
+
+
+def uri_part(uri: Column, part: str) -> Column:
+    """``scheme``, ``authority``, ``path``, ``query`` or ``fragment``."""
+    return uri_parse(uri)[part]
 
 
 def uri_serialise(parts: Column) -> Column:
@@ -60,29 +78,40 @@ def uri_resolve(uri: Column, base: Column) -> Column:
 
     Null for a null reference; unchanged against a base that is null or has no scheme.
     """
-    r, b = uri_parse(uri), uri_parse(base)
-    path = r["path"]
-    # leading ./ and ../ segments, with a slash before them or not
-    dots = F.regexp_extract(path, r"^(?:(?:\.\.?(?:/|$))|(?:/\.\.?(?=/)))*", 0)
-    rest = F.substr(path, F.length(dots) + 1)
-    ups = F.size(F.regexp_extract_all(dots, F.lit(r"(\.\.)"), 1))
-    folder = F.regexp_extract(b["path"], r"^(.*/)[^/]*$", 1)
-    segments = F.split(folder, "/")  # "", a, b, ""
-    keep = F.greatest(F.size(segments) - 1 - ups, F.least(F.lit(1), F.size(segments) - 1))
-    climbed = F.when(folder == "", F.lit("")).otherwise(
-        F.concat(F.array_join(F.slice(segments, F.lit(1), keep), "/"), F.lit("/"))
-    )
-    merged = F.when(path.startswith("/"), rest).otherwise(F.concat(climbed, rest))
-    empty = path == ""
-    own = F.struct(
-        b["scheme"].alias("scheme"),
-        F.when(r["authority"] != "", r["authority"]).otherwise(b["authority"]).alias("authority"),
-        F.when(r["authority"] != "", path).when(empty, b["path"]).otherwise(merged).alias("path"),
-        F.when(empty & (F.coalesce(r["authority"], F.lit("")) == "") & (F.coalesce(r["query"], F.lit("")) == ""), b["query"])
-        .otherwise(r["query"]).alias("query"),
-        r["fragment"].alias("fragment"),
-    )
-    return F.when(uri.isNull() | uri_has_scheme(uri) | ~uri_has_scheme(base), uri).otherwise(uri_serialise(own))
+
+    def climbed(path: Column, of: Column) -> Column:
+        """Path with leading dot segments, from the base path ``of``."""
+        dots = F.regexp_extract(path, r"^(?:(?:\.\.?(?:/|$))|(?:/\.\.?(?=/)))*", 0)
+
+        def from_dots(d: Column) -> Column:
+            rest = F.substr(path, F.length(d) + 1)
+            ups = F.size(F.regexp_extract_all(d, F.lit(r"(\.\.)"), 1))
+            segments = F.split(F.regexp_extract(of, r"^(.*/)[^/]*$", 1), "/")  # "", a, b, ""
+            keep = F.greatest(F.size(segments) - 1 - ups, F.least(F.lit(1), F.size(segments) - 1))
+            folder = F.concat(F.array_join(F.slice(segments, F.lit(1), keep), "/"), F.lit("/"))
+            return F.when(path.startswith("/"), rest).when(F.contains(of, F.lit("/")), F.concat(folder, rest)).otherwise(rest)
+
+        return _let(dots, from_dots)
+
+    def full(x: Column) -> Column:
+        r, b = x["r"], x["b"]
+        path = r[2]
+        plain = F.concat(F.regexp_extract(b[2], r"^(.*/)?", 0), path)
+        slash = F.when((r[1] != "//") & (r[1] != "") & (path != "") & ~path.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+        merged = F.when(path.rlike(r"^/?\.\.?(?:/|$)"), climbed(path, b[2])).when(path.startswith("/"), path).otherwise(plain)
+        start = F.when(
+            (b[1] != "") & (merged != "") & ~merged.startswith("/") & ~b[1].endswith("/"), F.lit("/")
+        ).otherwise(F.lit(""))
+        return (
+            F.when(r[1].isin("", "//"), F.when(path == "", F.concat(
+                b[0], b[1], F.when((b[1] != "") & (b[2] != "") & ~b[2].startswith("/"), F.lit("/")).otherwise(F.lit("")), b[2],
+                F.when(F.length(r[3]) > 1, r[3]).otherwise(b[3]), r[4],
+            )).otherwise(F.concat(b[0], b[1], start, merged, r[3], r[4])))
+            .otherwise(F.concat(b[0], r[1], slash, path, r[3], r[4]))
+        )
+
+    both = F.struct(_pieces(uri).alias("r"), _pieces(base).alias("b"))
+    return F.when(uri.isNull() | uri_has_scheme(uri) | ~uri_has_scheme(base), uri).otherwise(_let(both, full))
 
 
 def uri_under(uri: Column, folder: str) -> Column:
@@ -173,17 +202,27 @@ def escape_text(text: Column, ascii_only: bool = False, turtle: bool = False) ->
     done = text
     for raw, shown in [*_SIMPLE, *([("\b", "\\b"), ("\f", "\\f")] if turtle else [])]:
         done = F.replace(done, F.lit(raw), F.lit(shown))
-    odd = r"[\x00-\x1f\x7f]" if not ascii_only else r"[^ -~]"
+    # the mark that parts odd characters from the rest is itself one of them
+    done = F.replace(done, F.lit(_MARK), F.lit("\\u0001"))
+    odd = "[^ -~]" if ascii_only else r"[\x00-\x1f\x7f]"
+    return F.when(done.rlike(odd), _numbered(done, odd)).otherwise(done)
+
+
+_MARK = "\x01"
+
+
+def _numbered(text: Column, odd: str) -> Column:
+    """A text without marks, its odd characters as numeric escapes."""
 
     def one(c: Column) -> Column:
         code = F.ascii(c)
         number = F.when(code <= 0xFFFF, F.concat(F.lit("\\u"), _hex(code, 4))).otherwise(
             F.concat(F.lit("\\U"), _hex(code, 8))
         )
-        return F.when(c.rlike(odd), number).otherwise(c)
+        return F.when(c.rlike(f"^{odd}$"), number).otherwise(c)
 
-    letters = F.regexp_extract_all(done, F.lit(r"([\s\S])"), 1)
-    return F.when(done.rlike(odd), F.array_join(F.transform(letters, one), "")).otherwise(done)
+    parts = F.split(F.regexp_replace(text, f"({odd})", f"{_MARK}$1{_MARK}"), _MARK)
+    return F.array_join(F.transform(parts, one), "")
 
 
 def unescape_text(body: Column) -> Column:
@@ -192,23 +231,24 @@ def unescape_text(body: Column) -> Column:
     # split at backslashes, an escaped backslash kept whole by a stand-in
     pieces = F.split(F.replace(marked, F.lit("\\\\"), F.lit("\\s")), r"\\")
 
-    def one(x: Column) -> Column:
+    def one(x: Column, i: Column) -> Column:
         kind, rest = F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(2))
-        named = F.when(kind == "s", "\\").when(kind == "n", "\n").when(kind == "r", "\r").when(kind == "t", "\t")
-        named = named.when(kind == "b", "\b").when(kind == "f", "\f").otherwise(kind)
         wide = F.decode(F.unhex(F.substr(rest, F.lit(1), F.lit(8))), "UTF-32")
-        return F.when(kind == "U", F.concat(wide, F.substr(rest, F.lit(9)))).otherwise(F.concat(named, rest))
+        return (
+            F.when(i == 0, x)
+            .when(kind == "s", F.concat(F.lit("\\"), rest))
+            .when(kind == "U", F.concat(wide, F.substr(rest, F.lit(9))))
+            .otherwise(F.concat(F.translate(kind, "nrtbf", "\n\r\t\b\f"), rest))
+        )
 
-    tail = F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), "")
-    return F.when(F.contains(body, F.lit("\\")), F.concat(pieces[0], tail)).otherwise(body)
+    return F.when(F.contains(body, F.lit("\\")), F.array_join(F.transform(pieces, one), "")).otherwise(body)
 
 
 def escape_iri(iri: Column) -> Column:
     """Body of an IRI with numeric escapes for the ASCII characters it must not hold."""
     odd = r"[\x00-\x20<>\"{}|^`\\\x7f]"
-    letters = F.regexp_extract_all(iri, F.lit(r"([\s\S])"), 1)
-    escaped = F.transform(letters, lambda c: F.when(c.rlike(odd), F.concat(F.lit("\\u"), _hex(F.ascii(c), 4))).otherwise(c))
-    return F.when(iri.rlike(odd), F.array_join(escaped, "")).otherwise(iri)
+    clear = F.replace(iri, F.lit(_MARK), F.lit(""))
+    return F.when(iri.rlike(odd), _numbered(clear, odd)).otherwise(iri)
 
 
 # Terms

@@ -17,6 +17,7 @@ from termloom.functions.columns import escape_iri, escape_text, unescape_text, v
 from termloom.functions.terms import CHARS, CHARS_U
 from termloom.schema import LITERAL
 from termloom.sources.parser import parse
+from termloom.util import free_name
 
 
 def _java(chars: str) -> str:
@@ -36,7 +37,9 @@ LINE = (
     rf"^{_WS}(?:{_IRI}|{_BLANK}){_WS}{_IRI}{_WS}(?:{_IRI}|{_BLANK}|{_TEXT}(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
     rf"{_WS}(?:{_IRI}|{_BLANK})?{_WS}\.{_WS}(?:#.*)?$"
 )
-_GROUPS = ("s_iri", "s_blank", "p_iri", "o_iri", "o_blank", "o_text", "dt_iri", "lang", "g_iri", "g_blank")
+#: The groups of a line in the order they are taken apart; the text, which may hold the mark, is last.
+_ORDER = ("s_iri", "s_blank", "p_iri", "o_iri", "o_blank", "dt_iri", "lang", "g_iri", "g_blank", "o_text")
+_JOINED = "\x01".join(f"${i}" for i in (1, 2, 3, 4, 5, 7, 8, 9, 10, 6))
 NOTHING = r"^[ \t\r]*(?:#.*)?$"
 #: Escapes that stand for no character, which the parser judges.
 _NO_CHARACTER = r"\\u[dD][89a-fA-F][0-9A-Fa-f]{2}|\\U(?:0000[dD][89a-fA-F]|00(?:[2-9A-Fa-f]|1[1-9A-Fa-f])|0[1-9A-Fa-f]|[1-9A-Fa-f])"
@@ -109,23 +112,26 @@ def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, co
     Null lines, blank ones and comments give nothing. Graphs in N-Triples are errors.
     """
     keys = [c for c in lines.columns if c != column]
-    line = F.col(column)
+    line, groups = F.col(column), free_name(lines, "_groups")
     escapes = F.length(line) - F.length(F.replace(line, F.lit("\\"), F.lit("")))
-    fast = F.when(escapes > MOST_ESCAPES, False).otherwise(line.rlike(LINE) & ~line.rlike(_NO_CHARACTER))
+    found = F.when((escapes > MOST_ESCAPES) | line.rlike(_NO_CHARACTER), line).otherwise(F.regexp_replace(line, LINE, _JOINED))
+    split = lines.select(*keys, column, found.alias(groups))  # a line of the grammar is changed, any other is not
+    fast = F.col(groups) != line
     if syntax == "ntriples":
-        fast = fast & (F.regexp_extract(line, LINE, 9) == "") & (F.regexp_extract(line, LINE, 10) == "")
-    part = {n: F.regexp_extract(line, LINE, i + 1) for i, n in enumerate(_GROUPS)}
+        fast = fast & F.col(groups).rlike(r"^(?:[^\x01]*\x01){7}\x01\x01")
+    part = {n: F.col("_p")[i] for i, n in enumerate(_ORDER)}
     kind = lambda n: F.when(part[f"{n}_iri"] != "", "URI").when(part[f"{n}_blank"] != "", "BLANK")
     iri = lambda n: unescape_text(part[f"{n}_iri"])
     value = lambda n: F.when(part[f"{n}_iri"] != "", iri(n)).when(part[f"{n}_blank"] != "", part[f"{n}_blank"])
     o_type = F.coalesce(kind("o"), F.lit(LITERAL))
     text = unescape_text(part["o_text"])
     bare = F.regexp_replace(part["o_text"], r"\\.", "")
-    flags = F.when(F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r")), 1).otherwise(0) + F.when(
-        F.contains(bare, F.lit("'")), 2
-    ).otherwise(0)
+    lines_in = part["o_text"].rlike(r"\\[nr]|\\u000[AaDd]|\\U0000000[AaDd]") & part["o_text"].rlike(
+        r"(?:^|[^\\])(?:\\\\)*\\(?:[nr]|u000[AaDd]|U0000000[AaDd])"
+    )
+    flags = F.when(lines_in, 1).otherwise(0) + F.when(F.contains(bare, F.lit("'")), 2).otherwise(0)
     none = F.lit(None).cast("string")
-    good = lines.where(fast).select(
+    good = split.where(fast).select(*keys, F.split(groups, "\x01", len(_ORDER)).alias("_p")).select(
         *keys,
         F.lit("statement").alias("kind"),
         kind("g").alias("g_type"), value("g").alias("g"),
@@ -140,7 +146,7 @@ def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, co
     )
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rest = lines.where(~fast & ~line.rlike(NOTHING)).select(*keys, column)
+    rest = split.where(~fast & ~line.rlike(NOTHING)).select(*keys, column)
     out = T.StructType([*[f for f in lines.schema.fields if f.name != column], *ROW.fields])
     schema, n = to_arrow_schema(out), len(keys)
     slow = rest.mapInArrow(lambda b: _slow(b, syntax, strict, n, schema), out)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +47,33 @@ def free_name(df: DataFrame, wanted: str) -> str:
 def text_or(column: str, default: str = "") -> F.Column:
     """The column with nulls as ``default``."""
     return F.coalesce(F.col(column), F.lit(default))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors of the session, once per session.
+
+    The package goes out as one archive, named by its contents, so that executors of a cluster need
+    no copy of the repository.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for folder, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    entry = zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(root)))
+                    with open(path, "rb") as source:
+                        archive.writestr(entry, source.read())
+    name = f"termloom-{hashlib.sha256(buffer.getvalue()).hexdigest()[:12]}.zip"
+    place = os.path.join(tempfile.mkdtemp(prefix="termloom-"), name)
+    with open(place, "wb") as out:
+        out.write(buffer.getvalue())
+    context.addPyFile(place)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
