@@ -87,9 +87,9 @@ def uri_resolve(uri: Column, base: Column) -> Column:
             rest = F.substr(path, F.length(d) + 1)
             ups = F.size(F.regexp_extract_all(d, F.lit(r"(\.\.)"), 1))
             segments = F.split(F.regexp_extract(of, r"^(.*/)[^/]*$", 1), "/")  # "", a, b, ""
-            keep = F.greatest(F.size(segments) - 1 - ups, F.least(F.lit(1), F.size(segments) - 1))
+            keep = F.greatest(F.size(segments) - 1 - ups, F.when(of.startswith("/"), 1).otherwise(0))
             folder = F.concat(F.array_join(F.slice(segments, F.lit(1), keep), "/"), F.lit("/"))
-            return F.when(path.startswith("/"), rest).when(F.contains(of, F.lit("/")), F.concat(folder, rest)).otherwise(rest)
+            return F.when(path.startswith("/") | (keep == 0), rest).otherwise(F.concat(folder, rest))
 
         return _let(dots, from_dots)
 
@@ -227,9 +227,9 @@ def _numbered(text: Column, odd: str) -> Column:
 
 def unescape_text(body: Column) -> Column:
     """Text of a literal's body without bad escapes, as the line grammars have it."""
-    marked = F.regexp_replace(body, r"\\u([0-9A-Fa-f]{4})", r"\\U0000$1")
-    # split at backslashes, an escaped backslash kept whole by a stand-in
-    pieces = F.split(F.replace(marked, F.lit("\\\\"), F.lit("\\s")), r"\\")
+    # an escaped backslash goes first, as a name of its own; then there is a piece for each escape
+    marked = F.replace(body, F.lit("\\\\"), F.lit("\\s"))
+    pieces = F.split(F.regexp_replace(marked, r"\\u([0-9A-Fa-f]{4})", r"\\U0000$1"), r"\\")
 
     def one(x: Column, i: Column) -> Column:
         kind, rest = F.substr(x, F.lit(1), F.lit(1)), F.substr(x, F.lit(2))

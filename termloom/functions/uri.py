@@ -61,19 +61,12 @@ def _leading_dots(path: str) -> tuple[int, str]:
 
 
 def _directory(path: str, up: int) -> str:
-    """``path`` up to its last slash, or one further up for each level."""
-    if not path:
-        return ""
-    at = len(path) - 1
-    while True:
-        if path[at] == "/":
-            if up == 0:
-                break
-            up -= 1
-        at -= 1
-        if at <= 0:
-            at = 0
-            break
+    """``path`` up to its last slash, or one further up for each level, at most to its start."""
+    at = len(path)
+    for _ in range(up + 1):
+        at = path.rfind("/", 0, at)
+        if at < 0:
+            return "/" if path.startswith("/") else ""
     return path[: at + 1]
 
 

@@ -70,8 +70,11 @@ def expand_statements(statements: DataFrame, prefixes: DataFrame, inputs: DataFr
             full = F.when(F.col(kind) == "URI", uri_resolve(F.col(value), F.col("_base"))).otherwise(full)
         new[value] = F.coalesce(full, F.col(value))
         new[kind] = F.when((F.col(kind) == "CURIE") & ~lost, F.lit("URI")).otherwise(F.col(kind))
-    out = [new[c].alias(c) if c in new else F.col(c) for c in statements.columns]
-    return rows.select(*out, missing.alias("undefined"))
+    # new terms get names of their own first: a name inside a lambda would mean the new column beside it
+    full = rows.select(*statements.columns, *[e.alias(f"_new_{c}") for c, e in new.items()], missing.alias("undefined"))
+    return full.select(
+        *[F.col(f"_new_{c}").alias(c) if c in new else F.col(c) for c in statements.columns], "undefined"
+    )
 
 
 def undefined_prefixes(statements: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -191,17 +191,26 @@ class Parser:
             elif self.text[:1] == "\udcef":
                 raise SyntaxFault("corrupt byte order mark", 0)
         while True:
-            self._space()
-            if self.text[self.pos : self.pos + 1] != "\0":
-                break
+            c = self._space()
+            if c != "\0":
+                return bool(c)
             self.pos += 1
             if self.syntax == "nquads":
                 raise SyntaxFault("bad subject", self.pos)
-        return self.pos < len(self.text)
 
     def _space(self) -> str:
-        """Skip blanks and comments; the character after them, empty at the end of a complete input."""
-        self.pos = _SPACE.match(self.text, self.pos).end()
+        """Skip blanks and comments; the character after them, empty at the end of the buffer.
+
+        A comment that may go on after the buffer is not skipped.
+        """
+        start = self.pos
+        self.pos = _SPACE.match(self.text, start).end()
+        if self.pos == len(self.text) and not self.final:
+            line = max(self.text.rfind("\n", start), self.text.rfind("\r", start), start - 1) + 1
+            comment = self.text.find("#", line)
+            if comment >= 0:
+                self.pos = comment
+                return ""
         return self.text[self.pos : self.pos + 1]
 
     def _peek(self) -> str:
