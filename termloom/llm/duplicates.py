@@ -26,7 +26,8 @@ KEYS = ("subject", "type", "object")
 
 def plain(text: Column) -> Column:
     """Letters and digits only, case folded; null as a text that no value has."""
-    return F.coalesce(F.lower(F.upper(F.regexp_replace(text, NOT_COUNTED, ""))), F.lit("\x00"))
+    # the optimizer would take lower(upper(x)) for lower(x), which keeps ß apart from SS
+    return F.coalesce(F.lower(F.regexp_replace(F.upper(text), NOT_COUNTED, "")), F.lit("\x00"))
 
 
 def field_set(text: Column) -> Column:

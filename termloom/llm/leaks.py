@@ -55,6 +55,7 @@ class Automaton:
     def _split(self, p: int, c: int, q: int) -> int:
         """A copy of q for the shorter words that reach it through p."""
         clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        self.items[clone] |= self.items[q]
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = clone
             p = self.link[p]
@@ -116,13 +117,12 @@ def passages(
     """Passages of an item in a document: (doc start, doc end, item start, item end, edits).
 
     ``seeds`` are (start, end) of words in the document all of whose ``seed``-word pieces stand in
-    the item. Around each seed's diagonals, runs of equal words are chained; a gap costs the larger
-    number of words skipped on either side.
+    the item. Each exact match in them is extended to both sides edit by edit.
     """
     where = defaultdict(list)
     for j, w in enumerate(item):
         where[w].append(j)
-    diagonals: dict[int, list[int]] = defaultdict(list)
+    found: list[tuple[int, int, int, int, int]] = []
     for start, end in seeds:
         at = start
         while at + seed <= end:
@@ -131,63 +131,68 @@ def passages(
                 n = 0
                 while at + n < end and j + n < len(item) and doc[at + n] == item[j + n]:
                     n += 1
-                if n >= seed:
-                    diagonals[at - j].append(at)
-                    far = max(far, at + n - seed + 1)
+                if n < seed:
+                    continue
+                far = max(far, at + n - seed + 1)
+                if not any(f[0] <= at and at + n <= f[1] and f[2] <= j and j + n <= f[3] for f in found):
+                    best = _around(doc, item, at, j, n, least, per_edit)
+                    if best:
+                        found.append(best)
             at = far
-    found: list[tuple[int, int, int, int, int]] = []
-    reach = len(item) // per_edit + 1
-    done: set[int] = set()
-    for diagonal, starts in diagonals.items():
-        for start in starts:
-            inside = any(f[0] <= start < f[1] and abs(diagonal - f[0] + f[2]) <= reach for f in found)
-            if inside or diagonal in done:
-                continue
-            done.add(diagonal)
-            low, high = max(0, diagonal - reach), min(len(doc), diagonal + len(item) + reach)
-            best = _chain(doc, item, low, high, where, reach, diagonal, least, per_edit)
-            if best:
-                found.append(best)
-    return found
-
-
-def _chain(doc, item, low, high, where, reach, diagonal, least, per_edit):  # noqa: ANN001, ANN202
-    """The longest passage near a diagonal between two document positions, or None."""
-    runs = []  # (doc start, item start, length)
-    open_runs: dict[int, list[int]] = {}
-    for i in range(low, high):
-        going: dict[int, list[int]] = {}
-        for j in where.get(doc[i], ()):
-            if abs(i - j - diagonal) <= reach:
-                run = open_runs.get(i - j)
-                if run is None:
-                    run = [i, j, 0]
-                    runs.append(run)
-                run[2] += 1
-                going[i - j] = run
-        open_runs = going
-    strong = {i - j for i, j, n in runs if n >= 3}
-    runs = sorted((i, j, n) for i, j, n in runs if i - j in strong)
+    return sorted(set(found))
+
+
+def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int, own: int, per_edit: int) -> list[tuple[int, int]]:
+    """Farthest (item words, doc words) to one side of an exact match, for 0, 1, 2 ... edits.
+
+    For each number of edits and each shift between the texts, the farthest place is kept. A place
+    counts if it ends in words alike. ``own`` is what the match has to offer: words beyond which the
+    edits so far could not be paid for, three times in a row, are left to the matches among them.
+    """
+    n, m = (len(item) - j, len(doc) - i) if step > 0 else (j + 1, i + 1)
+
+    def alike(y: int, x: int) -> int:
+        at = x
+        while y < m and x < n and doc[i + step * y] == item[j + step * x]:
+            y, x = y + 1, x + 1
+        return x - at
+
+    run = alike(0, 0)
+    places = {0: run}
+    best = (run, run)
+    reaches = [best]
+    poor = 0
+    while poor < 3 and places:
+        after: dict[int, int] = {}
+        for d, x in places.items():  # replaced, added in the document, left out
+            for shift, to in ((d, x + 1), (d + 1, x), (d - 1, x + 1)):
+                if to <= n and 0 <= to + shift <= m and to > after.get(shift, -1):
+                    after[shift] = to
+        places = {}
+        for d, x in after.items():
+            run = alike(x + d, x)
+            places[d] = x + run
+            if run and x + run > best[0]:
+                best = (x + run, x + run + d)
+        reaches.append(best)
+        gained = best[0] - per_edit * (len(reaches) - 1)
+        poor = 0 if own + gained >= 0 else poor + 1
+        if len(reaches) - 1 > n // per_edit + 3:
+            break
+    return reaches
+
+
+def _around(doc: Sequence[int], item: Sequence[int], i: int, j: int, n: int, least: int, per_edit: int) -> tuple[int, int, int, int, int] | None:
+    """The longest passage that holds the exact match of ``n`` words at ``i`` and ``j``, or None."""
+    right = _reaches(doc, item, i + n, j + n, 1, n + j, per_edit)
+    gain = max(r[0] - per_edit * e for e, r in enumerate(right))
+    left = _reaches(doc, item, i - 1, j - 1, -1, n + gain, per_edit) if i and j else [(0, 0)]
     best = None
-    for first in range(len(runs)):
-        cost = {first: 0}
-        for b in range(first, len(runs)):
-            if b not in cost:
-                i, j, n = runs[b]
-                ways = []
-                for a in cost:
-                    x, y, m = runs[a]
-                    over = max(0, x + m - i, y + m - j)  # words that both runs hold
-                    if over < n and (x < i and y < j):
-                        gap = max(i + over - x - m, j + over - y - m)
-                        ways.append(cost[a] + gap)
-                if not ways or min(ways) > reach:
-                    continue
-                cost[b] = min(ways)
-            i, j, n = runs[b]
-            covered = j + n - runs[first][1]
-            if covered >= least and cost[b] * per_edit <= covered and (best is None or covered > best[3] - best[2]):
-                best = (runs[first][0], i + n, runs[first][1], j + n, cost[b])
+    for e1, (x1, y1) in enumerate(left):
+        for e2, (x2, y2) in enumerate(right):
+            words = x1 + n + x2
+            if words >= least and (e1 + e2) * per_edit <= words and (best is None or words > best[3] - best[2]):
+                best = (i - y1, i + n + y2, j - x1, j + n + x2, e1 + e2)
     return best
 
 
@@ -298,8 +303,9 @@ def leak_spans(
     """Passages of test items in documents, in words of the document and of the item.
 
     One narrow pass over the documents for each group of items; an automaton is at most about
-    ``automaton_words`` words. ``edits`` counts replaced and added words. Per document, item and
-    seed region the longest passage is reported.
+    ``automaton_words`` words. A passage begins and ends with words alike; ``edits`` counts the words
+    replaced, added or left out between. Per document, item and seed region the longest passage is
+    reported.
 
     Defined results: null texts and ids of items have no passages; empty tables give no rows;
     repeated documents are reported each; an item shorter than ``least`` is never found; items

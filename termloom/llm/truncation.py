@@ -91,7 +91,7 @@ def ending(text: Column) -> Column:
     number = line.rlike(r"(^|[\s(])\d+[.)]?$") & ~figure
     listed = line.rlike(SIGN) & (before.rlike(SIGN) | (~before.rlike(r"[.。,;:，；：]$") & (F.length(before) <= 40)))
     return (
-        F.when(F.length(body) == 0, None)
+        F.when(text.isNull() | (F.length(body) == 0), None)
         .when(end_mark | figure, "complete")
         .when(cut_mark, "broken")
         .when(formula, "complete")
