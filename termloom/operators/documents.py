@@ -14,6 +14,7 @@ from termloom.schema import EVENT
 from termloom.sources.datasource import document_events
 from termloom.sources.env import Env
 from termloom.sources.events import batches, event_row, row_event
+from termloom.sources.parser import Parser
 from termloom.sources.writer import WriteFault, Writer
 
 
@@ -92,13 +93,61 @@ def _fold(parts: Iterator[pa.RecordBatch], syntax: str, options: dict[str, str])
             if len(writer.out) > 2000:
                 put()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _TEXT_ARROW)], schema=_TEXT_ARROW)
+            yield _pieces(rows)
             rows.clear()
     if writer is not None:
         writer.finish()
         put()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _TEXT_ARROW)], schema=_TEXT_ARROW)
+            yield _pieces(rows)
+
+
+def transcode_pieces(pieces: DataFrame, source: str, target: str, **options: object) -> DataFrame:
+    """(doc, piece, text): documents given in pieces, parsed and written again piece by piece.
+
+    ``pieces`` must be as :func:`document_text` gives them: a document in one partition, its pieces in
+    order. Nothing is shuffled or collected; a task holds one parser, one writer and one piece. Errors are
+    skipped as in lax reading.
+    """
+    chosen = Options(input=source, output=target, lax=True, **options)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, n, parser, writer = object(), 0, None, None
+
+        def advance(text: str, final: bool) -> str:
+            parser.feed(text, final)
+            while (events := parser.step()) is not None:
+                for e in events:
+                    if e[0] != "error":
+                        try:
+                            writer.event(e)
+                        except WriteFault:
+                            continue
+            if final:
+                writer.finish()
+            return writer.text()
+
+        for part in parts:
+            rows = []
+            for name, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                if name != doc:
+                    if parser is not None:
+                        rows.append((doc, n, advance("", True)))
+                    doc, n = name, 0
+                    parser = Parser(source, strict=False, blank_prefix=chosen.blank_prefix)
+                    writer = Writer(target, Env(chosen.base), chosen.style, chosen.root, chosen.chop_prefix)
+                rows.append((doc, n, advance(text or "", False)))
+                n += 1
+            if rows:
+                yield _pieces(rows)
+        if parser is not None:
+            yield _pieces([(doc, n, advance("", True))])
+
+    return pieces.select("doc", "piece", "text").mapInArrow(run, TEXT)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _TEXT_ARROW)], schema=_TEXT_ARROW)
 
 
 def convert_documents(inputs: DataFrame, output: str | None = None, **options: object) -> DataFrame:

@@ -386,3 +386,20 @@ def trig_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def turtle_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(spark, sf_dir, "turtle")
+
+
+@query()
+def turtle_reserialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statements written as Turtle, read again and written again, in one pass after one shuffle."""
+    return documents.transcode_pieces(_text(spark, sf_dir, "turtle"), "turtle", "turtle")
+
+
+@query("SELECT count(*) AS n FROM statements WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type <> 'CURIE' AND coalesce(o_datatype_type, 'URI') = 'URI'")
+def turtle_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that come back from Turtle text by way of N-Triples lines."""
+    rows = _t(spark, sf_dir, "statements").withColumnsRenamed({v: k for k, v in NAMES.items()})
+    flat = rows.withColumn("flags", F.lit(0)).withColumn("seq", F.col("stmt_id"))
+    written = documents.document_text(flat, "turtle", fulluris="true")
+    again = documents.transcode_pieces(written, "turtle", "ntriples")
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return again.agg(F.coalesce(F.sum(n_lines), F.lit(0)).cast("bigint").alias("n"))

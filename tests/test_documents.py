@@ -107,6 +107,17 @@ def test_incoherent_statements_are_refused():
         writer.end(("BLANK", "b"))
 
 
+def test_a_refused_statement_leaves_nothing_behind():
+    u = ("URI", "http://u")
+    writer = Writer("trig", Env(), Style(resolved=True))
+    writer.statement(0, None, u, u, ("LITERAL", "1"))
+    with pytest.raises(WriteFault):
+        writer.statement(0, u, ("URI", "http://v"), u, ("CURIE", "no:x"))
+    writer.statement(0, None, u, u, ("LITERAL", "2"))
+    writer.finish()
+    assert [e[5][1] for e in parse(writer.text(), "trig") if e[0] == "statement"] == ["1", "2"]
+
+
 def test_options_of_a_conversion():
     text, errors = convert("@prefix e: <http://e/> .\ne:a e:b _:x .", Options(blank_prefix="p-"))
     assert (text, errors) == ("<http://e/a> <http://e/b> _:p-x .\n", [])
