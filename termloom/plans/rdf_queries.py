@@ -326,17 +326,17 @@ WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND g IS NOT NULL"""
 
 def _lines(spark: SparkSession, sf_dir: str, **options: bool) -> DataFrame:
     rows = _t(spark, sf_dir, "statements").where(F.coalesce("o_datatype_type", F.lit("URI")) == "URI")
-    return rows.select("stmt_id", lines.statement_line(**options, **NAMES).alias("line")).where("line IS NOT NULL")
+    return rows.select("stmt_id", lines.statement_line(**options, **NAMES).alias("line"))
 
 
 @query(_LINE_SQL)
 def nq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)
+    return _lines(spark, sf_dir).where("line IS NOT NULL")
 
 
 @query(_LINE_SQL.replace("|| o || g ||", "|| o ||"))
 def nt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, quads=False)
+    return _lines(spark, sf_dir, quads=False).where("line IS NOT NULL")
 
 
 @query("""

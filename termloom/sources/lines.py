@@ -6,8 +6,6 @@ anywhere between lines. What the grammar does not cover goes to the parser, line
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +18,14 @@ from termloom.sources.parser import parse
 from termloom.util import free_name
 
 
+_ROWS_ARROW = pa.list_(
+    pa.struct([(n, pa.int32() if n in ("o_flags", "status", "col") else pa.string()) for n in (
+        "kind", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_flags", "o_datatype_type", "o_datatype",
+        "o_lang", "status", "col", "message",
+    )])
+)
+
+
 def _java(chars: str) -> str:
     """A character class with its wide characters as Java writes them."""
     return "".join(c if ord(c) < 0x80 else f"\\x{{{ord(c):X}}}" for c in chars)
@@ -82,25 +88,17 @@ def statement_line(quads: bool = True, ascii_only: bool = False, **names: str) -
     return F.when(valid_statement(c), F.concat(whole, F.lit(" .")))
 
 
-def _slow(batches: Iterator[pa.RecordBatch], syntax: str, strict: bool, n_keys: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Statements and errors of lines that the fast grammar does not cover."""
-    for batch in batches:
-        rows, own = [], []
-        for k, line in enumerate(batch.column(n_keys).to_pylist()):
-            for e in parse(line, syntax, strict):
-                if e[0] == "statement":
-                    g, s, p, o, dt = e[2], e[3], e[4], e[5], e[7]
-                    g, dt = g or (None, None), dt or (None, None)
-                    rows.append(("statement", *g, *s, *p, *o, e[6], *dt, e[8], None, None, None))
-                elif e[0] == "error":
-                    rows.append(("error", *[None] * 12, e[1], e[3], e[4]))
-                else:
-                    continue
-                own.append(k)
-        if rows:
-            keys = [batch.column(i).take(pa.array(own)) for i in range(n_keys)]
-            columns = [pa.array(c, schema.field(n_keys + i).type) for i, c in enumerate(zip(*rows))]
-            yield pa.RecordBatch.from_arrays([*keys, *columns], schema=schema)
+def _slow_rows(line: str, syntax: str, strict: bool) -> list[dict]:
+    """Statements and errors of a line that the fast grammar does not cover."""
+    rows = []
+    for e in parse(line, syntax, strict):
+        if e[0] == "statement":
+            none = (None, None)
+            terms = (*(e[2] or none), *e[3], *e[4], *e[5], e[6], *(e[7] or none), e[8])
+            rows.append(dict(zip(ROW.names, ("statement", *terms, None, None, None))))
+        elif e[0] == "error":
+            rows.append(dict(zip(ROW.names, ("error", *[None] * 12, e[1], e[3], e[4]))))
+    return rows
 
 
 def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, column: str = "value") -> DataFrame:
@@ -131,8 +129,7 @@ def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, co
     )
     flags = F.when(lines_in, 1).otherwise(0) + F.when(F.contains(bare, F.lit("'")), 2).otherwise(0)
     none = F.lit(None).cast("string")
-    good = split.where(fast).select(*keys, F.split(groups, "\x01", len(_ORDER)).alias("_p")).select(
-        *keys,
+    good = F.struct(
         F.lit("statement").alias("kind"),
         kind("g").alias("g_type"), value("g").alias("g"),
         kind("s").alias("s_type"), value("s").alias("s"),
@@ -144,13 +141,21 @@ def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, co
         F.when(part["lang"] != "", part["lang"]).alias("o_lang"),
         F.lit(None).cast("int").alias("status"), F.lit(None).cast("int").alias("col"), none.alias("message"),
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    rest = split.where(~fast & ~line.rlike(NOTHING)).select(*keys, column)
-    out = T.StructType([*[f for f in lines.schema.fields if f.name != column], *ROW.fields])
-    schema, n = to_arrow_schema(out), len(keys)
-    slow = rest.mapInArrow(lambda b: _slow(b, syntax, strict, n, schema), out)
-    return good.unionByName(slow)
+    @F.arrow_udf(T.ArrayType(ROW))
+    def slow(values: pa.Array) -> pa.Array:
+        rows = [None if v is None else _slow_rows(v, syntax, strict) for v in values.to_pylist()]
+        return pa.array(rows, _ROWS_ARROW)
+
+    # One pass over the lines and no filter, which would be pushed down and repeat the matching. The worker
+    # sees only the lines that the expressions leave over; the others are null to it.
+    left_over = ~fast & ~line.rlike(NOTHING)
+    judged = split.select(
+        *keys, F.when(fast, F.split(groups, "\x01", len(_ORDER))).alias("_p"), F.when(left_over, line).alias("_rest")
+    )
+    statement = F.when(F.col("_p").isNotNull(), F.array(good))
+    both = judged.select(*keys, F.explode(F.coalesce(slow("_rest"), statement)).alias("_row"))
+    return both.select(*keys, "_row.*")
 
 
 def scan(spark: SparkSession, path: str, syntax: str = "nquads", strict: bool = True) -> DataFrame:
