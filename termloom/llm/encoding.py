@@ -56,8 +56,10 @@ ROUNDS = 3
 ODDS = -2.0
 #: Word ends, which are no letters of any page.
 EDGE = 0xFFFF
-#: Words kept readings for in a task at most; beyond it the memory starts anew.
-MEMO = 200_000
+#: Words whose readings a task remembers at most; beyond it the memory starts anew.
+MEMO = 20_000
+#: Readings that lose more than this against the word as it stands are not looked at again.
+WORTH = -2.0
 BLANK = r"[ \t\n\r]+"
 
 
@@ -147,7 +149,8 @@ class Model:
             if text is not None and text != word:
                 if text not in scores:
                     scores[text] = self.score(text)
-                found[k] = scores[text] - own
+                if scores[text] - own > WORTH:
+                    found[k] = scores[text] - own
         return found
 
     def judge(self, text: str) -> tuple[int, float]:
