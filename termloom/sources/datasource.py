@@ -1,5 +1,8 @@
 """Spark data sources ``turtle``, ``trig``, ``ntriples`` and ``nquads``: read, write and stream events.
 
+``rdf`` reads files of all four, each by its extension. ``parse_rdf(text, syntax)`` is a table function
+over documents in a column, for use with LATERAL.
+
 Options for reading: ``path`` (file, folder or glob), ``base`` (default: the file's URI), ``mode``
 (``FAILFAST``: stop with an exception at the first error; ``PERMISSIVE``, the default: errors are rows;
 ``DROPMALFORMED``: leave them out; ``STRICT``: an error row, then nothing more of that file),
@@ -11,7 +14,6 @@ seq within a partition. One task reads one file block by block, in memory bounde
 from __future__ import annotations
 
 import glob
-import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,15 +29,17 @@ from pyspark.sql.datasource import (
     SimpleDataSourceStreamReader,
     WriterCommitMessage,
 )
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 
 from termloom.functions.uri import file_uri
 from termloom.plans.transcode import Options
-from termloom.schema import EVENT, EXTENSIONS
+from termloom.schema import EVENT, EXTENSIONS, syntax_of
 from termloom.sources.env import Env
 from termloom.sources.events import absolute, batches, event_row, row_event
 from termloom.sources.parser import Parser, parse_blocks
 from termloom.sources.writer import WriteFault, Writer
+from termloom.util import ship
 
 BLOCK = 1 << 18
 
@@ -49,7 +53,7 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
 
 
-def list_files(path: str, extensions: tuple[str, ...] = tuple(EXTENSIONS)) -> list[str]:
+def list_files(path: str) -> list[str]:
     """Files of a path, folder or glob in order of name."""
     path = local_path(path)
     if os.path.isdir(path):
@@ -58,7 +62,6 @@ def list_files(path: str, extensions: tuple[str, ...] = tuple(EXTENSIONS)) -> li
     found = sorted(glob.glob(path))
     if not found:
         raise FileNotFoundError(path)
-    del extensions
     return found
 
 
@@ -108,6 +111,13 @@ class _Reader(DataSourceReader):
         yield from batches(event_row(partition.path, n, e) for n, e in enumerate(events))
 
 
+class _AnyReader(_Reader):
+    """Files by their extension; TriG where it tells nothing."""
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        yield from _Reader(syntax_of(partition.path), self.options).read(partition)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     staged: str
@@ -275,12 +285,27 @@ class NQuadsSource(_Source):
     syntax = "nquads"
 
 
-def register(spark: SparkSession) -> None:
-    """Make the four formats known to a session."""
-    for source in (TurtleSource, TrigSource, NTriplesSource, NQuadsSource):
-        spark.dataSource.register(source)
+class AnySource(_Source):
+    """Files of any of the four syntaxes; for reading only."""
 
+    syntax = "rdf"
 
-def offset_text(offset: dict) -> str:
-    """An offset as it is logged."""
-    return json.dumps(offset, sort_keys=True)
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _AnyReader(self.syntax, self.options)
+
+
+class ParseText:
+    """Table function: the events of a document given as text. Null texts have none."""
+
+    def eval(self, text: str, syntax: str) -> Iterator[tuple]:
+        if text is not None:
+            for n, e in enumerate(parse_blocks(Parser(syntax or "trig", strict=False), [text])):
+                yield event_row(None, n, e)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the formats and the table function known to a session."""
+    ship(spark)
+    for source in (TurtleSource, TrigSource, NTriplesSource, NQuadsSource, AnySource):
+        spark.dataSource.register(source)
+    spark.udtf.register("parse_rdf", udtf(ParseText, returnType=EVENT))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from termloom.__main__ import main as command
 from termloom.operators import documents, env
 from termloom.plans.transcode import Options, convert
 from termloom.schema import BAD_ARG, BAD_CURIE, STATEMENT
@@ -184,6 +185,31 @@ def test_data_sources(spark, tmp_path):
     assert count(again) == count(one)
 
 
+def test_files_by_extension_and_text_in_columns(spark, tmp_path):
+    register(spark)
+    (tmp_path / "a.NT").write_text("<http://a> <http://b> <http://c> .\n")
+    (tmp_path / "b.trig").write_text("<http://g> { <http://a> <http://b> 1 . }")
+    read = spark.read.format("rdf").load(str(tmp_path)).where("kind = 'statement'")
+    assert sorted((os.path.basename(r["doc"]), r["g"]) for r in read.select("doc", "g").collect()) == [("a.NT", None), ("b.trig", "http://g")]
+    spark.createDataFrame([(1, "<a> <b> <c> , [] ."), (2, None), (3, "oops")], "id int, t string").createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT id, kind FROM texts, LATERAL parse_rdf(t, 'turtle')").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "statement"), (1, "statement"), (3, "error")]
+
+
+def test_command(tmp_path, capfdbinary):
+    path = tmp_path / "x.ttl"
+    path.write_text("@prefix e: <http://e/> .\n<y> e:p [ e:q 1 ] .\n")
+    base = path.as_uri().rsplit("/", 1)[0]
+    assert command([str(path)]) == 0
+    out, err = capfdbinary.readouterr()
+    assert out.decode() == f"<{base}/y> <http://e/p> _:b1 .\n_:b1 <http://e/q> \"1\"^^<http://www.w3.org/2001/XMLSchema#integer> .\n" and not err
+    assert command(["-o", "turtle", "-i", "turtle", "-s", "<http://a> <http://b> 'c'.", "http://h/"]) == 0
+    assert capfdbinary.readouterr().out.decode() == '<http://a>\n\t<http://b> "c" .\n'
+    assert command(["-s", "<http://a> nonsense"]) == 1 and b"error" in capfdbinary.readouterr().err
+    assert command(["-q", "-l", "-s", "<http://a> nonsense"]) == 0 and not capfdbinary.readouterr().err
+    assert command([str(tmp_path / "missing.ttl")]) == 2 and command(["http://remote.example/x.ttl"]) == 2
+
+
 def test_documents_in_rows(spark):
     rows = [("d1", "turtle", RICH.encode(), "http://h/", True), ("d2", "ntriples", b"nonsense\n<http://a> <http://b> <http://c> .", None, False), ("d3", None, None, None, None), ("d4", "turtle", b"nonsense .\n<http://a> <http://b> <http://c> .", None, True)]
     df = spark.createDataFrame(rows, "doc string, syntax string, bytes binary, base_uri string, strict boolean")
