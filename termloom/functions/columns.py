@@ -1,12 +1,15 @@
-"""Lexical functions as Column expressions that stay in the JVM."""
+"""Lexical functions as Column expressions; all but the last group stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from termloom.functions import terms as T
+from termloom.functions import uri as U
 from termloom.schema import STATUS_MESSAGES, XSD
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -303,3 +306,42 @@ def valid_statement(row: dict[str, Column] | None = None) -> Column:
         resource(c["s_type"], c["s"]) & resource(c["p_type"], c["p"]) & c["o_type"].isNotNull() & c["o"].isNotNull()
         & ~(c["o_datatype"].isNotNull() & c["o_lang"].isNotNull()) & ~F.coalesce(clash, F.lit(False))
     )
+
+
+# Functions that need Python, on Arrow batches
+
+
+def _text_function(one: Callable[..., str | None]) -> Callable[..., Column]:
+    """A function of texts as one over Arrow batches; null if any argument is."""
+
+    @F.arrow_udf("string")
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*[c.to_pylist() for c in columns])
+        return pa.array([None if any(x is None for x in row) else one(*row) for row in rows], pa.string())
+
+    return run
+
+
+def file_uri(path: Column) -> Column:
+    """File URI of a path; a relative path stays one."""
+    return _text_function(U.file_uri)(path)
+
+
+def file_path(uri: Column) -> Column:
+    """Decoded path of a file URI, null for other URIs; texts without a scheme are paths."""
+
+    def one(text: str) -> str | None:
+        path = U.file_path(text)[0]
+        return None if path is None else path.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+    return _text_function(one)(uri)
+
+
+def uri_relative_to(uri: Column, base: Column) -> Column:
+    """A URI as seen from a base it is related to, with ``../`` where needed; itself elsewhere."""
+    return _text_function(lambda u, b: U.relative(U.parse(u), U.parse(b)))(uri, base)
+
+
+def local_name(text: Column) -> Column:
+    """Local part of a prefixed name, escaped as it is written."""
+    return _text_function(T.local_name)(text)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.columns import uri_resolve
+from termloom.schema import RDF_FIRST, RDF_NIL, RDF_REST
 
 
 def scopes(prefixes: DataFrame) -> DataFrame:
@@ -111,3 +112,23 @@ def elisions(statements: DataFrame) -> DataFrame:
         *statements.columns, F.col("_g").alias("new_graph"), (F.col("_g") | F.col("_s")).alias("new_subject"),
         (F.col("_g") | F.col("_s") | F.col("_p")).alias("new_predicate"),
     )
+
+
+def list_statements(rows: DataFrame, key: str, items: str, prefix: str = "l") -> DataFrame:
+    """(key, place, s, p, o_type, o): an array column as collections of first and rest statements.
+
+    The cells of a row's list are blank nodes ``prefix``, its key, ``-`` and the place from 1; the last
+    cell's rest is nil. Null items are literals without text and are left out with their cell; an empty
+    or null array has no statements. No shuffle: a list is one row.
+    """
+    kept = F.filter(items, lambda x: x.isNotNull())
+    cells = rows.select(F.col(key), F.size(kept).alias("_n"), F.posexplode(kept).alias("_at", "_item"))
+    cell = lambda at: F.concat(F.lit(prefix), F.col(key).cast("string"), F.lit("-"), at.cast("string"))
+    last = F.col("_at") + 1 == F.col("_n")
+    first = F.struct(F.lit(RDF_FIRST).alias("p"), F.lit("LITERAL").alias("o_type"), F.col("_item").cast("string").alias("o"))
+    rest = F.struct(
+        F.lit(RDF_REST).alias("p"), F.when(last, "URI").otherwise("BLANK").alias("o_type"),
+        F.when(last, RDF_NIL).otherwise(cell(F.col("_at") + 2)).alias("o"),
+    )
+    both = cells.select(key, F.col("_at").alias("place"), cell(F.col("_at") + 1).alias("s"), F.explode(F.array(first, rest)).alias("_x"))
+    return both.select(key, "place", "s", "_x.*")

@@ -156,6 +156,38 @@ def uri_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc, '/' || doc AS path, doc AS same, CAST(NULL AS VARCHAR) AS remote FROM inputs""")
+def uri_to_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lambda start: C.uri_to_path(F.concat(F.lit(start), F.col("doc")))
+    return _t(spark, sf_dir, "inputs").select(
+        "doc", path("file:///").alias("path"), path("").alias("same"), path("http://h/").alias("remote")
+    )
+
+
+@query("SELECT node_id, '/' || buf AS path FROM nodes WHERE buf IS NOT NULL")
+def file_uri_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "nodes").where("buf IS NOT NULL")
+    return rows.select("node_id", C.file_path(C.file_uri(F.concat(F.lit("/"), F.col("buf")))).alias("path"))
+
+
+@query("SELECT stmt_id, subject AS uri FROM statements WHERE s_type = 'URI' AND p_type = 'URI'")
+def uri_relative_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "statements").where("s_type = 'URI' AND p_type = 'URI'")
+    base = F.lit("http://kelmar.example/thing/sub/here.ttl")
+    return rows.select("stmt_id", C.uri_resolve(C.uri_relative_to(F.col("subject"), base), base).alias("uri"))
+
+
+@query("""
+WITH n AS (SELECT doc, name, row_number() OVER (PARTITION BY doc ORDER BY ord) AS k, count(*) OVER (PARTITION BY doc) AS n FROM prefixes)
+SELECT doc, k - 1 AS place, 'l' || doc || '-' || k AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#first' AS p, 'LITERAL' AS o_type, name AS o FROM n
+UNION ALL
+SELECT doc, k - 1, 'l' || doc || '-' || k, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#rest', CASE WHEN k = n THEN 'URI' ELSE 'BLANK' END,
+  CASE WHEN k = n THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#nil' ELSE 'l' || doc || '-' || (k + 1) END FROM n""")
+def list_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scopes = env.scopes(_t(spark, sf_dir, "prefixes"))
+    return env.list_statements(scopes.select("doc", F.transform("env", lambda e: e["name"]).alias("names")), "doc", "names")
+
+
 # Terms and text
 
 

@@ -292,3 +292,9 @@ def test_frames(spark):
     typed = chunks.typed_view(spark.createDataFrame([("1.5", None), ("x", None), ("7", "http://www.w3.org/2001/XMLSchema#integer")], "object string, o_datatype string"))
     assert [r["number"] for r in typed.collect()] == [1.5, None, 7.0]
     assert F is not None
+
+
+def test_arrays_as_collections(spark):
+    df = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None)], "id int, xs array<string>")
+    got = sorted((r["place"], r["s"], r["p"].rpartition("#")[2], r["o_type"], r["o"].rpartition("#")[2]) for r in env.list_statements(df, "id", "xs").collect())
+    assert got == [(0, "l1-1", "first", "LITERAL", "a"), (0, "l1-1", "rest", "BLANK", "l1-2"), (1, "l1-2", "first", "LITERAL", "b"), (1, "l1-2", "rest", "URI", "nil")]
