@@ -314,9 +314,9 @@ def node_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATUS_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in STATUS_MESSAGES.items())
 
 
-@query(f"SELECT stmt_id, CASE stmt_id % 12 {_STATUS_SQL} ELSE 'Unknown error' END AS message FROM statements")
+@query(f"SELECT stmt_id, CASE length(predicate) {_STATUS_SQL} ELSE 'Unknown error' END AS message FROM statements")
 def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "statements").select("stmt_id", C.status_message((F.col("stmt_id") % 12).cast("int")).alias("message"))
+    return _t(spark, sf_dir, "statements").select("stmt_id", C.status_message(F.length("predicate")).alias("message"))
 
 
 @query("""SELECT stmt_id FROM statements WHERE s_type IN ('URI', 'CURIE', 'BLANK') AND subject IS NOT NULL

@@ -205,14 +205,14 @@ class _Tail(SimpleDataSourceStreamReader):
         self.options = {k.lower(): v for k, v in options.items()}
 
     def initialOffset(self) -> dict:
-        return {"at": 0, "seq": 0, "line": 1, "col": 1, "next_id": 1, "seen": False, "failed": False}
+        return {"at": 0, "seq": 0, "line": 1, "col": 1, "next_id": 1, "seen": False, "failed": False, "skipping": False}
 
     def _events(self, start: dict, end: int | None) -> tuple[list[tuple], dict]:
         path = local_path(self.options["path"])
         mode = self.options.get("mode", "PERMISSIVE").upper()
         parser = Parser(self.syntax, mode in ("FAILFAST", "STRICT"), self.options.get("blankprefix", ""))
         parser.line, parser.col, parser.next_id = start["line"], start["col"], start["next_id"]
-        parser.seen_genid, parser.failed = start["seen"], start["failed"]
+        parser.seen_genid, parser.failed, parser.skipping = start["seen"], start["failed"], start["skipping"]
         parser.started = start["at"] > 0
         rows, seq, at = [], start["seq"], start["at"]
         limit = int(self.options.get("maxbytespertrigger", 1 << 22))
@@ -230,7 +230,7 @@ class _Tail(SimpleDataSourceStreamReader):
         line, col = parser.place(parser.pos)
         return rows, {
             "at": at + len(data) - left, "seq": seq, "line": line, "col": col, "next_id": parser.next_id,
-            "seen": parser.seen_genid, "failed": parser.failed,
+            "seen": parser.seen_genid, "failed": parser.failed, "skipping": parser.skipping,
         }
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:

@@ -38,6 +38,8 @@ from termloom.schema import (
 )
 
 Node = tuple[str, str]
+#: Prefixed names whose nodes are kept at most.
+NAMES = 20_000
 
 _SPACE = re.compile(r"(?:[ \t\r\n]+|#[^\r\n]*)*")
 _IRI = re.compile(r"<([^\x00-\x20<>\"{}|^`\\]*(?:\\[^<>][^\x00-\x20<>\"{}|^`\\]*)*)>")
@@ -53,6 +55,8 @@ _LONG = {
     '"': re.compile(r'"""((?:"{0,2}(?:[^"\\]|\\.))*)"""', re.DOTALL),
     "'": re.compile(r"'''((?:'{0,2}(?:[^'\\]|\\.))*)'''", re.DOTALL),
 }
+#: A string without quotes, escapes or line breaks that is neither tagged nor typed.
+_PLAIN = re.compile(r'"([^"\\\n\r]+)"(?=[ \t\r\n;,.)\]])')
 _LANG = re.compile(r"@([A-Za-z]+(?:-[A-Za-z0-9]*)*)")
 _SURROGATE = re.compile(r"[\ud800-\udfff]+")
 _LOCAL_ESCAPE = re.compile(r"\\(.)")
@@ -88,6 +92,7 @@ class Parser:
         self.next_id, self.seen_genid = 1, False
         self.events: list[tuple] = []
         self.graph: Node | None = None
+        self.names: dict[str, Node] = {}
         self.started = False
         self._pending = b""
 
@@ -138,7 +143,7 @@ class Parser:
         """
         if self.failed:
             return None
-        state = (self.pos, self.next_id, self.seen_genid)
+        state = (self.pos, self.next_id, self.seen_genid, self.skipping)
         self.events = []
         try:
             if not self._begin():
@@ -146,14 +151,14 @@ class Parser:
             self._nquads_item() if self.syntax == "nquads" else self._item()
         except NeedMore:
             if not self.final:
-                self.pos, self.next_id, self.seen_genid = state
+                self.pos, self.next_id, self.seen_genid, self.skipping = state
                 self.events = []
                 self.graph = None
                 return None
             self._fault(SyntaxFault("unexpected end of file", len(self.text)))
         except SyntaxFault as fault:
             if not self.final and fault.at >= len(self.text) - 16:  # what is there may be half a term
-                self.pos, self.next_id, self.seen_genid = state
+                self.pos, self.next_id, self.seen_genid, self.skipping = state
                 self.events = []
                 self.graph = None
                 return None
@@ -204,6 +209,9 @@ class Parser:
         A comment that may go on after the buffer is not skipped.
         """
         start = self.pos
+        c = self.text[start : start + 1]
+        if c and c not in " \t\r\n#":
+            return c
         self.pos = _SPACE.match(self.text, start).end()
         if self.pos == len(self.text) and not self.final:
             line = max(self.text.rfind("\n", start), self.text.rfind("\r", start), start - 1) + 1
@@ -215,6 +223,9 @@ class Parser:
 
     def _peek(self) -> str:
         """The next character after blanks, which must come."""
+        c = self.text[self.pos : self.pos + 1]
+        if c and c not in " \t\r\n#":
+            return c
         c = self._space()
         if not c:
             raise NeedMore
@@ -353,6 +364,10 @@ class Parser:
         if not self.fancy:
             raise SyntaxFault("expected '<' or '_'", self.pos)
         m = _NAME.match(self.text, self.pos)
+        if m is not None and m.end() < len(self.text) and (node := self.names.get(m[0])) is not None:
+            if self.text[m.end()] not in "%\\":
+                self.pos = m.end()
+                return node
         if m is None:
             w = _WORD.match(self.text, self.pos)
             if w is not None and w.end() == len(self.text):
@@ -366,8 +381,14 @@ class Parser:
         if self.text[end : end + 1] in ("%", "\\"):
             raise SyntaxFault("bad escape", end)
         self.pos = end
-        local = _LOCAL_ESCAPE.sub(r"\1", local)
-        return CURIE, f"{m[1] or ''}:{local}"
+        if "\\" in local:
+            local = _LOCAL_ESCAPE.sub(r"\1", local)
+        node = (CURIE, f"{m[1] or ''}:{local}")
+        if end == m.end():
+            if len(self.names) >= NAMES:
+                self.names.clear()
+            self.names[m[0]] = node
+        return node
 
     def _blank(self) -> Node:
         m = _BLANK.match(self.text, self.pos)
@@ -396,6 +417,11 @@ class Parser:
     def _literal(self) -> tuple[Node, int, Node | None, str | None]:
         """(node, flags, datatype, language) of a quoted literal."""
         at, q = self.pos, self.text[self.pos]
+        m = _PLAIN.match(self.text, at)
+        if m is not None:
+            body = self._valid(m[1], at, "string")
+            self.pos = m.end()
+            return (LITERAL, body), HAS_QUOTE if "'" in body else 0, None, None
         long = self.text.startswith(q * 3, at)
         if not self.fancy and (q == "'" or long):
             raise SyntaxFault("syntax does not support this string", at)

@@ -30,6 +30,7 @@ STATE = T.StructType(
         T.StructField("seen", T.BooleanType()),
         T.StructField("started", T.BooleanType()),
         T.StructField("failed", T.BooleanType()),
+        T.StructField("skipping", T.BooleanType()),
     ]
 )
 
@@ -49,7 +50,8 @@ def resume(syntax: str, strict: bool, state: tuple | None) -> tuple[Parser, int]
     parser = Parser(syntax, strict)
     if state is None:
         return parser, 0
-    rest, seq, parser.line, parser.col, parser.next_id, parser.seen_genid, parser.started, parser.failed = state
+    rest, seq, parser.line, parser.col, parser.next_id, parser.seen_genid, parser.started, *failure = state
+    parser.failed, parser.skipping = failure
     parser.text = bytes(rest).decode("utf-8", "surrogateescape")
     return parser, seq
 
@@ -58,7 +60,8 @@ def suspend(parser: Parser, seq: int) -> tuple:
     """What has to be kept of a parser between pieces."""
     parser._drop_read()
     rest = parser.text.encode("utf-8", "surrogateescape") + parser._pending
-    return rest, seq, parser.line, parser.col, parser.next_id, parser.seen_genid, parser.started, parser.failed
+    place = (parser.line, parser.col, parser.next_id, parser.seen_genid)
+    return rest, seq, *place, parser.started, parser.failed, parser.skipping
 
 
 def parse_stream(pieces: DataFrame, syntax: str = "turtle", strict: bool = False) -> DataFrame:

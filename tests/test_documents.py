@@ -258,12 +258,13 @@ def test_stream_of_pieces(spark, tmp_path):
     assert {r["kind"] for r in rows if r["doc"] == "two"} >= {"statement", "error"}
 
 
-def test_pieces_one_by_one():
-    raw = RICH.encode()
-    want = list(parse(raw, "turtle"))
+@pytest.mark.parametrize("strict", [True, False])
+def test_pieces_one_by_one(strict):
+    raw = RICH.encode() + (b"" if strict else b"<a> oops and so on until the line ends here\n<a> <b> <c> . \n")
+    want = list(parse(raw, "turtle", strict))
     state, got = None, []
     for at in range(0, len(raw), 9):
-        parser, seq = chunks.resume("turtle", True, state)
+        parser, seq = chunks.resume("turtle", strict, state)
         events = chunks.advance(parser, [raw[at : at + 9]], at + 9 >= len(raw))
         got += events
         state = chunks.suspend(parser, seq + len(events))
@@ -298,3 +299,24 @@ def test_arrays_as_collections(spark):
     df = spark.createDataFrame([(1, ["a", None, "b"]), (2, []), (3, None)], "id int, xs array<string>")
     got = sorted((r["place"], r["s"], r["p"].rpartition("#")[2], r["o_type"], r["o"].rpartition("#")[2]) for r in env.list_statements(df, "id", "xs").collect())
     assert got == [(0, "l1-1", "first", "LITERAL", "a"), (0, "l1-1", "rest", "BLANK", "l1-2"), (1, "l1-2", "first", "LITERAL", "b"), (1, "l1-2", "rest", "URI", "nil")]
+
+
+PARTS = ["<http://a>", "<b>", "<a b>", "e:x", ":", "e:", "_:b1", "_:B1", "_:x.", "[", "]", "(", ")", "{", "}", ";", ",", ".", "..", "a", "true", '"x"', '"', "'", '"""', "\\u00e9", "\\x", "@en", "@", "^^", "1", "-", "+1.", "2e", "@prefix e: <http://e/> .", "PREFIX", "BASE", "GRAPH", "#c", "\n", "\r\n", " ", "\t", "\0", "é", "%41", "%4", "<", ">", "=="]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14), st.sampled_from(["turtle", "trig", "ntriples", "nquads"]), st.booleans(), st.integers(1, 9), st.sampled_from(["", " "]))
+def test_any_input_gives_events_or_errors_in_any_blocks(parts, syntax, strict, size, between):
+    raw = between.join(parts).encode()
+    whole = list(parse(raw, syntax, strict))
+    blocks = list(parse_blocks(Parser(syntax, strict), [raw[i : i + size] for i in range(0, len(raw), size)]))
+    assert blocks == whole
+    assert not strict or [e[0] for e in whole].count("error") <= 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=40), st.sampled_from(["turtle", "trig", "ntriples", "nquads"]), st.booleans())
+def test_any_bytes_are_read_or_refused(raw, syntax, strict):
+    text, errors = convert(raw, Options(syntax, "nquads", base="http://h/", lax=not strict))
+    text.encode()
+    assert isinstance(errors, list)
