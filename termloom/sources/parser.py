@@ -63,6 +63,19 @@ _LOCAL_ESCAPE = re.compile(r"\\(.)")
 _BAD_IRI_LAX = re.compile(r"<([^<>\"{}|^`\\]*(?:\\[^<>][^<>\"{}|^`\\]*)*)>")
 
 
+# The common case in one match each: a plain object with what ends it, and a plain verb. Whatever is not
+# plain (escapes, dots or non-ASCII letters in names, odd strings) is left to the rules below.
+_B = r"[ \t\r\n]"
+_PLAIN_IRI = r'<[^\x00-\x20<>"{}|^`\\\x7f-\U0010ffff]*>'
+_PLAIN_NAME = r"(?:[A-Za-z][A-Za-z0-9_-]*)?:(?:[A-Za-z0-9_][A-Za-z0-9_-]*)?"
+_OBJECT = re.compile(
+    rf"{_B}*(?:(?P<iri>{_PLAIN_IRI})|(?P<name>{_PLAIN_NAME})|\"(?P<text>[^\"\\\n\r\x7f-\U0010ffff]+)\"(?:@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+    rf"|(?P<number>[+-]?[0-9]+(?P<point>\.[0-9]+)?)){_B}*(?P<end>[;,\]]|\.(?={_B}))"
+)
+_VERB = re.compile(rf"{_B}*(?:(?P<name>{_PLAIN_NAME})|(?P<iri>{_PLAIN_IRI})|a(?={_B})){_B}+(?=[^ \t\r\n#])")
+_INTEGER, _DECIMAL = (URI, XSD + "integer"), (URI, XSD + "decimal")
+
+
 class SyntaxFault(Exception):
     """Input that the grammar does not allow: status, message and offset into the buffer."""
 
@@ -497,6 +510,29 @@ class Parser:
         self.events.append(("statement", flags, self.graph or self.default_graph, s, p, o, o_flags, dt, lang))
         return flags & (ANON_CONT | LIST_CONT)
 
+    def _plain_name(self, name: str) -> Node:
+        node = self.names.get(name)
+        if node is None:
+            if len(self.names) >= NAMES:
+                self.names.clear()
+            node = self.names[name] = (CURIE, name)
+        return node
+
+    def _plain_object(self, m: re.Match, flags: int, s: Node, p: Node) -> int:
+        """Emit the statement of an object that one match has read."""
+        o_flags, dt, lang = 0, None, None
+        if m["name"] is not None:
+            node = self._plain_name(m["name"])
+        elif m["iri"] is not None:
+            node = (URI, m["iri"][1:-1])
+        elif m["text"] is not None:
+            node, lang = (LITERAL, m["text"]), m["lang"]
+            o_flags = HAS_QUOTE if "'" in m["text"] else 0
+        else:
+            node, dt = (LITERAL, m["number"]), _DECIMAL if m["point"] else _INTEGER
+        self.events.append(("statement", flags, self.graph or self.default_graph, s, p, node, o_flags, dt, lang))
+        return flags & (ANON_CONT | LIST_CONT)
+
     def _verb(self) -> Node:
         if self.text[self.pos] == "a":
             m = _NAME.match(self.text, self.pos)
@@ -561,7 +597,20 @@ class Parser:
         first, nil, rest = (URI, RDF_FIRST), (URI, RDF_NIL), (URI, RDF_REST)
         state = "member" if stack and stack[-1][0] == "(" else "verb"
         began = False  # whether a predicate was read since the subject became current
+        plain = self.fancy
         while True:
+            if plain and state == "object" and not (stack and stack[-1][0] == "(") and (m := _OBJECT.match(self.text, self.pos)):
+                flags = self._plain_object(m, flags, subject, predicate)
+                end = m["end"]
+                if end == ",":
+                    self.pos = m.end()
+                    continue
+                self.pos, state = m.start("end"), "after"
+                if end == ";" and (m := _VERB.match(self.text, self.pos + 1)):
+                    name, iri = m["name"], m["iri"]
+                    predicate = self._plain_name(name) if name else (URI, iri[1:-1]) if iri else (URI, RDF_TYPE)
+                    self.pos, state = m.end(), "object"
+                continue
             c = self._peek()
             if state == "verb":
                 if not stack and not began and c in ".}" and (optional or (is_list and not self.strict)):
