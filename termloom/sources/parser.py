@@ -73,6 +73,12 @@ _OBJECT = re.compile(
     rf"|(?P<number>[+-]?[0-9]+(?P<point>\.[0-9]+)?)){_B}*(?P<end>[;,\]]|\.(?={_B}))"
 )
 _VERB = re.compile(rf"{_B}*(?:(?P<name>{_PLAIN_NAME})|(?P<iri>{_PLAIN_IRI})|a(?={_B})){_B}+(?=[^ \t\r\n#])")
+_FULL_IRI = r'<([A-Za-z][A-Za-z0-9+.-]*:[^\x00-\x20<>"{}|^`\\\x7f-\U0010ffff]*)>'
+_LABEL = r"_:([A-Za-z0-9_][A-Za-z0-9_-]*)"
+_QUAD = re.compile(
+    rf"(?:{_FULL_IRI}|{_LABEL})[ \t]+{_FULL_IRI}[ \t]+(?:{_FULL_IRI}|{_LABEL}|\"([^\"\\\n\r\x7f-\U0010ffff]*)\"(?:\^\^{_FULL_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)"
+    rf"[ \t]+(?:(?:{_FULL_IRI}|{_LABEL})[ \t]+)?\.[ \t]*(?=\r?\n)"
+)
 _INTEGER, _DECIMAL = (URI, XSD + "integer"), (URI, XSD + "decimal")
 
 
@@ -161,6 +167,8 @@ class Parser:
         try:
             if not self._begin():
                 return None
+            if not self.fancy and (m := _QUAD.match(self.text, self.pos)) and self._plain_line(m):
+                return self.events
             self._nquads_item() if self.syntax == "nquads" else self._item()
         except NeedMore:
             if not self.final:
@@ -727,6 +735,20 @@ class Parser:
                 return
             raise SyntaxFault("missing ';' or '.'", self.pos)
 
+    def _plain_line(self, m: re.Match) -> bool:
+        """Take a plain line, unless it has a graph where there are none."""
+        s_iri, s_blank, p, o_iri, o_blank, text, dt, lang, g_iri, g_blank = m.groups()
+        if self.syntax == "ntriples" and (g_iri or g_blank):
+            return False
+        blank = lambda x: (BLANK, self.blank_prefix + x)
+        g = (URI, g_iri) if g_iri else blank(g_blank) if g_blank else self.default_graph
+        o = (URI, o_iri) if o_iri else blank(o_blank) if o_blank else (LITERAL, text)
+        flags = HAS_QUOTE if text and "'" in text else 0
+        s = (URI, s_iri) if s_iri else blank(s_blank)
+        self.events.append(("statement", 0, g, s, (URI, p), o, flags, (URI, dt) if dt else None, lang))
+        self.pos = m.end()
+        return True
+
     def _nquads_item(self) -> None:
         """Subject, predicate, object, maybe a graph, and a full stop; a statement only if all is well."""
         if self.text[self.pos] == "@":
