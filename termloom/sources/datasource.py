@@ -8,7 +8,9 @@ Options for reading: ``path`` (file, folder or glob), ``base`` (default: the fil
 ``DROPMALFORMED``: leave them out; ``STRICT``: an error row, then nothing more of that file),
 ``blankPrefix``, ``defaultGraph``, ``expand`` (default true: terms come out absolute).
 For writing: ``ascii``, ``fullUris``, ``base``, ``root``, ``chopPrefix``; rows must be sorted by doc and
-seq within a partition. One task reads one file block by block, in memory bounded by one item.
+seq within a partition. One task reads one file block by block, in memory bounded by one item. Files
+of the line syntaxes are split between lines every ``splitBytes`` (default 64 MB; 0: never) unless an
+error has to end the file; ``seq`` then grows with the place in the file, and errors have lines of their split.
 """
 
 from __future__ import annotations
@@ -96,6 +98,25 @@ def document_events(blocks: Iterator[bytes], syntax: str, doc: str, options: dic
 @dataclass
 class _File(InputPartition):
     path: str
+    start: int = 0
+    end: int | None = None
+
+
+def split_blocks(path: str, start: int, end: int | None, size: int = BLOCK) -> Iterator[bytes]:
+    """Whole lines of a file that begin in a range of bytes."""
+    with open(path, "rb") as f:
+        if start:
+            f.seek(start - 1)
+            f.readline()  # the line that the range before holds
+        while end is None or f.tell() < end:
+            left = size if end is None else min(size, end - f.tell())
+            block = f.read(left)
+            if not block:
+                return
+            yield block
+        if end and f.tell() == end:
+            f.seek(end - 1)
+            yield f.readline()[1:]
 
 
 class _Reader(DataSourceReader):
@@ -103,12 +124,22 @@ class _Reader(DataSourceReader):
         self.syntax, self.options = syntax, dict(options)
 
     def partitions(self) -> list[_File]:
-        return [_File(f) for f in list_files(self.options["path"])]
+        options = {k.lower(): v for k, v in self.options.items()}
+        most = int(options.get("splitbytes", 1 << 26))
+        if self.syntax not in ("ntriples", "nquads") or most <= 0 or options.get("mode", "").upper() == "STRICT":
+            return [_File(f) for f in list_files(self.options["path"])]
+        parts = []
+        for f in list_files(self.options["path"]):
+            size = os.path.getsize(f)
+            parts += [_File(f, at, min(at + most, size)) for at in range(0, max(size, 1), most)]
+        return parts
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         options = {k.lower(): v for k, v in self.options.items()}
-        events = document_events(file_blocks(partition.path), self.syntax, partition.path, options)
-        yield from batches(event_row(partition.path, n, e) for n, e in enumerate(events))
+        whole = partition.start == 0 and partition.end is None
+        blocks = file_blocks(partition.path) if whole else split_blocks(partition.path, partition.start, partition.end)
+        events = document_events(blocks, self.syntax, partition.path, options)
+        yield from batches(event_row(partition.path, partition.start + n, e) for n, e in enumerate(events))
 
 
 class _AnyReader(_Reader):

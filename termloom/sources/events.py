@@ -63,7 +63,9 @@ def batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+    n = len(rows)
+    columns = [pa.nulls(n, f.type) if c.count(None) == n else pa.array(c, f.type) for c, f in zip(zip(*rows), SCHEMA)]
+    return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
 
 def absolute(events: Iterable[tuple], base: str | None) -> Iterator[tuple]:

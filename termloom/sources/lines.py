@@ -112,7 +112,8 @@ def read_lines(lines: DataFrame, syntax: str = "nquads", strict: bool = True, co
     keys = [c for c in lines.columns if c != column]
     line, groups = F.col(column), free_name(lines, "_groups")
     escapes = F.length(line) - F.length(F.replace(line, F.lit("\\"), F.lit("")))
-    found = F.when((escapes > MOST_ESCAPES) | line.rlike(_NO_CHARACTER), line).otherwise(F.regexp_replace(line, LINE, _JOINED))
+    odd = F.contains(line, F.lit("\\")) & ((escapes > MOST_ESCAPES) | line.rlike(_NO_CHARACTER))
+    found = F.when(odd, line).otherwise(F.regexp_replace(line, LINE, _JOINED))
     split = lines.select(*keys, column, found.alias(groups))  # a line of the grammar is changed, any other is not
     fast = F.col(groups) != line
     if syntax == "ntriples":

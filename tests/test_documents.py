@@ -320,3 +320,15 @@ def test_any_bytes_are_read_or_refused(raw, syntax, strict):
     text, errors = convert(raw, Options(syntax, "nquads", base="http://h/", lax=not strict))
     text.encode()
     assert isinstance(errors, list)
+
+
+@pytest.mark.parametrize("split", [23, 64, 1000])
+def test_line_files_are_split_between_lines(spark, tmp_path, split):
+    register(spark)
+    text = "".join(f'<http://s{i}> <http://p> "é{"x" * (i % 9)}" .\n' for i in range(12)) + "<http://last> <http://p> <http://o> ."
+    (tmp_path / "a.nt").write_text(text)
+    (tmp_path / "empty.nt").write_text("")
+    read = spark.read.format("ntriples").option("splitBytes", str(split)).load(str(tmp_path))
+    rows = read.orderBy("seq").collect()
+    assert [r["s"] for r in rows] == [f"http://s{i}" for i in range(12)] + ["http://last"]
+    assert {r["kind"] for r in rows} == {"statement"}
