@@ -46,14 +46,18 @@ DISCOUNT = 2.0
 #: Part of a letter's score that is its own frequency. Garbled text repeats its few odd letters in the
 #: same order, which bigrams alone would take for a language of its own.
 ALONE = 0.5
+#: Log score of two scripts meeting within a word, and cost of each word that a cipher changes in a text.
+MIXED, CHANGED = -4.0, 1.0
 #: Log probability of U+FFFD in a reading.
 LOST = -12.0
 #: Start of the weights: the part of words that any cipher touched.
 START_DAMAGED = 0.05
+#: Least log odds of a cipher before a word is seen: a rare one must not need more than a clear word.
+RAREST = -5.5
 #: Rounds of expectation-maximization.
-ROUNDS = 3
+ROUNDS = 4
 #: Log odds, per text, from which it counts as garbled.
-ODDS = -2.0
+ODDS = -1.0
 #: Word ends, which are no letters of any page.
 EDGE = 0xFFFF
 #: Words whose readings a task remembers at most; beyond it the memory starts anew.
@@ -123,6 +127,10 @@ class Model:
             seen = max(pairs[(before * 1000003 + c) & (SLOTS - 1)] - DISCOUNT, 0.0)
             result += (1 - ALONE) * math.log((seen + BACKOFF * alone) / (letters[before] + BACKOFF))
             result += ALONE * math.log(alone)
+            if c >= 0x250 or before >= 0x250:
+                a, b = script(before), script(c)
+                if a and b and a != b:
+                    result += MIXED
             before = c
         return result
 
@@ -159,8 +167,8 @@ class Model:
         for word in split(text):
             if not word.isascii():
                 for k, gain in self.gains(word).items():
-                    if gain > 0:
-                        total[k] = total.get(k, 0.0) + gain
+                    if gain > CHANGED:
+                        total[k] = total.get(k, 0.0) + gain - CHANGED
         if not total:
             return -1, 0.0
         odds = {k: g + self.weights[k] for k, g in total.items()}
@@ -204,8 +212,17 @@ def substitution(cipher: int) -> dict[int, str]:
 
 
 def codes(word: str) -> list[int]:
-    """Letters of a word and its end; a blank, as a reading may have, ends a word too."""
-    return [EDGE if c <= 32 else c & 0xFFFF for c in map(ord, word)] + [EDGE]
+    """Letters of a word in lower case and its end; a blank, as a reading may have, ends a word too."""
+    return [EDGE if c <= 32 else c & 0xFFFF for c in map(ord, word.lower())] + [EDGE]
+
+
+def script(c: int) -> int:
+    """Rough script of a letter: 1 Latin, 2 Greek, 3 Cyrillic, 4 East Asian, 0 what goes with any."""
+    if c < 0x250:
+        return 1 if 0x61 <= c <= 0x7A or (c >= 0xC0 and c not in (0xD7, 0xF7)) else 0
+    if c < 0x400:
+        return 2 if c >= 0x370 else 0
+    return 3 if c < 0x530 else 4 if 0x3040 <= c < 0xD7B0 else 0
 
 
 def count_word(word: str, n: float, pairs: np.ndarray, letters: np.ndarray) -> None:
@@ -237,7 +254,7 @@ def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.
         pairs, letters, ciphers = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(PAIRS) + 1)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = float(min(n, 1000))  # the shape of the language, not the most said word
+                n = float(n)
                 if model is None or word.isascii():
                     count_word(word, n, pairs, letters)
                     continue
@@ -275,19 +292,19 @@ def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.
 def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
     """The model of all texts, by expectation-maximization over their distinct words.
 
-    Every word counts, up to a thousand times. Empty tables give a model that finds nothing.
+    Every word counts as often as it is said. Empty tables give a model that finds nothing.
     """
     words = cut(distinct_words(texts, column))
     context = texts.sparkSession.sparkContext
     pairs, letters, _ = _statistics(words, lambda: None)
-    odds = math.log(START_DAMAGED / len(PAIRS) / (1 - START_DAMAGED))
+    odds = max(math.log(START_DAMAGED / len(PAIRS) / (1 - START_DAMAGED)), RAREST)
     weights = dict.fromkeys(range(len(PAIRS)), odds)
     for _ in range(rounds):
         tables = context.broadcast((pairs, letters, weights))
         pairs, letters, ciphers = _statistics(words, lambda tables=tables: Model(*tables.value))
         plain = ciphers[-1] + 1.0
         weights = {
-            k: math.log((ciphers[k] + 0.01) / plain) for k in range(len(PAIRS)) if ciphers[k] > 0.05 or k in _always()
+            k: max(math.log((ciphers[k] + 0.01) / plain), RAREST) for k in range(len(PAIRS)) if ciphers[k] > 0.05 or k in _always()
         }
     return context.broadcast((pairs, letters, weights))
 
