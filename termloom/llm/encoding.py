@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.util import cut
+from termloom.util import cut, parallelism
 
 #: Pages that a text may have been shown in, and pages that it may really be in.
 SHOWN = (
@@ -294,7 +294,8 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
 
     Every word counts as often as it is said. Empty tables give a model that finds nothing.
     """
-    words = cut(distinct_words(texts, column))
+    # few bytes but much work a word: keep the tasks that the session's shuffles are set up for
+    words = cut(distinct_words(texts, column).repartition(parallelism(texts.sparkSession), "word"))
     context = texts.sparkSession.sparkContext
     pairs, letters, _ = _statistics(words, lambda: None)
     odds = max(math.log(START_DAMAGED / len(PAIRS) / (1 - START_DAMAGED)), RAREST)
