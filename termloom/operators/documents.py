@@ -16,6 +16,7 @@ from termloom.sources.env import Env
 from termloom.sources.events import batches, event_row, row_event
 from termloom.sources.parser import Parser
 from termloom.sources.writer import WriteFault, Writer
+from termloom.util import parallelism
 
 
 def read_documents(inputs: DataFrame, expand: bool = True, **options: str) -> DataFrame:
@@ -53,12 +54,13 @@ def document_text(events: DataFrame, syntax: str = "turtle", **options: str) ->
 
     ``events`` are event rows, or statement rows alone. One shuffle by document and a sort; then each
     task folds over its rows with the open nodes as its only state, so a document of any size is
-    written in constant memory. Statements that cannot be written are left out.
+    written in constant memory. Statements that cannot be written are left out. The number of tasks is that
+    of the session's shuffles: the fold takes its time in Python, so small partitions are not put together.
     """
     chosen = {k.lower(): v for k, v in options.items()}
 
     return (
-        events.repartition("doc").sortWithinPartitions("doc", "seq").mapInArrow(lambda p: _fold(p, syntax, chosen), TEXT)
+        events.repartition(parallelism(events.sparkSession), "doc").sortWithinPartitions("doc", "seq").mapInArrow(lambda p: _fold(p, syntax, chosen), TEXT)
     )
 
 
