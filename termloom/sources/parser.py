@@ -60,6 +60,7 @@ _PLAIN = re.compile(r'"([^"\\\n\r]+)"(?=[ \t\r\n;,.)\]])')
 _LANG = re.compile(r"@([A-Za-z]+(?:-[A-Za-z0-9]*)*)")
 _SURROGATE = re.compile(r"[\ud800-\udfff]+")
 _LOCAL_ESCAPE = re.compile(r"\\(.)")
+_IRI_BREAK = re.compile(r'[<>"{}|^`\n]')
 _BAD_IRI_LAX = re.compile(r"<([^<>\"{}|^`\\]*(?:\\[^<>][^<>\"{}|^`\\]*)*)>")
 
 
@@ -356,6 +357,8 @@ class Parser:
         m = _IRI.match(self.text, at)
         if m is None and not self.strict:
             m = _BAD_IRI_LAX.match(self.text, at)
+            if m is None and not self.final and not _IRI_BREAK.search(self.text, at + 1):
+                raise NeedMore
             if m is not None and "\n" in m[0]:
                 raise SyntaxFault("invalid IRI character", at + m[0].index("\n"))
             if m is not None:
