@@ -58,6 +58,7 @@ def document_text(events: DataFrame, syntax: str = "turtle", **options: str) ->
     of the session's shuffles: the fold takes its time in Python, so small partitions are not put together.
     """
     chosen = {k.lower(): v for k, v in options.items()}
+    events = events.select(*[c for c in events.columns if c in EVENT.names])  # the fold sees no more than an event has
 
     return (
         events.repartition(parallelism(events.sparkSession), "doc").sortWithinPartitions("doc", "seq").mapInArrow(lambda p: _fold(p, syntax, chosen), TEXT)

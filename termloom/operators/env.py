@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.columns import uri_resolve
-from termloom.schema import RDF_FIRST, RDF_NIL, RDF_REST
+from termloom.schema import BAD_CURIE, RDF_FIRST, RDF_NIL, RDF_REST
 
 
 def scopes(prefixes: DataFrame) -> DataFrame:
@@ -49,6 +49,8 @@ def qualified(kind: Column, value: Column, env: Column) -> Column:
 #: (type column, value column) of the terms of a statement.
 TERMS = [("g_type", "graph"), ("s_type", "subject"), ("p_type", "predicate"), ("o_type", "object"),
          ("o_datatype_type", "o_datatype")]
+#: The same in the order in which a line has them.
+WRITTEN = [*TERMS[1:], TERMS[0]]
 
 
 def expand_statements(statements: DataFrame, prefixes: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
@@ -78,6 +80,17 @@ def expand_statements(statements: DataFrame, prefixes: DataFrame, inputs: DataFr
     )
 
 
+def write_errors(statements: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(stmt_id, doc, status, message) of statements with a prefixed name that cannot be expanded.
+
+    The name told is the first one in a line. Such statements are left out of lines and text.
+    """
+    rows = expand_statements(statements, prefixes).where("undefined")
+    first = F.coalesce(*[F.when(F.col(k) == "CURIE", F.col(v)) for k, v in WRITTEN])
+    message = F.concat(F.lit("undefined namespace prefix '"), first, F.lit("'"))
+    return rows.select("stmt_id", "doc", F.lit(BAD_CURIE).alias("status"), message.alias("message"))
+
+
 def undefined_prefixes(statements: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(doc, prefix, n): prefixes that a document's statements use and the document does not define."""
     uses = None

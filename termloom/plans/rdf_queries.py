@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import columns as C
 from termloom.operators import documents, env
-from termloom.schema import STATUS_MESSAGES, XSD
+from termloom.schema import BAD_CURIE, STATUS_MESSAGES, XSD
 from termloom.sources import lines
 from termloom.util import table
 
@@ -356,8 +356,29 @@ SELECT stmt_id, s || ' ' || p || ' ' || o || g || ' .' AS line FROM (
 WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND g IS NOT NULL"""
 
 
-def _lines(spark: SparkSession, sf_dir: str, **options: bool) -> DataFrame:
-    rows = _t(spark, sf_dir, "statements").where(F.coalesce("o_datatype_type", F.lit("URI")) == "URI")
+_TERM_SQL = ", ".join(
+    f"CASE WHEN s.{k} = 'CURIE' AND {k}_p.uri IS NOT NULL THEN 'URI' ELSE s.{k} END AS {k}, "
+    f"CASE WHEN s.{k} = 'CURIE' AND {k}_p.uri IS NOT NULL THEN {k}_p.uri || substr(s.{v}, instr(s.{v}, ':') + 1) ELSE s.{v} END AS {v}"
+    for k, v in env.TERMS
+)
+_SCOPE_SQL = " ".join(
+    f"LEFT JOIN first {k}_p ON s.{k} = 'CURIE' AND {k}_p.doc = s.doc AND contains(s.{v}, ':') AND {k}_p.name = substr(s.{v}, 1, instr(s.{v}, ':') - 1)"
+    for k, v in env.TERMS
+)
+_EXPANDED_SQL = f"""
+WITH first AS (SELECT doc, name, min(ord) AS ord, arg_max(uri, ord) AS uri FROM prefixes WHERE name IS NOT NULL AND uri IS NOT NULL GROUP BY doc, name),
+expanded AS (SELECT s.stmt_id, s.doc, s.o_lang, s.flags, {_TERM_SQL} FROM statements s {_SCOPE_SQL})
+"""
+
+
+def _statements(spark: SparkSession, sf_dir: str, expand: bool) -> DataFrame:
+    """The statements, with prefixed names in full where ``expand`` is set and their document defines the prefix."""
+    rows = _t(spark, sf_dir, "statements")
+    return env.expand_statements(rows, _t(spark, sf_dir, "prefixes")) if expand else rows
+
+
+def _lines(spark: SparkSession, sf_dir: str, expand: bool = False, **options: bool) -> DataFrame:
+    rows = _statements(spark, sf_dir, expand).where(F.coalesce("o_datatype_type", F.lit("URI")) == "URI")
     return rows.select("stmt_id", lines.statement_line(**options, **NAMES).alias("line"))
 
 
@@ -383,6 +404,40 @@ def nq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(_EXPANDED_SQL + _LINE_SQL.replace("FROM statements", "FROM expanded"))
+def nq_lines_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all statements, prefixed names in full; what has no line is in ``write_errors``."""
+    return _lines(spark, sf_dir, True).where("line IS NOT NULL")
+
+
+@query(_EXPANDED_SQL + _LINE_SQL.replace("FROM statements", "FROM expanded").replace("|| o || g ||", "|| o ||"))
+def nt_lines_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, True, quads=False).where("line IS NOT NULL")
+
+
+@query(_EXPANDED_SQL + """
+SELECT stmt_id, g_type, graph AS g, s_type, subject AS s, p_type, predicate AS p, o_type, object AS o, o_datatype_type, o_datatype, o_lang
+FROM expanded WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type IN ('URI', 'BLANK', 'LITERAL')
+  AND coalesce(g_type, 'URI') IN ('URI', 'BLANK') AND coalesce(o_datatype_type, 'URI') = 'URI'
+  AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND NOT (o_datatype IS NOT NULL AND o_lang IS NOT NULL)""")
+def nq_roundtrip_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = lines.read_lines(_lines(spark, sf_dir, True, ascii_only=True), "nquads", column="line")
+    return back.where("kind = 'statement'").select(
+        "stmt_id", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype_type", "o_datatype", "o_lang"
+    )
+
+
+_UNDEFINED_SQL = "coalesce(" + ", ".join(f"CASE WHEN {k} = 'CURIE' THEN {v} END" for k, v in env.WRITTEN) + ")"
+
+
+@query(_EXPANDED_SQL + f"""
+SELECT stmt_id, doc, {BAD_CURIE} AS status, 'undefined namespace prefix ' || chr(39) || {_UNDEFINED_SQL} || chr(39) AS message
+FROM expanded WHERE {_UNDEFINED_SQL} IS NOT NULL""")
+def write_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that no text or line can hold, as their document defines no prefix for a name in them."""
+    return env.write_errors(_t(spark, sf_dir, "statements"), _t(spark, sf_dir, "prefixes"))
+
+
 @query("SELECT n_nationkey, '<http://data.example/nation/' || n_nationkey || '> <http://data.example/name> \"' || n_name || '\" .' AS line FROM nation")
 def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "nation").select(
@@ -404,8 +459,8 @@ def documents_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.convert_documents(_t(spark, sf_dir, "inputs"), "turtle")
 
 
-def _text(spark: SparkSession, sf_dir: str, syntax: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "statements").withColumnsRenamed({v: k for k, v in NAMES.items()})
+def _text(spark: SparkSession, sf_dir: str, syntax: str, expand: bool = True) -> DataFrame:
+    rows = _statements(spark, sf_dir, expand).withColumnsRenamed({v: k for k, v in NAMES.items()})
     flat = rows.withColumn("flags", F.lit(0)).withColumn("seq", F.col("stmt_id"))
     return documents.document_text(flat, syntax, fulluris="true")
 
@@ -428,10 +483,17 @@ def turtle_reserialised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM statements WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type <> 'CURIE' AND coalesce(o_datatype_type, 'URI') = 'URI'")
 def turtle_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements that come back from Turtle text by way of N-Triples lines."""
-    rows = _t(spark, sf_dir, "statements").withColumnsRenamed({v: k for k, v in NAMES.items()})
-    flat = rows.withColumn("flags", F.lit(0)).withColumn("seq", F.col("stmt_id"))
-    written = documents.document_text(flat, "turtle", fulluris="true")
+    """Statements without prefixed names that come back from Turtle text by way of N-Triples lines."""
+    return _reread(_text(spark, sf_dir, "turtle", False))
+
+
+@query(_EXPANDED_SQL + f"SELECT count(*) AS n FROM expanded WHERE {_UNDEFINED_SQL} IS NULL")
+def turtle_reread_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that come back from Turtle text, prefixed names in full, by way of N-Triples lines."""
+    return _reread(_text(spark, sf_dir, "turtle"))
+
+
+def _reread(written: DataFrame) -> DataFrame:
     again = documents.transcode_pieces(written, "turtle", "ntriples")
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return again.agg(F.coalesce(F.sum(n_lines), F.lit(0)).cast("bigint").alias("n"))

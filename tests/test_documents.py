@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from termloom.__main__ import main as command
 from termloom.operators import documents, env
+from termloom.plans import rdf_queries
 from termloom.plans.transcode import Options, convert
 from termloom.schema import BAD_ARG, BAD_CURIE, STATEMENT
 from termloom.sources import lines
@@ -332,3 +333,26 @@ def test_line_files_are_split_between_lines(spark, tmp_path, split):
     rows = read.orderBy("seq").collect()
     assert [r["s"] for r in rows] == [f"http://s{i}" for i in range(12)] + ["http://last"]
     assert {r["kind"] for r in rows} == {"statement"}
+
+
+def test_writer_queries_keep_prefixed_names(spark, tmp_path):
+    kinds = "stmt_id long, doc string, seq long, flags int, g_type string, graph string, s_type string, subject string, p_type string, predicate string, o_type string, object string, o_flags int, o_datatype_type string, o_datatype string, o_lang string"
+    rows = [
+        (1, "d", 1, 0, "CURIE", "x:g", "CURIE", "x:a", "CURIE", ":p", "LITERAL", "v", 0, "CURIE", "x:t", None),
+        (2, "d", 2, 0, None, None, "URI", "http://a", "URI", "http://b", "CURIE", "no:c", 0, None, None, None),
+        (3, "e", 3, 0, None, None, "URI", "http://a", "URI", "http://b", "CURIE", "no:c", 0, None, None, None),
+    ]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "statements.parquet"))
+    prefixes = [("d", 0, "x", "http://x/"), ("d", 1, "", "http://e/"), ("e", 0, "no", "http://n/")]
+    spark.createDataFrame(prefixes, "doc string, ord int, name string, uri string").write.parquet(str(tmp_path / "prefixes.parquet"))
+    run = lambda name: rdf_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    triple = '<http://x/a> <http://e/p> "v"^^<http://x/t>'
+    other = "<http://a> <http://b> <http://n/c> ."
+    assert {r["stmt_id"]: r["line"] for r in run("nq_lines_expanded")} == {1: f"{triple} <http://x/g> .", 3: other}
+    assert {r["stmt_id"]: r["line"] for r in run("nt_lines_expanded")} == {1: f"{triple} .", 3: other}
+    assert {r["stmt_id"] for r in run("nq_roundtrip_expanded")} == {1, 3}
+    for name in ("trig_text", "turtle_text", "turtle_reserialised"):
+        text = "".join(r["text"] for r in run(name))
+        assert '"v"^^<http://x/t>' in text and "<http://n/c>" in text and "no:c" not in text
+    assert run("turtle_reread_expanded")[0]["n"] == 2
+    assert [tuple(r) for r in run("write_errors")] == [(2, "d", BAD_CURIE, "undefined namespace prefix 'no:c'")]
