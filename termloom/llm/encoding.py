@@ -27,15 +27,15 @@ from termloom.util import cut, parallelism
 #: Pages that a text may have been shown in, and pages that it may really be in.
 SHOWN = (
     "cp1252 latin-1 mac-roman cp437 cp850 cp1250 cp1251 cp1253 cp1254 cp852 cp866 koi8-r iso8859-2 iso8859-5 iso8859-7 "
-    "utf-16-le utf-16-be"
+    "cp1257 iso8859-15 mac-cyrillic gbk shift-jis big5 euc-jp euc-kr utf-16-le utf-16-be"
 ).split()
 REAL = (
     "utf-8 utf-8*2 cp1252 mac-roman cp437 cp850 cp1250 cp1251 cp1253 cp1254 cp852 cp866 koi8-r iso8859-2 iso8859-5 "
-    "iso8859-7 gbk shift-jis big5 euc-jp euc-kr utf-16-le utf-16-be"
+    "iso8859-7 cp1257 iso8859-15 mac-cyrillic gbk shift-jis big5 euc-jp euc-kr utf-16-le utf-16-be"
 ).split()
-#: Two-byte pages can show any text; only these are told apart behind them.
-BEHIND_WIDE = ("utf-8", "cp1252", "utf-16-le", "utf-16-be")
-PAIRS = [(x, y) for x in SHOWN for y in (BEHIND_WIDE if x.startswith("utf") else REAL) if x != y]
+#: Pages whose letters may take several bytes, so that no letter-to-letter table holds for them.
+WIDE = {"gbk", "shift-jis", "big5", "euc-jp", "euc-kr", *(x for x in (*SHOWN, *REAL) if x.startswith("utf"))}
+PAIRS = [(x, y) for x in SHOWN for y in REAL if x != y]
 
 #: Slots of the bigram and letter tables; fixed, so what is broadcast and collected has a bound.
 SLOTS, LETTERS = 1 << 20, 1 << 16
@@ -182,7 +182,7 @@ class Model:
         for part in _PARTS.split(text):
             if part.isascii() or self.gains(part).get(cipher, 0.0) <= 0:
                 out.append(part)
-            elif shown.startswith("utf") or real.startswith("utf") or real in ("gbk", "shift-jis", "big5", "euc-jp", "euc-kr"):
+            elif shown in WIDE or real in WIDE:
                 out.append(reading(part, shown, real) or part)
             else:
                 out.append(part.translate(substitution(cipher)))
@@ -304,17 +304,11 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
         tables = context.broadcast((pairs, letters, weights))
         pairs, letters, ciphers = _statistics(words, lambda tables=tables: Model(*tables.value))
         plain = ciphers[-1] + 1.0
-        weights = {
-            k: max(math.log((ciphers[k] + 0.01) / plain), RAREST) for k in range(len(PAIRS)) if ciphers[k] > 0.05 or k in _always()
-        }
+        # no cipher leaves: a rare one with small gains at first may still be needed
+        weights = {k: max(math.log((ciphers[k] + 0.01) / plain), RAREST) for k in range(len(PAIRS))}
     return context.broadcast((pairs, letters, weights))
 
 
-def _always() -> set[int]:
-    """Ciphers that stay in the running even if no word of the data needed them."""
-    return {k for k, (x, y) in enumerate(PAIRS) if y == "utf-8" and x in ("cp1252", "latin-1", "mac-roman", "cp437", "cp850")}
-
-
 OUT = T.StructType(
     [
         T.StructField("node_id", T.LongType()),

@@ -75,3 +75,25 @@ def test_ciphers_invert_what_they_read(text):
 def test_substitution_tables_are_letter_to_letter():
     k = encoding.PAIRS.index(("cp850", "cp1252"))
     assert "Gr÷▀e".translate(encoding.substitution(k)) == "Größe"
+
+
+def test_pages_of_several_bytes_and_rare_pages(spark):
+    made, damaged = corpus()
+    texts = [r[2] for r in made if r[0] not in damaged]
+    rows = [(i, "d", t, None) for i, t in enumerate(texts)]
+    ways = [("utf-8", "gbk", "ru"), ("utf-8", "big5", "ru"), ("utf-8", "euc-kr", "ru"), ("utf-8", "mac-cyrillic", "de"), ("utf-8", "cp1257", "de"), ("cp1251", "mac-cyrillic", "ru")]
+    bad = {}
+    for n, (real, shown, lang) in enumerate(ways):
+        for m, word in enumerate(TEXTS[lang]):
+            text = f"{word} {TEXTS[lang][m - 1]}"
+            try:
+                wrong = text.encode(real).decode(shown)
+            except UnicodeError:
+                continue
+            if wrong != text:
+                bad[100_000 + 100 * n + m] = text
+                rows.append((100_000 + 100 * n + m, "d", wrong, None))
+    got = {r["node_id"]: r for r in encoding.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len({k // 100 for k in bad}) >= 4
+    assert sum(got[k]["garbled"] for k in bad) >= 0.9 * len(bad)
+    assert sum(got[k]["restored"] == t for k, t in bad.items()) >= 0.8 * len(bad)
