@@ -148,14 +148,11 @@ def balanced_aggregate(
 
 
 def key_shares(statements: DataFrame, tasks: int | None = None) -> DataFrame:
-    """For every (graph, predicate): rows, distinct subjects, first and last emission, share of all rows.
+    """For every (graph, predicate): rows, first and last emission, share of all rows.
 
-    ``graph`` is the empty string for the default graph. Distinct subjects are exact: a subject
-    stays within one shard of its key, and its rows are collapsed before the shards are formed.
+    ``graph`` is the empty string for the default graph.
     """
-    slim = statements.select(
-        F.coalesce("graph", F.lit("")).alias("graph"), "predicate", "subject", "emitted_at"
-    )
+    slim = statements.select(F.coalesce("graph", F.lit("")).alias("graph"), "predicate", "emitted_at")
     plan = plan_loads(slim, ["graph", "predicate"], tasks)
     result = balanced_aggregate(
         slim,
