@@ -3,20 +3,23 @@
 ``rdf`` reads files of all four, each by its extension. ``parse_rdf(text, syntax)`` is a table function
 over documents in a column, for use with LATERAL.
 
-Options for reading: ``path`` (file, folder or glob), ``base`` (default: the file's URI), ``mode``
+Options for reading: ``path`` (file, folder or pattern, local or as a URI), ``base`` (default: the file's URI), ``mode``
 (``FAILFAST``: stop with an exception at the first error; ``PERMISSIVE``, the default: errors are rows;
 ``DROPMALFORMED``: leave them out; ``STRICT``: an error row, then nothing more of that file),
-``blankPrefix``, ``defaultGraph``, ``expand`` (default true: terms come out absolute).
-For writing: ``ascii``, ``fullUris``, ``base``, ``root``, ``chopPrefix``; rows must be sorted by doc and
-seq within a partition. One task reads one file block by block, in memory bounded by one item. Files
-of the line syntaxes are split between lines every ``splitBytes`` (default 64 MB; 0: never) unless an
-error has to end the file; ``seq`` then grows with the place in the file, and errors have lines of their split.
+``blankPrefix``, ``defaultGraph``, ``expand`` (default true: terms come out absolute). Streams take the same
+options and give the same rows.
+For writing: ``ascii``, ``fullUris``, ``base``, ``root``, ``chopPrefix``, ``mode``; rows must be sorted by doc and
+seq within a partition. A statement that cannot be written stops the write (``FAILFAST``, the default); with
+``DROPMALFORMED`` it is left out, and its doc, seq, status and message stand in ``_refused-…`` beside the part.
+
+One task reads one file block by block, in memory bounded by one item. Files of the line syntaxes are
+split between lines every ``splitBytes`` (default 64 MB; 0: never) unless an error has to end the file;
+``seq`` then grows with the place in the file, and errors have lines of their split.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +30,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamArrowWriter,
     InputPartition,
     SimpleDataSourceStreamReader,
     WriterCommitMessage,
@@ -34,65 +38,19 @@ from pyspark.sql.datasource import (
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import StructType
 
-from termloom.functions.uri import file_uri
 from termloom.plans.transcode import Options
 from termloom.schema import EVENT, EXTENSIONS, syntax_of
 from termloom.sources.env import Env
-from termloom.sources.events import absolute, batches, event_row, row_event
+from termloom.sources.events import batches, event_row, row_events
+from termloom.sources.files import file_blocks, line_blocks, list_files, opened
 from termloom.sources.parser import Parser, parse_blocks
+from termloom.sources.reading import Reading, document_events
 from termloom.sources.writer import WriteFault, Writer
 from termloom.util import ship
 
-BLOCK = 1 << 18
 
-
-class ParseFailure(ValueError):
-    """An error in a file that is read with FAILFAST."""
-
-
-def local_path(path: str) -> str:
-    """Path of a local file given as a path or file URI."""
-    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
-
-
-def list_files(path: str) -> list[str]:
-    """Files of a path, folder or glob in order of name."""
-    path = local_path(path)
-    if os.path.isdir(path):
-        inside = (os.path.join(path, f) for f in os.listdir(path) if not f.startswith(("_", ".")))
-        return sorted(f for f in inside if os.path.isfile(f))
-    found = sorted(glob.glob(path))
-    if not found:
-        raise FileNotFoundError(path)
-    return found
-
-
-def file_blocks(path: str, size: int = BLOCK) -> Iterator[bytes]:
-    """Contents of a file in blocks."""
-    with open(path, "rb") as f:
-        while block := f.read(size):
-            yield block
-
-
-def document_events(blocks: Iterator[bytes], syntax: str, doc: str, options: dict[str, str]) -> Iterator[tuple]:
-    """Events of a document under the reading options."""
-    mode = options.get("mode", "PERMISSIVE").upper()
-    graph = options.get("defaultgraph")
-    parser = Parser(
-        syntax, strict=mode in ("FAILFAST", "STRICT"), blank_prefix=options.get("blankprefix", ""),
-        default_graph=("URI", graph) if graph else None,
-    )
-    events = parse_blocks(parser, blocks)
-    if options.get("expand", "true").lower() != "false":
-        base = options.get("base") or (file_uri(os.path.abspath(doc)) if "://" not in doc else doc)
-        events = absolute(events, base)
-    for event in events:
-        if event[0] == "error":
-            if mode == "FAILFAST":
-                raise ParseFailure(f"{doc}:{event[2]}:{event[3]}: {event[4]}")
-            if mode == "DROPMALFORMED":
-                continue
-        yield event
+def _lower(options: dict[str, str]) -> dict[str, str]:
+    return {k.lower(): v for k, v in options.items()}
 
 
 @dataclass
@@ -102,44 +60,22 @@ class _File(InputPartition):
     end: int | None = None
 
 
-def split_blocks(path: str, start: int, end: int | None, size: int = BLOCK) -> Iterator[bytes]:
-    """Whole lines of a file that begin in a range of bytes."""
-    with open(path, "rb") as f:
-        if start:
-            f.seek(start - 1)
-            f.readline()  # the line that the range before holds
-        while end is None or f.tell() < end:
-            left = size if end is None else min(size, end - f.tell())
-            block = f.read(left)
-            if not block:
-                return
-            yield block
-        if end and f.tell() == end:
-            f.seek(end - 1)
-            yield f.readline()[1:]
-
-
 class _Reader(DataSourceReader):
     def __init__(self, syntax: str, options: dict[str, str]) -> None:
-        self.syntax, self.options = syntax, dict(options)
+        self.syntax, self.options = syntax, _lower(options)
 
     def partitions(self) -> list[_File]:
-        options = {k.lower(): v for k, v in self.options.items()}
-        most = int(options.get("splitbytes", 1 << 26))
-        if self.syntax not in ("ntriples", "nquads") or most <= 0 or options.get("mode", "").upper() == "STRICT":
-            return [_File(f) for f in list_files(self.options["path"])]
-        parts = []
-        for f in list_files(self.options["path"]):
-            size = os.path.getsize(f)
-            parts += [_File(f, at, min(at + most, size)) for at in range(0, max(size, 1), most)]
-        return parts
+        most = int(self.options.get("splitbytes", 1 << 26))
+        files = list_files(self.options["path"])
+        if self.syntax not in ("ntriples", "nquads") or most <= 0 or self.options.get("mode", "").upper() == "STRICT":
+            return [_File(f) for f, _ in files]
+        return [_File(f, at, min(at + most, size)) for f, size in files for at in range(0, max(size, 1), most)]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        options = {k.lower(): v for k, v in self.options.items()}
-        whole = partition.start == 0 and partition.end is None
-        blocks = file_blocks(partition.path) if whole else split_blocks(partition.path, partition.start, partition.end)
-        events = document_events(blocks, self.syntax, partition.path, options)
-        yield from batches(event_row(partition.path, partition.start + n, e) for n, e in enumerate(events))
+        p = partition
+        blocks = file_blocks(p.path) if p.end is None else line_blocks(p.path, p.start, p.end)
+        events = document_events(blocks, self.syntax, p.path, self.options)
+        yield from batches(event_row(p.path, p.start + n, e) for n, e in enumerate(events))
 
 
 class _AnyReader(_Reader):
@@ -149,74 +85,144 @@ class _AnyReader(_Reader):
         yield from _Reader(syntax_of(partition.path), self.options).read(partition)
 
 
+# Writing
+
+
 @dataclass
 class _Written(WriterCommitMessage):
-    staged: str
-    final: str
+    staged: list[str]
+    refused: int
 
 
-class _Writer(DataSourceArrowWriter):
-    """One file per task, staged beside its place and renamed when all tasks are done."""
+class _Parts:
+    """Part files of one job, staged below the target's ``_staged-<job>`` and moved when all tasks are done.
 
-    def __init__(self, syntax: str, options: dict[str, str], overwrite: bool) -> None:
-        self.syntax = syntax
-        self.options = {k.lower(): v for k, v in options.items()}
-        self.overwrite = overwrite
-        self.folder = local_path(self.options["path"])
-        os.makedirs(self.folder, exist_ok=True)
+    Parts are named by the job, so an append never meets the parts of another. The parts that an
+    overwrite replaces are deleted only when the new ones are in place.
+    """
+
+    def __init__(self, syntax: str, options: dict[str, str], job: str) -> None:
+        self.syntax, self.options, self.job = syntax, _lower(options), job
+        self.folder = self.options["path"].rstrip("/")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
 
         extension = next(e for e, s in EXTENSIONS.items() if s == self.syntax)
-        task = TaskContext.get().partitionId()
-        final = os.path.join(self.folder, f"part-{task:05d}{extension}")
-        staged = os.path.join(self.folder, f".{uuid.uuid4().hex}{extension}")
-        with open(staged, "w", encoding="utf-8", newline="") as out:
-            for text in write_events(iterator, self.syntax, self.options):
-                out.write(text)
-        return _Written(staged, final)
+        context = TaskContext.get()
+        system, folder, _ = opened(self.folder)
+        # tries of one task, as of a speculative run, do not share a name
+        staged = f"{folder}/_staged-{self.job}/{context.taskAttemptId()}"
+        system.create_dir(staged, recursive=True)
+        name, refused = f"part-{self.job}-{context.partitionId():05d}{extension}", []
+        with system.open_output_stream(f"{staged}/{name}") as out:
+            for text in write_events(iterator, self.syntax, self.options, refused):
+                out.write(text.encode("utf-8", "surrogateescape"))
+        names = [name]
+        if refused:
+            names.append(f"_refused-{self.job}-{context.partitionId():05d}.jsonl")
+            with system.open_output_stream(f"{staged}/{names[1]}") as out:
+                out.write("".join(json.dumps(dict(zip(("doc", "seq", "status", "message"), r))) + "\n" for r in refused).encode())
+        return _Written([f"{staged}/{n}" for n in names], len(refused))
+
+    def commit(self, messages: list[_Written | None], replace: bool) -> None:
+        from pyarrow import fs
+
+        system, folder, _ = opened(self.folder)
+        system.create_dir(folder, recursive=True)
+        old = system.get_file_info(fs.FileSelector(folder)) if replace else []
+        for staged in (s for m in messages if m is not None for s in m.staged):
+            system.move(staged, f"{folder}/{staged.rpartition('/')[2]}")
+        for f in old:
+            if f.base_name.startswith(("part-", "_refused-")) and f.type == fs.FileType.File and self.job not in f.base_name:
+                system.delete_file(f.path)
+        self.clear()
+        with system.open_output_stream(f"{folder}/_SUCCESS"):
+            pass
+
+    def clear(self) -> None:
+        """Delete what is staged."""
+        from pyarrow import fs
+
+        system, folder, _ = opened(self.folder)
+        staged = f"{folder}/_staged-{self.job}"
+        if system.get_file_info(staged).type == fs.FileType.Directory:
+            system.delete_dir(staged)
+
+
+class _Writer(DataSourceArrowWriter):
+    """One part per task; all of a job's parts appear, or none."""
+
+    def __init__(self, syntax: str, options: dict[str, str], overwrite: bool) -> None:
+        self.parts, self.overwrite = _Parts(syntax, options, uuid.uuid4().hex[:12]), overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        return self.parts.write(iterator)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        if self.overwrite:
-            for f in os.listdir(self.folder):
-                if f.startswith("part-"):
-                    os.remove(os.path.join(self.folder, f))
-        for m in messages:
-            if m is not None:
-                os.replace(m.staged, m.final)
-        with open(os.path.join(self.folder, "_SUCCESS"), "w"):
-            pass
+        self.parts.commit(messages, self.overwrite)
 
     def abort(self, messages: list[_Written | None]) -> None:
+        self.parts.clear()
+
+
+class _StreamWriter(DataSourceStreamArrowWriter):
+    """Parts of each batch of a stream. A batch that is run again after a failure replaces its own parts."""
+
+    def __init__(self, syntax: str, options: dict[str, str], overwrite: bool) -> None:
+        self.syntax, self.options, self.overwrite, self.run = syntax, dict(options), overwrite, uuid.uuid4().hex[:12]
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        return _Parts(self.syntax, self.options, self.run).write(iterator)
+
+    def commit(self, messages: list[_Written | None], batchId: int) -> None:  # noqa: N803
+        from pyarrow import fs
+
+        system, folder, _ = opened(self.options["path"].rstrip("/"))
+        final = f"batch{batchId:09d}"
+        if not self.overwrite:
+            for f in system.get_file_info(fs.FileSelector(folder)):
+                if f.base_name.startswith((f"part-{final}-", f"_refused-{final}-")):
+                    system.delete_file(f.path)
         for m in messages:
-            if m is not None and os.path.exists(m.staged):
-                os.remove(m.staged)
+            for n, staged in enumerate(m.staged if m is not None else []):
+                place, _, name = staged.rpartition("/")
+                m.staged[n] = f"{place}/{name.replace(self.run, final)}"
+                system.move(staged, m.staged[n])
+        _Parts(self.syntax, self.options, final).commit(messages, self.overwrite)
+        _Parts(self.syntax, self.options, self.run).clear()
+
+    def abort(self, messages: list[_Written | None], batchId: int) -> None:  # noqa: N803
+        _Parts(self.syntax, self.options, self.run).clear()
 
 
-def write_events(iterator: Iterator[pa.RecordBatch], syntax: str, options: dict[str, str]) -> Iterator[str]:
-    """Text of event or statement rows in order; each document has its own scope."""
+def write_events(iterator: Iterator[pa.RecordBatch], syntax: str, options: dict[str, str], refused: list[tuple] | None = None) -> Iterator[str]:
+    """Text of event or statement rows in order; each document has its own scope.
+
+    A statement that cannot be written raises, or with mode ``DROPMALFORMED`` goes to ``refused`` as
+    (doc, seq, status, message).
+    """
+    mode = options.get("mode", "FAILFAST").upper()
     choice = Options(
         input="turtle", output=syntax, ascii=options.get("ascii", "false").lower() == "true",
-        full_uris=options.get("fulluris", "false").lower() == "true", lax=options.get("mode", "").upper() != "FAILFAST",
+        full_uris=options.get("fulluris", "false").lower() == "true", lax=mode == "DROPMALFORMED",
     )
     writer, doc = None, object()
     for batch in iterator:
-        for row in batch.to_pylist():
-            if row.get("doc") != doc:
+        for name, seq, event in row_events(batch):
+            if name != doc:
                 if writer is not None:
                     writer.finish()
                     yield writer.text()
-                doc = row.get("doc")
-                writer = Writer(
-                    syntax, Env(options.get("base")), choice.style, options.get("root"), options.get("chopprefix", "")
-                )
-            row.setdefault("kind", "statement")
+                doc = name
+                writer = Writer(syntax, Env(options.get("base")), choice.style, options.get("root"), options.get("chopprefix", ""))
             try:
-                writer.event(row_event(row))
+                writer.event(event)
             except WriteFault as fault:
-                if not choice.lax:
-                    raise ValueError(f"{doc}, {row.get('seq')}: {fault}") from None
+                if mode != "DROPMALFORMED":
+                    raise ValueError(f"{doc}, {seq}: {fault}") from None
+                if refused is not None:
+                    refused.append((doc, seq, fault.status, str(fault)))
         if writer is not None:
             yield writer.text()
     if writer is not None:
@@ -224,45 +230,36 @@ def write_events(iterator: Iterator[pa.RecordBatch], syntax: str, options: dict[
         yield writer.text()
 
 
+# Streaming
+
+
 class _Tail(SimpleDataSourceStreamReader):
     """Events of one growing file: each trigger reads the items that are complete by then.
 
-    The offset holds the place in the file and the parser's state, so a restarted query goes on
-    where it was. A NUL between items is skipped.
+    The offset holds the place in the file and the state of the reading, so a restarted query goes on
+    where it was. A trigger reads about ``maxBytesPerTrigger`` (default 4 MiB), and more where one item
+    is larger. A NUL between items is skipped.
     """
 
     def __init__(self, syntax: str, options: dict[str, str]) -> None:
-        self.syntax = syntax
-        self.options = {k.lower(): v for k, v in options.items()}
+        self.syntax, self.options = syntax, _lower(options)
 
     def initialOffset(self) -> dict:
-        return {"at": 0, "seq": 0, "line": 1, "col": 1, "next_id": 1, "seen": False, "failed": False, "skipping": False}
+        return {"at": 0, "state": Reading(self.syntax, self.options["path"], self.options).state()}
 
     def _events(self, start: dict, end: int | None) -> tuple[list[tuple], dict]:
-        path = local_path(self.options["path"])
-        mode = self.options.get("mode", "PERMISSIVE").upper()
-        parser = Parser(self.syntax, mode in ("FAILFAST", "STRICT"), self.options.get("blankprefix", ""))
-        parser.line, parser.col, parser.next_id = start["line"], start["col"], start["next_id"]
-        parser.seen_genid, parser.failed, parser.skipping = start["seen"], start["failed"], start["skipping"]
-        parser.started = start["at"] > 0
-        rows, seq, at = [], start["seq"], start["at"]
+        path, at = self.options["path"], start["at"]
+        reading = Reading(self.syntax, path, self.options, start["state"])
         limit = int(self.options.get("maxbytespertrigger", 1 << 22))
-        with open(path, "rb") as f:
-            f.seek(at)
-            data = f.read(limit if end is None else end - at)
-        parser.feed(data)
-        while (events := parser.step()) is not None:
-            for e in events:
-                if e[0] == "error" and mode == "FAILFAST":
-                    raise ParseFailure(f"{path}:{e[2]}:{e[3]}: {e[4]}")
-                rows.append(event_row(path, seq, e))
-                seq += 1
-        left = len(parser.text[parser.pos :].encode("utf-8", "surrogateescape")) + len(parser._pending)
-        line, col = parser.place(parser.pos)
-        return rows, {
-            "at": at + len(data) - left, "seq": seq, "line": line, "col": col, "next_id": parser.next_id,
-            "seen": parser.seen_genid, "failed": parser.failed, "skipping": parser.skipping,
-        }
+        rows = []
+        for block in file_blocks(path, at, end, min(limit, 1 << 20) if end is None else 1 << 20):
+            rows += [event_row(path, n, e) for n, e in reading.feed(block)]
+            at += len(block)
+            done = at - len(reading.rest()) > start["at"]  # an item, or blanks between items, at least
+            if end is None and done and at - start["at"] >= limit:
+                break
+        left = len(reading.rest())
+        return rows, {"at": at - left, "state": reading.state()}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, end = self._events(start, None)
@@ -291,6 +288,9 @@ class _Source(DataSource):
     def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
         return _Tail(self.syntax, self.options)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
+        return _StreamWriter(self.syntax, self.options, overwrite)
+
 
 class TurtleSource(_Source):
     """Turtle files."""
@@ -305,13 +305,13 @@ class TrigSource(_Source):
 
 
 class NTriplesSource(_Source):
-    """N-Triples files; see :mod:`termloom.sources.lines` for the splittable way."""
+    """N-Triples files; see :mod:`termloom.sources.lines` for the way that stays in the JVM."""
 
     syntax = "ntriples"
 
 
 class NQuadsSource(_Source):
-    """N-Quads files; see :mod:`termloom.sources.lines` for the splittable way."""
+    """N-Quads files; see :mod:`termloom.sources.lines` for the way that stays in the JVM."""
 
     syntax = "nquads"
 

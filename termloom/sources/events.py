@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,20 +35,37 @@ def event_row(doc: str | None, seq: int, event: tuple) -> tuple:
 
 def row_event(row: dict) -> tuple:
     """The event of a row; the inverse of :func:`event_row`."""
-    kind = row["kind"]
-    node = lambda t, v: None if row[t] is None else (row[t], row[v])
-    if kind == "statement":
+    return _event(*[row.get(n) for n in _FIELDS])
+
+
+_FIELDS = (
+    "kind", "flags", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_flags", "o_datatype_type", "o_datatype", "o_lang",
+    "name", "uri", "status", "line", "col", "message",
+)
+
+
+def _event(kind, flags, gt, g, st, s, pt, p, ot, o, o_flags, dtt, dt, lang, name, uri, status, line, col, message) -> tuple:  # noqa: ANN001
+    if kind is None or kind == "statement":
         return (
-            kind, row["flags"] or 0, node("g_type", "g"), node("s_type", "s"), node("p_type", "p"), node("o_type", "o"),
-            row["o_flags"] or 0, node("o_datatype_type", "o_datatype"), row["o_lang"],
+            "statement", flags or 0, None if gt is None else (gt, g), None if st is None else (st, s), None if pt is None else (pt, p),
+            None if ot is None else (ot, o), o_flags or 0, None if dtt is None else (dtt, dt), lang,
         )
     if kind == "prefix":
-        return (kind, row["name"], row["uri"])
+        return (kind, name, uri)
     if kind == "base":
-        return (kind, row["uri"])
+        return (kind, uri)
     if kind == "end":
-        return (kind, node("s_type", "s"))
-    return (kind, row["status"], row["line"], row["col"], row["message"])
+        return (kind, None if st is None else (st, s))
+    return (kind, status, line, col, message)
+
+
+def row_events(batch: pa.RecordBatch) -> Iterator[tuple[str | None, int | None, tuple]]:
+    """(doc, seq, event) of event or statement rows; columns that are not there are null."""
+    own = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+    columns = [own.get(n) or repeat(None) for n in _FIELDS]
+    docs, seqs = (own.get(n) or repeat(None, batch.num_rows) for n in ("doc", "seq"))
+    for doc, seq, *fields in zip(docs, seqs, *columns):
+        yield doc, seq, _event(*fields)
 
 
 def batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
@@ -68,36 +86,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
 
-def absolute(events: Iterable[tuple], base: str | None) -> Iterator[tuple]:
-    """Events with references resolved and prefixed names expanded, in the scope of their place.
+class Absolute:
+    """Makes references and prefixed names of events absolute, in the scope of their place.
 
     Bases and prefixes come out absolute; a name whose prefix is unknown stays as it is.
     """
-    env = Env(base)
-    memo: dict[tuple, tuple] = {}
 
-    def full(node: tuple[str, str] | None) -> tuple[str, str] | None:
+    def __init__(self, base: str | None = None) -> None:
+        self.env = Env(base)
+        self.memo: dict[tuple, tuple] = {}
+
+    def node(self, node: tuple[str, str] | None) -> tuple[str, str] | None:
         if node is None or node[0] not in (URI, CURIE):
             return node
-        found = memo.get(node)
+        found = self.memo.get(node)
         if found is None:
-            if len(memo) > 20_000:
-                memo.clear()
-            found = memo[node] = env.expand_node(node) or node
+            if len(self.memo) > 20_000:
+                self.memo.clear()
+            found = self.memo[node] = self.env.expand_node(node) or node
         return found
 
-    for e in events:
-        if e[0] == "statement":
-            yield (e[0], e[1], full(e[2]), full(e[3]), full(e[4]), full(e[5]), e[6], full(e[7]), e[8])
-        elif e[0] == "base":
-            env.set_base(e[1])
-            memo.clear()
-            yield ("base", env.base)
-        elif e[0] == "prefix":
-            env.set_prefix(e[1], e[2])
-            memo.clear()
-            yield ("prefix", e[1], env.prefixes[e[1]])
-        elif e[0] == "end":
-            yield (e[0], full(e[1]))
-        else:
-            yield e
+    def event(self, e: tuple) -> tuple:
+        """The event with its nodes absolute; directives change the scope of those after them."""
+        full, kind = self.node, e[0]
+        if kind == "statement":
+            return (kind, e[1], full(e[2]), full(e[3]), full(e[4]), full(e[5]), e[6], full(e[7]), e[8])
+        if kind == "end":
+            return (kind, full(e[1]))
+        if kind not in ("base", "prefix"):
+            return e
+        self.memo.clear()
+        if kind == "base":
+            self.env.set_base(e[1])
+            return (kind, self.env.base)
+        self.env.set_prefix(e[1], e[2])
+        return (kind, e[1], self.env.prefixes[e[1]])
