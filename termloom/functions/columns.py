@@ -150,6 +150,43 @@ def parse_double(text: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_extract(text, NUMBER, 0)).try_cast("double"), F.when(text.isNotNull(), F.lit(0.0)))
 
 
+def number_end(text: Column) -> Column:
+    """Characters that the number at the start of a text takes; 0 where there is none."""
+    return F.length(F.regexp_extract(text, NUMBER, 0))
+
+
+def cut_bytes(text: Column, most: Column) -> Column:
+    """The longest start of a text that takes at most so many bytes and holds whole characters."""
+    raw = F.substring(F.encode(text, "utf-8"), F.lit(1), most)
+    size = F.length(raw)
+    # a character cut at the end shows as its lead byte among the last three, which tells how long it is
+    lead = lambda back: F.conv(F.hex(F.substring(raw, size - back + 1, F.lit(1))), 16, 10).cast("int")
+    over = (
+        F.when((size >= 1) & (lead(1) >= 0xC0), 1).when((size >= 2) & (lead(2) >= 0xE0), 2).when((size >= 3) & (lead(3) >= 0xF0), 3).otherwise(0)
+    )
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), size - over), "utf-8"))
+
+
+def node_of(kind: Column, text: Column, most: Column | None = None) -> Column:
+    """Struct of a node: type, text and its measures; with ``most``, of the text's first bytes only."""
+    own = text if most is None else cut_bytes(text, most)
+    return _let(F.struct(kind.alias("k"), own.alias("v")), lambda x: F.struct(
+        x["k"].alias("type"), x["v"].alias("text"), text_measure(x["v"])["n_chars"].alias("n_chars"),
+        text_measure(x["v"])["n_bytes"].alias("n_bytes"), text_measure(x["v"])["flags"].alias("flags"),
+    ))
+
+
+def same_folded(a: Column, b: Column) -> Column:
+    """Whether two texts are the same but for the case of ASCII letters."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(a, upper, lower) == F.translate(b, upper, lower)
+
+
+def valid_utf8(raw: Column) -> Column:
+    """Text of bytes, each run that is no UTF-8 as U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
 def decimal_text(value: Column, places: int = 8) -> Column:
     """Decimal text with at most ``places`` digits after the point, one at least."""
     fixed = F.round(value.cast(f"decimal(38,{min(places + 8, 18)})"), places).cast(f"decimal(38,{places})").cast("string")
@@ -337,9 +374,19 @@ def file_path(uri: Column) -> Column:
     return _text_function(one)(uri)
 
 
-def uri_relative_to(uri: Column, base: Column) -> Column:
-    """A URI as seen from a base it is related to, with ``../`` where needed; itself elsewhere."""
-    return _text_function(lambda u, b: U.relative(U.parse(u), U.parse(b)))(uri, base)
+def uri_relative_to(uri: Column, base: Column, root: Column | None = None) -> Column:
+    """A URI as seen from a base it is related to, with ``../`` where needed; itself elsewhere.
+
+    With a ``root`` (null: none), only URIs under it are seen from the base, and ``../`` never leaves it.
+    """
+
+    @F.arrow_udf("string")
+    def run(uris: pa.Array, bases: pa.Array, roots: pa.Array) -> pa.Array:
+        rows = zip(uris.to_pylist(), bases.to_pylist(), roots.to_pylist())
+        seen = lambda u, b, r: U.relative(U.parse(u), U.parse(b), None if r is None else U.parse(r))
+        return pa.array([None if u is None or b is None else seen(u, b, r) for u, b, r in rows], pa.string())
+
+    return run(uri, base, F.lit(None).cast("string") if root is None else root)
 
 
 def local_name(text: Column) -> Column:

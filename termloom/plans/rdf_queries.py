@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from termloom.functions import columns as C
 from termloom.operators import documents, env
-from termloom.schema import BAD_CURIE, STATUS_MESSAGES, XSD
+from termloom.schema import BAD_CURIE, EVENT, XSD
 from termloom.sources import lines
-from termloom.util import table
+from termloom.sources.datasource import register
+from termloom.util import parallelism, shared_folder, spread, table
 
 FOLDER = "http://kelmar.example/thing/"
 NAMES = {"g": "graph", "s": "subject", "p": "predicate", "o": "object"}
@@ -311,12 +312,15 @@ def node_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("node_id", C.same_node(F.col("type"), F.col("buf"), F.col("_type"), F.col("_buf")).alias("same"))
 
 
-_STATUS_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in STATUS_MESSAGES.items())
+# Texts of the status codes, in the order of their numbers.
+_STATUS_SQL = """WHEN 0 THEN 'Success' WHEN 1 THEN 'Non-fatal failure' WHEN 2 THEN 'Unknown error' WHEN 3 THEN 'Invalid syntax'
+    WHEN 4 THEN 'Invalid argument' WHEN 5 THEN 'Not found' WHEN 6 THEN 'Blank node ID clash' WHEN 7 THEN 'Invalid CURIE'
+    WHEN 8 THEN 'Internal error' WHEN 9 THEN 'Error writing to file' WHEN 10 THEN 'Invalid text encoding'"""
 
 
-@query(f"SELECT stmt_id, CASE length(predicate) {_STATUS_SQL} ELSE 'Unknown error' END AS message FROM statements")
+@query(f"SELECT stmt_id, CASE stmt_id % 13 {_STATUS_SQL} ELSE 'Unknown error' END AS message FROM statements")
 def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "statements").select("stmt_id", C.status_message(F.length("predicate")).alias("message"))
+    return _t(spark, sf_dir, "statements").select("stmt_id", C.status_message((F.col("stmt_id") % 13).cast("int")).alias("message"))
 
 
 @query("""SELECT stmt_id FROM statements WHERE s_type IN ('URI', 'CURIE', 'BLANK') AND subject IS NOT NULL
@@ -342,20 +346,6 @@ def elide_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Lines and documents
 
-_LINE_SQL = f"""
-SELECT stmt_id, s || ' ' || p || ' ' || o || g || ' .' AS line FROM (
-  SELECT stmt_id,
-    CASE s_type WHEN 'URI' THEN '<' || subject || '>' WHEN 'BLANK' THEN '_:' || subject END AS s,
-    CASE p_type WHEN 'URI' THEN '<' || predicate || '>' END AS p,
-    CASE o_type WHEN 'URI' THEN '<' || object || '>' WHEN 'BLANK' THEN '_:' || object
-      WHEN 'LITERAL' THEN '"' || {_ESC.format('object')} || '"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang
-        WHEN o_datatype IS NOT NULL THEN '^^<' || o_datatype || '>' ELSE '' END END AS o,
-    CASE WHEN g_type IS NULL THEN '' WHEN g_type = 'URI' THEN ' <' || graph || '>' WHEN g_type = 'BLANK' THEN ' _:' || graph END AS g
-  FROM statements WHERE NOT (o_datatype IS NOT NULL AND o_lang IS NOT NULL)
-    AND coalesce(o_datatype_type, 'URI') = 'URI')
-WHERE s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND g IS NOT NULL"""
-
-
 _TERM_SQL = ", ".join(
     f"CASE WHEN s.{k} = 'CURIE' AND {k}_p.uri IS NOT NULL THEN 'URI' ELSE s.{k} END AS {k}, "
     f"CASE WHEN s.{k} = 'CURIE' AND {k}_p.uri IS NOT NULL THEN {k}_p.uri || substr(s.{v}, instr(s.{v}, ':') + 1) ELSE s.{v} END AS {v}"
@@ -365,74 +355,69 @@ _SCOPE_SQL = " ".join(
     f"LEFT JOIN first {k}_p ON s.{k} = 'CURIE' AND {k}_p.doc = s.doc AND contains(s.{v}, ':') AND {k}_p.name = substr(s.{v}, 1, instr(s.{v}, ':') - 1)"
     for k, v in env.TERMS
 )
-_EXPANDED_SQL = f"""
-WITH first AS (SELECT doc, name, min(ord) AS ord, arg_max(uri, ord) AS uri FROM prefixes WHERE name IS NOT NULL AND uri IS NOT NULL GROUP BY doc, name),
-expanded AS (SELECT s.stmt_id, s.doc, s.o_lang, s.flags, {_TERM_SQL} FROM statements s {_SCOPE_SQL})
-"""
+_COHERENT_SQL = """coalesce(s_type IN ('URI', 'CURIE', 'BLANK') AND subject IS NOT NULL AND p_type IN ('URI', 'CURIE', 'BLANK')
+    AND predicate IS NOT NULL AND o_type IS NOT NULL AND object IS NOT NULL AND NOT (o_datatype IS NOT NULL AND o_lang IS NOT NULL)
+    AND NOT coalesce(((flags & 64) <> 0 AND (flags & 10) <> 0) OR ((flags & 128) <> 0 AND (flags & 20) <> 0), false), false)"""
 
 
-def _statements(spark: SparkSession, sf_dir: str, expand: bool) -> DataFrame:
-    """The statements, with prefixed names in full where ``expand`` is set and their document defines the prefix."""
-    rows = _t(spark, sf_dir, "statements")
-    return env.expand_statements(rows, _t(spark, sf_dir, "prefixes")) if expand else rows
+def _lost(terms: list[tuple[str, str]]) -> str:
+    names = ", ".join(f"CASE WHEN {k} = 'CURIE' THEN {v} END" for k, v in terms)
+    return f"'undefined namespace prefix ' || chr(39) || coalesce({names}) || chr(39)"
 
 
-def _lines(spark: SparkSession, sf_dir: str, expand: bool = False, **options: bool) -> DataFrame:
-    rows = _statements(spark, sf_dir, expand).where(F.coalesce("o_datatype_type", F.lit("URI")) == "URI")
-    return rows.select("stmt_id", lines.statement_line(**options, **NAMES).alias("line"))
+#: Every statement with its names in full, and why it cannot be written as a quad or as a triple.
+_EXPANDED_SQL = f"""
+WITH first AS (SELECT doc, name, min(ord) AS ord, arg_max(uri, ord) AS uri FROM prefixes WHERE name IS NOT NULL AND uri IS NOT NULL GROUP BY doc, name),
+named AS (SELECT s.stmt_id, s.doc, s.o_lang, s.flags, {_TERM_SQL} FROM statements s {_SCOPE_SQL}),
+expanded AS (SELECT *, CASE WHEN NOT {_COHERENT_SQL} THEN 'incoherent statement' ELSE {_lost(env.WRITTEN)} END AS no_quad,
+  CASE WHEN NOT {_COHERENT_SQL} THEN 'incoherent statement' ELSE {_lost(env.WRITTEN[:-1])} END AS no_triple FROM named)
+"""
+_TEXT_SQL = """CASE {k} WHEN 'URI' THEN '<' || {v} || '>' WHEN 'BLANK' THEN '_:' || {v} END"""
+_LITERAL_SQL = f"""'"' || {_ESC.format('object')} || '"' || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang
+    WHEN o_datatype IS NOT NULL THEN '^^<' || o_datatype || '>' ELSE '' END"""
 
 
-@query(_LINE_SQL)
-def nq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("line IS NOT NULL")
+def _line_sql(quads: bool) -> str:
+    parts = [_TEXT_SQL.format(k="s_type", v="subject"), _TEXT_SQL.format(k="p_type", v="predicate"),
+             f"CASE WHEN o_type = 'LITERAL' THEN {_LITERAL_SQL} ELSE {_TEXT_SQL.format(k='o_type', v='object')} END"]
+    line = " || ' ' || ".join(parts) + (f" || coalesce(' ' || {_TEXT_SQL.format(k='g_type', v='graph')}, '')" if quads else "")
+    why = "no_quad" if quads else "no_triple"
+    return f"{_EXPANDED_SQL} SELECT stmt_id, CASE WHEN {why} IS NULL THEN {line} || ' .' END AS line, {why} AS refused FROM expanded"
 
 
-@query(_LINE_SQL.replace("|| o || g ||", "|| o ||"))
-def nt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, quads=False).where("line IS NOT NULL")
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements with prefixed names in full where their document defines the prefix; ``refused`` tells of the others."""
+    rows = env.expand_statements(spread(_t(spark, sf_dir, "statements")), _t(spark, sf_dir, "prefixes"))
+    return rows.withColumnsRenamed({v: k for k, v in NAMES.items()})
 
 
-@query("""
-SELECT stmt_id, g_type, graph AS g, s_type, subject AS s, p_type, predicate AS p, o_type, object AS o, o_datatype_type, o_datatype, o_lang
-FROM statements WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type IN ('URI', 'BLANK', 'LITERAL')
-  AND coalesce(g_type, 'URI') IN ('URI', 'BLANK') AND coalesce(o_datatype_type, 'URI') = 'URI'
-  AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND NOT (o_datatype IS NOT NULL AND o_lang IS NOT NULL)""")
-def nq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = lines.read_lines(_lines(spark, sf_dir, ascii_only=True), "nquads", column="line")
-    return back.where("kind = 'statement'").select(
-        "stmt_id", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype_type", "o_datatype", "o_lang"
-    )
+def _lines(spark: SparkSession, sf_dir: str, quads: bool = True, ascii_only: bool = False) -> DataFrame:
+    return _expanded(spark, sf_dir).select("stmt_id", lines.statement_line(quads, ascii_only).alias("line"), lines.refusal(quads).alias("refused"))
 
 
-@query(_EXPANDED_SQL + _LINE_SQL.replace("FROM statements", "FROM expanded"))
-def nq_lines_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all statements, prefixed names in full; what has no line is in ``write_errors``."""
-    return _lines(spark, sf_dir, True).where("line IS NOT NULL")
+@query(_line_sql(True))
+def nq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per statement: its line, or why it has none."""
+    return _lines(spark, sf_dir)
 
 
-@query(_EXPANDED_SQL + _LINE_SQL.replace("FROM statements", "FROM expanded").replace("|| o || g ||", "|| o ||"))
-def nt_lines_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, True, quads=False).where("line IS NOT NULL")
+@query(_line_sql(False))
+def nt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir, quads=False)
 
 
-@query(_EXPANDED_SQL + """
-SELECT stmt_id, g_type, graph AS g, s_type, subject AS s, p_type, predicate AS p, o_type, object AS o, o_datatype_type, o_datatype, o_lang
-FROM expanded WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type IN ('URI', 'BLANK', 'LITERAL')
-  AND coalesce(g_type, 'URI') IN ('URI', 'BLANK') AND coalesce(o_datatype_type, 'URI') = 'URI'
-  AND subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND NOT (o_datatype IS NOT NULL AND o_lang IS NOT NULL)""")
-def nq_roundtrip_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = lines.read_lines(_lines(spark, sf_dir, True, ascii_only=True), "nquads", column="line")
-    return back.where("kind = 'statement'").select(
-        "stmt_id", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype_type", "o_datatype", "o_lang"
-    )
+_BACK = ["s_type", "s", "p_type", "p", "o_type", "o", "o_datatype_type", "o_datatype", "o_lang"]
+_BACK_SQL = "s_type, subject AS s, p_type, predicate AS p, o_type, object AS o, o_datatype_type, o_datatype, o_lang"
 
 
-_UNDEFINED_SQL = "coalesce(" + ", ".join(f"CASE WHEN {k} = 'CURIE' THEN {v} END" for k, v in env.WRITTEN) + ")"
+@query(_EXPANDED_SQL + f"SELECT stmt_id, g_type, graph AS g, {_BACK_SQL}, no_quad AS refused FROM expanded WHERE no_quad IS NULL")
+def nq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements written as ASCII lines and read again; those without a line are rows of ``nq_lines``."""
+    back = lines.read_lines(_lines(spark, sf_dir, ascii_only=True), "nquads", column="line")
+    return back.where("kind = 'statement'").select("stmt_id", "g_type", "g", *_BACK, "refused")
 
 
-@query(_EXPANDED_SQL + f"""
-SELECT stmt_id, doc, {BAD_CURIE} AS status, 'undefined namespace prefix ' || chr(39) || {_UNDEFINED_SQL} || chr(39) AS message
-FROM expanded WHERE {_UNDEFINED_SQL} IS NOT NULL""")
+@query(_EXPANDED_SQL + f"SELECT stmt_id, doc, {BAD_CURIE} AS status, no_quad AS message FROM expanded WHERE no_quad <> 'incoherent statement'")
 def write_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements that no text or line can hold, as their document defines no prefix for a name in them."""
     return env.write_errors(_t(spark, sf_dir, "statements"), _t(spark, sf_dir, "prefixes"))
@@ -446,27 +431,20 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("URI").alias("p_type"), F.lit("http://data.example/name").alias("p"), F.lit("LITERAL").alias("o_type"),
         F.col("n_name").alias("o"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"),
     )
-    return rows.select("n_nationkey", lines.statement_line(False).alias("line"))
+    return rows.select("n_nationkey", lines.statement_line(False, typed=False).alias("line"))
 
 
-@query()
-def documents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.read_documents(_t(spark, sf_dir, "inputs"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expanded(spark, sf_dir).withColumn("flags", F.lit(0)).withColumn("seq", F.col("stmt_id"))
 
 
-@query()
-def documents_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.convert_documents(_t(spark, sf_dir, "inputs"), "turtle")
-
-
-def _text(spark: SparkSession, sf_dir: str, syntax: str, expand: bool = True) -> DataFrame:
-    rows = _statements(spark, sf_dir, expand).withColumnsRenamed({v: k for k, v in NAMES.items()})
-    flat = rows.withColumn("flags", F.lit(0)).withColumn("seq", F.col("stmt_id"))
-    return documents.document_text(flat, syntax, fulluris="true")
+def _text(spark: SparkSession, sf_dir: str, syntax: str) -> DataFrame:
+    return documents.document_text(_events(spark, sf_dir), syntax, flat=True, fulluris="true")
 
 
 @query()
 def trig_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statements that can be written, as TriG; ``trig_reread`` and ``trig_refused`` tell whether it is right."""
     return _text(spark, sf_dir, "trig")
 
 
@@ -481,19 +459,79 @@ def turtle_reserialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.transcode_pieces(_text(spark, sf_dir, "turtle"), "turtle", "turtle")
 
 
-@query("SELECT count(*) AS n FROM statements WHERE s_type IN ('URI', 'BLANK') AND p_type = 'URI' AND o_type <> 'CURIE' AND coalesce(o_datatype_type, 'URI') = 'URI'")
+# a reader renames labels that look like its own
+_LABEL = "CASE WHEN {k} = 'BLANK' THEN regexp_replace({v}, '^b([0-9])', 'B\\1') ELSE {v} END AS {n}".replace("\\\\", "\\")
+_REREAD_SQL = ", ".join(
+    ["doc", *[f"{k}, {_LABEL.format(k=k, v=v, n=n)}" for k, v, n in (("s_type", "subject", "s"), ("p_type", "predicate", "p"), ("o_type", "object", "o"))],
+     "o_datatype_type, o_datatype, o_lang"]
+)
+
+
+@query(_EXPANDED_SQL + f"SELECT {_REREAD_SQL} FROM expanded WHERE no_triple IS NULL")
 def turtle_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements without prefixed names that come back from Turtle text by way of N-Triples lines."""
-    return _reread(_text(spark, sf_dir, "turtle", False))
+    """Every statement that can be written as Turtle, as it comes back from the text."""
+    back = documents.read_pieces(_text(spark, sf_dir, "turtle"), "turtle", expand="false")
+    return back.where("kind = 'statement'").select("doc", *_BACK)
+
+
+@query(_EXPANDED_SQL + f"SELECT g_type, {_LABEL.format(k='g_type', v='graph', n='g')}, {_REREAD_SQL} FROM expanded WHERE no_quad IS NULL")
+def trig_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = documents.read_pieces(_text(spark, sf_dir, "trig"), "trig", expand="false")
+    return back.where("kind = 'statement'").select("doc", "g_type", "g", *_BACK)
+
+
+@query(_EXPANDED_SQL + f"SELECT {_REREAD_SQL} FROM expanded WHERE no_triple IS NULL")
+def turtle_rewritten_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of ``turtle_reserialised``, read once more."""
+    again = documents.transcode_pieces(_text(spark, sf_dir, "turtle"), "turtle", "turtle")
+    back = documents.read_pieces(again, "turtle", expand="false")
+    return back.where("kind = 'statement'").select("doc", *_BACK)
+
+
+@query(_EXPANDED_SQL + "SELECT doc, stmt_id AS seq, CASE no_triple WHEN 'incoherent statement' THEN 4 ELSE 7 END AS status, no_triple AS message FROM expanded WHERE no_triple IS NOT NULL")
+def turtle_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements that the writer of Turtle refuses, each with why."""
+    return documents.refused_statements(_events(spark, sf_dir), "turtle", flat=True, fulluris="true")
+
+
+@query(_EXPANDED_SQL + "SELECT doc, stmt_id AS seq, CASE no_quad WHEN 'incoherent statement' THEN 4 ELSE 7 END AS status, no_quad AS message FROM expanded WHERE no_quad IS NOT NULL")
+def trig_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.refused_statements(_events(spark, sf_dir), "trig", flat=True, fulluris="true")
+
+
+# Files and streams
+
+
+def _filed(spark: SparkSession, sf_dir: str, syntax: str) -> DataFrame:
+    """The statements written to files of a syntax in the shared folder, and read from there."""
+    register(spark)
+    events = _events(spark, sf_dir).where(lines.refusal(syntax in ("nquads", "trig")).isNull())
+    sorted_rows = events.repartitionByRange(parallelism(spark), "doc", "seq").sortWithinPartitions("doc", "seq")
+    path = shared_folder(spark, f"files-{syntax}")
+    slim = sorted_rows.select(*[c for c in EVENT.names if c in sorted_rows.columns])
+    slim.write.format(syntax).option("fullUris", "true").mode("overwrite").save(path)
+    back = spark.read.format(syntax).option("mode", "FAILFAST").option("expand", "false").load(path)
+    return back.where("kind = 'statement'")
+
+
+_FILED_SQL = _REREAD_SQL.removeprefix("doc, ")
+
+
+@query(_EXPANDED_SQL + f"SELECT {_FILED_SQL} FROM expanded WHERE no_triple IS NULL")
+def turtle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, "turtle").select(*_BACK)
+
+
+@query(_EXPANDED_SQL + f"SELECT g_type, {_LABEL.format(k='g_type', v='graph', n='g')}, {_FILED_SQL} FROM expanded WHERE no_quad IS NULL")
+def trig_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, "trig").select("g_type", "g", *_BACK)
 
 
-@query(_EXPANDED_SQL + f"SELECT count(*) AS n FROM expanded WHERE {_UNDEFINED_SQL} IS NULL")
-def turtle_reread_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements that come back from Turtle text, prefixed names in full, by way of N-Triples lines."""
-    return _reread(_text(spark, sf_dir, "turtle"))
+@query(_EXPANDED_SQL + f"SELECT {_BACK_SQL} FROM expanded WHERE no_triple IS NULL")
+def ntriples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, "ntriples").select(*_BACK)
 
 
-def _reread(written: DataFrame) -> DataFrame:
-    again = documents.transcode_pieces(written, "turtle", "ntriples")
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return again.agg(F.coalesce(F.sum(n_lines), F.lit(0)).cast("bigint").alias("n"))
+@query(_EXPANDED_SQL + f"SELECT g_type, graph AS g, {_BACK_SQL} FROM expanded WHERE no_quad IS NULL")
+def nquads_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, "nquads").select("g_type", "g", *_BACK)

@@ -68,8 +68,11 @@ def term_text(kind: Column, value: Column, ascii_only: bool = False) -> Column:
     )
 
 
-def statement_line(quads: bool = True, ascii_only: bool = False, **names: str) -> Column:
-    """The line of a statement; null for one that cannot be written, such as with an unexpanded name."""
+def statement_line(quads: bool = True, ascii_only: bool = False, typed: bool = True, **names: str) -> Column:
+    """The line of a statement; null for one that cannot be written, such as with an unexpanded name.
+
+    ``typed``: whether there is a column ``o_datatype_type``; datatypes are URIs without it.
+    """
     c = {k: F.col(names.get(k, k)) for k in (
         "flags", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype", "o_lang",
     )}
@@ -85,7 +88,19 @@ def statement_line(quads: bool = True, ascii_only: bool = False, **names: str) -
             F.concat(F.lit(" "), term_text(c["g_type"], c["g"], ascii_only))
         )
         whole = F.concat(whole, graph)
-    return F.when(valid_statement(c), F.concat(whole, F.lit(" .")))
+    named = F.coalesce(F.col(names.get("o_datatype_type", "o_datatype_type")) == "CURIE", F.lit(False)) if typed else F.lit(False)
+    return F.when(valid_statement(c) & ~named, F.concat(whole, F.lit(" .")))
+
+
+def refusal(quads: bool = True, **names: str) -> Column:
+    """Why a statement has no line; null for one that has. Cheap, as it looks at types and nulls only."""
+    c = {k: F.col(names.get(k, k)) for k in (
+        "flags", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype_type", "o_datatype", "o_lang",
+    )}
+    order = [("s_type", "s"), ("p_type", "p"), ("o_type", "o"), ("o_datatype_type", "o_datatype"), *([("g_type", "g")] if quads else [])]
+    name = F.coalesce(*[F.when(c[t] == "CURIE", c[v]) for t, v in order])
+    undefined = F.concat(F.lit("undefined namespace prefix '"), name, F.lit("'"))
+    return F.when(~valid_statement(c), "incoherent statement").otherwise(undefined)
 
 
 def _slow_rows(line: str, syntax: str, strict: bool) -> list[dict]:

@@ -17,20 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session
-    that names none (tests on one machine) gets a local one.
+    A session on one machine that names none (as in tests) gets a local one; on a cluster that is an error, as a
+    folder of one machine would be lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "termloom-checkpoints")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A place of this session for files in the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, its lineage cut."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "termloom-checkpoints"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan on as many tasks as shuffles have, where it gives fewer, as of a few small files.
+
+    A large scan has tasks enough and is left as it is, so nothing is shuffled at scale.
+    """
+    tasks = parallelism(df.sparkSession)
+    return df.repartition(tasks) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= tasks else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks that the shuffles of this session are set up for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

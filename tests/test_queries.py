@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry_point
 
 DATA = Path("/root/testdata/sf0.001")
-CORE = ["termloom.plans.core_queries", "termloom.plans.rdf_queries"]
+CORE = ["termloom.plans.core_queries", "termloom.plans.rdf_queries", "termloom.plans.fixture_queries"]
 
 
 def names() -> list[str]:
