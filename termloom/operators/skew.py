@@ -1,10 +1,11 @@
 """Per-key results when a few keys hold most rows (problem 4).
 
-Fragment and replicate by estimated load: keys fall into a fixed number of buckets whose
-loads are counted over all rows; buckets are packed onto tasks, largest first; a bucket larger
-than a share of a task is split into shards proportionate to its load; the matching side goes to
-the shards of its own bucket only. The plan has at most ``buckets`` entries, however many keys
-there are, so its broadcast has a fixed bound.
+Fragment and replicate by estimated load. Loads are counted over all rows, first of a fixed number of
+key buckets, then of the keys in the buckets that are too heavy for their task. Keys that are heavy by
+themselves are split into shards proportionate to their load, and the matching side of such a key goes to
+all of its shards; all other keys stay whole, and their matching side goes to one task. Shards and
+buckets are packed onto tasks, largest first. At most ``tasks / SHARD_PART`` keys can be heavy, so the plan's
+broadcast has a bound, however many keys there are.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from pyspark.sql import types as T
 
 from termloom.util import parallelism
 
-#: Entries of the load plan at most; one is about 16 bytes when broadcast.
+#: Buckets of keys whose loads are counted; one is about 16 bytes when broadcast.
 BUCKETS = 8192
 #: A shard holds at most this part of a task's fair share, so that packing can even out.
 SHARD_PART = 0.5
 
 PLAN_SCHEMA = T.StructType(
-    [T.StructField("_bucket", T.IntegerType()), T.StructField("_tasks", T.ArrayType(T.IntegerType()))]
+    [T.StructField("_route", T.LongType()), T.StructField("_tasks", T.ArrayType(T.IntegerType())), T.StructField("_split", T.BooleanType())]
 )
 
 
 @dataclass(frozen=True)
 class LoadPlan:
-    """Where each bucket of keys goes: ``table`` has the task of every shard of a bucket."""
+    """Where keys go: ``table`` has the tasks of every heavy key and of every bucket of the others."""
 
     table: DataFrame
     keys: tuple[str, ...]
@@ -40,12 +41,22 @@ class LoadPlan:
     tasks: int
     rows: int
     loads: tuple[int, ...]
+    heavy: tuple[int, ...]
 
 
-def key_bucket(keys: Sequence[str], buckets: int) -> Column:
-    """Bucket of a key; null parts are told apart from empty ones."""
-    parts = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
-    return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
+def key_hash(keys: Sequence[str]) -> Column:
+    """Hash that names a key; null parts are told apart from empty ones."""
+    return F.xxhash64(*[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
+
+
+def _bucket(name: Column, buckets: int) -> Column:
+    return F.pmod(name, F.lit(buckets))
+
+
+def _route(name: Column, plan: LoadPlan) -> Column:
+    """The entry of the plan that a key belongs to: its own, or that of its bucket."""
+    bucket = _bucket(name, plan.buckets)
+    return F.when(name.isin(list(plan.heavy)), name).otherwise(bucket) if plan.heavy else bucket
 
 
 def pack(loads: dict[int, int], tasks: int, part: float = SHARD_PART) -> tuple[dict[int, list[int]], list[int]]:
@@ -72,40 +83,58 @@ def pack(loads: dict[int, int], tasks: int, part: float = SHARD_PART) -> tuple[d
     return where, packed
 
 
-def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, buckets: int = BUCKETS) -> LoadPlan:
-    """Count the load of each bucket over all rows and pack the buckets onto tasks.
+def plan_loads(df: DataFrame, keys: Sequence[str], tasks: int | None = None, buckets: int = BUCKETS, part: float = SHARD_PART) -> LoadPlan:
+    """Count loads over all rows and pack them onto tasks.
 
-    The counts are combined before the shuffle and at most ``buckets`` of them reach the driver.
-    An empty ``df`` gives an empty plan.
+    The counts are combined before the shuffle; at most ``buckets`` and then ``tasks / part`` of them reach
+    the driver. The second count, of keys, reads the rows of buckets heavier than a shard only, and there
+    is none where no bucket is. Two heavy keys with one 64-bit hash would share their shards, which
+    costs copies and changes no result. An empty ``df`` gives an empty plan.
     """
     tasks = tasks or parallelism(df.sparkSession)
-    counted = df.select(key_bucket(keys, buckets).alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
+    buckets = max(buckets, 16 * tasks)
+    named = df.select(key_hash(keys).alias("_name"))
+    counted = named.groupBy(_bucket(F.col("_name"), buckets).alias("_bucket")).agg(F.count(F.lit(1)).alias("n"))
     loads = {r["_bucket"]: r["n"] for r in counted.collect()}
-    where, packed = pack(loads, tasks)
-    rows = [(b, t) for b, t in sorted(where.items())]
+    total = sum(loads.values())
+    most = max(1.0, total / tasks * part)
+    hot = [b for b, n in loads.items() if n > most]
+    heavy: dict[int, int] = {}
+    if hot:
+        inside = named.where(_bucket(F.col("_name"), buckets).isin(hot)).groupBy("_name").agg(F.count(F.lit(1)).alias("n"))
+        heavy = {r["_name"]: r["n"] for r in inside.where(F.col("n") > most).collect()}
+        for name, n in heavy.items():
+            loads[name % buckets] -= n
+    heavy = {k: n for k, n in heavy.items() if not 0 <= k < buckets}  # never taken for a bucket
+    where, packed = pack({**loads, **heavy}, tasks, part)
+    rows = [(k, t, k in heavy) for k, t in sorted(where.items())]
     table = df.sparkSession.createDataFrame(rows, PLAN_SCHEMA)
-    return LoadPlan(table, tuple(keys), buckets, tasks, sum(loads.values()), tuple(packed))
+    return LoadPlan(table, tuple(keys), buckets, tasks, total, tuple(packed), tuple(heavy))
+
+
+def _routed(df: DataFrame, plan: LoadPlan) -> DataFrame:
+    """``df`` with the tasks of its keys; a bucket with several has each key on one of them."""
+    tagged = df.withColumn("_name", key_hash(plan.keys))
+    routed = tagged.withColumn("_route", _route(F.col("_name"), plan)).join(F.broadcast(plan.table), "_route")  # bounded
+    own = F.slice("_tasks", (F.pmod(F.xxhash64(F.lit(1), "_name"), F.size("_tasks")) + 1).cast("int"), F.lit(1))
+    return routed.withColumn("_tasks", F.when(F.col("_split"), F.col("_tasks")).otherwise(own)).drop("_name", "_route", "_split")
 
 
 def fragment(df: DataFrame, plan: LoadPlan, by: Column | None = None) -> DataFrame:
     """``df`` with ``_task``, each row on the task of its shard.
 
-    ``by`` decides the shard inside a bucket; rows alike in ``by`` stay together. Without it the
-    rows of a bucket go round its shards by their position in the input partition.
+    ``by`` decides the shard of a heavy key; rows alike in ``by`` stay together. Without it the
+    rows go round its shards by their position in the input partition.
     """
     spread = F.monotonically_increasing_id() if by is None else F.xxhash64(by)
-    tagged = df.withColumn("_bucket", key_bucket(plan.keys, plan.buckets)).withColumn("_spread", spread)
-    routed = tagged.join(F.broadcast(plan.table), "_bucket")  # at most `buckets` rows
+    routed = _routed(df.withColumn("_spread", spread), plan)
     task = F.element_at("_tasks", (F.pmod("_spread", F.size("_tasks")) + 1).cast("int"))
-    routed = routed.withColumn("_task", task).drop("_bucket", "_tasks", "_spread")
-    return routed.repartitionById(plan.tasks, F.col("_task"))
+    return routed.withColumn("_task", task).drop("_tasks", "_spread").repartitionById(plan.tasks, F.col("_task"))
 
 
 def replicate(df: DataFrame, plan: LoadPlan) -> DataFrame:
-    """The matching side, once for every task that holds a shard of the row's bucket."""
-    tagged = df.withColumn("_bucket", key_bucket(plan.keys, plan.buckets))
-    copies = tagged.join(F.broadcast(plan.table), "_bucket")
-    copies = copies.withColumn("_task", F.explode(F.array_distinct("_tasks"))).drop("_bucket", "_tasks")
+    """The matching side: once for every task that holds a shard of a heavy key, once for any other key."""
+    copies = _routed(df, plan).withColumn("_task", F.explode(F.array_distinct("_tasks"))).drop("_tasks")
     return copies.repartitionById(plan.tasks, F.col("_task"))
 
 
@@ -128,7 +157,7 @@ def balanced_aggregate(
 
     Defined results: null key parts are keys of their own; an empty table gives no rows; repeated
     rows count each time; columns of ``df`` other than those used are carried nowhere. A column
-    of ``df`` named ``_task``, ``_tasks``, ``_bucket`` or ``_spread`` must be dropped before.
+    of ``df`` named ``_task``, ``_tasks``, ``_name``, ``_route``, ``_split`` or ``_spread`` must be dropped before.
     """
     plan = plan or plan_loads(df, keys, tasks, buckets)
     rows = fragment(df, plan, by)

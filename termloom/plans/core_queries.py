@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termloom.operators import rejects, skew, wide
 from termloom.util import table
@@ -33,12 +34,18 @@ def _wide_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def p5_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per entity with typed columns; the number of failures beside them."""
+    failures = F.coalesce(F.aggregate(F.map_values("cast_failures"), F.lit(0).cast("bigint"), lambda n, x: n + x["n"]), F.lit(0).cast("bigint"))
+    return _wide(spark, sf_dir).withColumn("n_failures", failures).drop("cells", "cast_failures")
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests, prefixes, attributes = _wide_inputs(spark, sf_dir)
     return wide.wide_rows(manifests, prefixes, attributes, wide.attribute_columns(attributes))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide.cell_list(p5_wide(spark, sf_dir))
+    return wide.cell_list(_wide(spark, sf_dir))
 
 
 def p5_cast_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,3 +124,26 @@ ORACLE = {
     "p5_found": f"WITH {_PAIRS} SELECT DISTINCT subject, attr FROM judged WHERE good",
     "p5_cast_failures": f"WITH {_PAIRS} SELECT row_id, subject, attr, dtype, raw AS object FROM judged WHERE NOT good",
 }
+
+_RECORDS = ORACLE["p1_found"].rpartition("SELECT raw_id, reason FROM r")[0]
+_WHOLE = "CASE WHEN starts_with({0}, '\"') THEN replace(substr({0}, 2, length({0}) - 2), '\"\"', '\"') ELSE {0} END"
+ORACLE["p1_valid"] = _RECORDS + rf""", v AS (
+          SELECT h.*, regexp_replace(regexp_replace(nums, '^"?[0-9]+"?,"?[0-9]+"?,', ''), '\r$', '') AS m FROM h JOIN r USING (raw_id) WHERE r.reason IS NULL)
+        SELECT raw_id, CAST(CASE st WHEN '' THEN '0' ELSE st END AS INTEGER) AS status, {_WHOLE.format("fn")} AS filename,
+               CAST(ln AS INTEGER) AS line, CAST(CASE co WHEN '' THEN '0' ELSE co END AS INTEGER) AS col, {_WHOLE.format("m")} AS message FROM v"""
+# The columns of `attributes`, which is a fixed table.
+_COLUMNS = {
+    "string": "action base_uri klass remark result section team title", "integer": "exit_code priority timeout_ms",
+    "decimal": "tolerance weight", "boolean": "approved lax reversed", "date": "added_on retired_on",
+}
+_CAST = {
+    "string": "{}", "integer": "try_cast({} AS DECIMAL(38,0))", "decimal": "try_cast({} AS DECIMAL(38,10))", "boolean": "{} IN ('true', '1')",
+    "date": "try_cast({} AS DATE)",
+}
+_CELLS = ", ".join(
+    _CAST[dtype].format(f"arg_min(j.t, j.row_id) FILTER (j.good AND j.attr = '{attr}')") + f" AS {attr}"
+    for dtype, attrs in _COLUMNS.items() for attr in attrs.split()
+)
+ORACLE["p5_wide"] = f"""WITH {_PAIRS}, e AS (SELECT subject, count(*) AS n_rows FROM manifests GROUP BY subject)
+    SELECT e.subject, any_value(e.n_rows) AS n_rows, {_CELLS}, count(*) FILTER (NOT j.good) AS n_failures
+    FROM e LEFT JOIN judged j ON j.subject IS NOT DISTINCT FROM e.subject GROUP BY e.subject"""

@@ -87,12 +87,6 @@ def env_foreach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.select("doc", F.posexplode("env").alias("place", "e")).select("doc", "e.ord", "e.name", "e.uri", F.col("place").cast("bigint").alias("place"))
 
 
-@query()
-def env_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [_t(spark, sf_dir, t) for t in ("statements", "prefixes", "inputs")]
-    return env.expand_statements(*tables)
-
-
 # URIs
 
 
@@ -395,6 +389,31 @@ def _lines(spark: SparkSession, sf_dir: str, quads: bool = True, ascii_only: boo
     return _expanded(spark, sf_dir).select("stmt_id", lines.statement_line(quads, ascii_only).alias("line"), lines.refusal(quads).alias("refused"))
 
 
+_ALL_SQL = ", ".join(f"{k}, {v}" for k, v in env.TERMS)
+_ANY_LOST = " OR ".join(f"coalesce({k} = 'CURIE', false)" for k, _ in env.TERMS)
+
+
+@query(_EXPANDED_SQL + f"SELECT stmt_id, doc, {_ALL_SQL}, {_ANY_LOST} AS undefined FROM named")
+def env_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of all statements absolute, by the prefixes and the base of their documents."""
+    tables = [_t(spark, sf_dir, t) for t in ("statements", "prefixes", "inputs")]
+    return env.expand_statements(*tables).select("stmt_id", "doc", *[c for pair in env.TERMS for c in pair], "undefined")
+
+
+#: Heads of documents: a directive is a line; syntaxes without directives have an error a line, or in strict reading one.
+_HEADS_SQL = """
+WITH i AS (SELECT doc, coalesce(syntax, 'trig') AS syntax, coalesce(strict, true) AS strict FROM inputs),
+d AS (SELECT i.doc, p.ord, p.name, p.uri, i.syntax, i.strict FROM i JOIN prefixes p ON p.doc = i.doc)
+SELECT doc, 'prefix' AS kind, name, uri FROM d WHERE syntax IN ('turtle', 'trig')
+UNION ALL SELECT doc, 'error', NULL, NULL FROM d WHERE syntax NOT IN ('turtle', 'trig') AND (NOT strict OR ord = 0)"""
+
+
+@query(_HEADS_SQL)
+def documents_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the documents' heads; the fixed documents of ``read_*`` have all other events."""
+    return documents.read_documents(_t(spark, sf_dir, "inputs")).select("doc", "kind", "name", "uri")
+
+
 @query(_line_sql(True))
 def nq_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per statement: its line, or why it has none."""

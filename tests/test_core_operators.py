@@ -148,6 +148,19 @@ def test_plan_spreads_a_hot_key_and_places_each_shard_once(spark):
     assert sum(r["count"] for r in sizes) == 3000 and max(r["count"] for r in sizes) < 3000 / 3
 
 
+def test_only_heavy_keys_are_replicated(spark):
+    rows = [("hot", "p")] * 3000 + [(f"g{k}", "p") for k in range(3000)]
+    df = spark.createDataFrame(rows, "graph string, predicate string").repartition(4)
+    keys = ["graph", "predicate"]
+    plan = skew.plan_loads(df, keys, 8, buckets=128)  # about 23 cold keys share the bucket of the hot one
+    assert len(plan.heavy) == 1 and max(plan.loads) < 1.6 * 6000 / 8
+    copies = skew.replicate(df.distinct(), plan).groupBy(*keys).count().collect()
+    assert {r["graph"]: r["count"] for r in copies}["hot"] > 2
+    assert all(r["count"] == 1 for r in copies if r["graph"] != "hot") and len(copies) == 3001
+    left = skew.fragment(df, plan).select("graph", "_task").distinct().groupBy("graph").count()
+    assert left.where("count > 1").collect()[0]["graph"] == "hot" and left.where("count > 1").count() == 1
+
+
 def test_no_statements(spark):
     empty = spark.createDataFrame([], STATEMENTS)
     assert skew.key_shares(empty).count() == 0
