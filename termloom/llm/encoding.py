@@ -1,20 +1,27 @@
 """Text garbled by a wrong character encoding (problem 3): code-page swaps as substitution ciphers.
 
-A text read with the wrong code page shows, for each byte (or group of bytes) of the real text, a
-fixed other letter: a substitution cipher. A cipher here is a pair of a shown page, which turns the
-letters seen back into bytes, and a real page, which maps the bytes to letters. Which ciphers occur,
-how often, and what the language looks like is learned together by expectation-maximization over the
-distinct words of all texts: the expectation weighs, for each word, the reading as it stands against
-every cipher's reading by the bigram model; the maximization re-estimates the weights of the ciphers
-and the bigram counts from these readings. A text is a source of its own: one cipher is chosen
-for all its words, and applied with translate() where it maps letter to letter.
+A text read with the wrong code page shows, for each byte (or group of bytes) of the real text, a fixed other
+letter: a substitution cipher. What the languages of the corpus look like, which ciphers occur, how often, and which
+letter each of them shows for which is learned together by expectation-maximization:
+
+* *Expectation.* Every distinct word is weighed as it stands against its readings under all ciphers by the bigram model.
+* *Maximization.* Bigrams and the weights of ciphers are counted again from these readings, and the letter table of
+  each cipher is estimated again: a shown letter stands for the one that fits best between its neighbours.
+
+Pairs of known code pages are where tables start. Words that no cipher explains and that no language would write (signs
+or capitals inside, no plain letter at all) are residue; it is parted by the letters it shows, and each part is deciphered
+from scratch: an emission table from real to shown letters is learned by EM against the bigrams of each script of the
+corpus, from the part's bigram counts alone. What that gives is one more cipher, refined like the others.
+
+Everything learned is counted over all distinct words, into tables of bounded size. A text is a source of its own: one
+cipher is chosen for all its words, and applied with translate() where it maps letter to letter.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,11 @@ REAL = (
 #: Pages whose letters may take several bytes, so that no letter-to-letter table holds for them.
 WIDE = {"gbk", "shift-jis", "big5", "euc-jp", "euc-kr", *(x for x in (*SHOWN, *REAL) if x.startswith("utf"))}
 PAIRS = [(x, y) for x in SHOWN for y in REAL if x != y]
+#: Parts of the residue: block of the letters shown, with and without plain letters. Each may give a cipher of its own.
+BLOCKS = ("latin", "greek", "cyrillic", "other")
+FREE = [(f"{b} letters" + (" and plain ones" if mixed else ""), "unknown page") for b in BLOCKS for mixed in (False, True)]
+CIPHERS = [*PAIRS, *FREE]
+NARROW = [k for k, (x, y) in enumerate(PAIRS) if x not in WIDE and y not in WIDE]
 
 #: Slots of the bigram and letter tables; fixed, so what is broadcast and collected has a bound.
 SLOTS, LETTERS = 1 << 20, 1 << 16
@@ -54,17 +66,35 @@ LOST = -12.0
 START_DAMAGED = 0.05
 #: Least log odds of a cipher before a word is seen: a rare one must not need more than a clear word.
 RAREST = -5.5
-#: Rounds of expectation-maximization.
-ROUNDS = 4
+#: Rounds of expectation-maximization, and the round whose residue is deciphered.
+ROUNDS, RESIDUE = 4, 1
+#: Expected words from which on a table is estimated again, log likelihood by which another letter must fit better,
+#: and occurrences of a letter that may stand for another.
+LEARNABLE, BETTER, KNOWN = 3.0, 6.0, 3.0
+#: Log score a letter from which on a reading is one that some language of the corpus would write.
+WRITTEN = -4.5
+#: Accented letters that a word has at least if it is odd for having no others.
+BARE = 4
+#: Words of a part of the residue from which on it is deciphered, log likelihood a letter that must be gained, rounds, starts.
+LEAST_RESIDUE, WORTH_LETTER, DECIPHER_ROUNDS, STARTS = 30.0, 1.0, 60, 150
+#: Letters that a page has beside plain ones at most.
+PAGE = 128
+#: Letters of a script at most that is deciphered into; those of larger ones come in groups of bytes.
+LARGEST_SCRIPT = 160
 #: Log odds, per text, from which it counts as garbled.
-ODDS = -1.0
+ODDS = 0.0
 #: Word ends, which are no letters of any page.
 EDGE = 0xFFFF
 #: Words whose readings a task remembers at most; beyond it the memory starts anew.
-MEMO = 20_000
+MEMO = 50_000
 #: Readings that lose more than this against the word as it stands are not looked at again.
 WORTH = -2.0
 BLANK = r"[ \t\n\r]+"
+_PARTS = re.compile(f"({BLANK})")
+_LEADS = re.compile(rb"[\xc2-\xf4][\x80-\xbf]")
+
+
+# Pages
 
 
 def to_bytes(text: str, page: str) -> bytes | None:
@@ -105,69 +135,192 @@ def reading(word: str, shown: str, real: str) -> str | None:
     return None if text is None or text == word else text
 
 
+def substitution(cipher: int) -> dict[int, str]:
+    """The letter-to-letter table that a pair of single-byte pages starts from."""
+    shown, real = PAIRS[cipher]
+    table = {}
+    for b in range(0x80, 0x100):
+        seen, meant = to_text(bytes([b]), shown), to_text(bytes([b]), real)
+        if seen is None and shown.startswith("cp125"):
+            seen = chr(b)
+        if seen and meant:
+            table[ord(seen)] = meant
+    return table
+
+
+def wide_readings(word: str) -> dict[str, list[int]]:
+    """Readings of a word under ciphers that are no letter tables, with the ciphers that give them."""
+    raws: dict[bytes, list[int]] = {}
+    for s, page in enumerate(SHOWN):
+        raw = to_bytes(word, page)
+        if raw is not None:
+            raws.setdefault(raw, []).append(s)
+    found: dict[str, list[int]] = {}
+    for raw, pages in raws.items():
+        for r, real in enumerate(REAL):
+            own = [s for s in pages if SHOWN[s] != real and (real in WIDE or SHOWN[s] in WIDE)]
+            if not own or (real.startswith("utf-8") and not _LEADS.search(raw)):
+                continue
+            text = to_text(raw, real)
+            if text is not None and text != word:
+                found.setdefault(text, []).extend(_INDEX[s, r] for s in own)
+    return found
+
+
+_INDEX = {(SHOWN.index(x), REAL.index(y)): k for k, (x, y) in enumerate(PAIRS)}
+
+
+# Words as arrays of letters
+
+
+def split(text: str) -> list[str]:
+    """Words between blanks; other spaces may be part of a garbled letter."""
+    return [w for w in re.split(BLANK, text) if w]
+
+
+def script(c: np.ndarray) -> np.ndarray:
+    """Rough script of letters: 1 Latin, 2 Greek, 3 Cyrillic, 4 East Asian, more by block, 0 what goes with any."""
+    latin = ((c >= 0x61) & (c <= 0x7A)) | ((c >= 0xC0) & (c < 0x250) & (c != 0xD7) & (c != 0xF7))
+    east = (c >= 0x3040) & (c < 0xD7B0)
+    other = (c >= 0x530) & (c < 0x1100)
+    return np.select([latin, (c >= 0x370) & (c < 0x400), (c >= 0x400) & (c < 0x530), east, other], [1, 2, 3, 4, 5 + (c >> 8)], 0)
+
+
+def codes(words: Sequence[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(letters before, letters, starts) of the bigrams of all words, each with its ends; ``fold``: in lower case."""
+    lower = [w.lower() for w in words] if fold else words
+    lengths = np.fromiter(map(len, lower), np.int64, len(lower)) + 1
+    x = np.frombuffer(("\n" + "\n".join(lower) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 0xFFFF
+    x[x <= 32] = EDGE
+    return x[:-1], x[1:], np.concatenate(([0], np.cumsum(lengths)[:-1]))
+
+
+def _lower(letter: str) -> int:
+    """Code of a letter in lower case, as bigrams have it."""
+    code = ord(letter[0])
+    return EDGE if code <= 32 or code == EDGE else ord(letter[0].lower()[:1]) & 0xFFFF
+
+
+def bigram_counts(words: Sequence[str]) -> np.ndarray:
+    """Bigrams that each word has with its ends."""
+    return np.fromiter(map(len, words), np.float64, len(words)) + 1
+
+
+def odd_words(words: Sequence[str]) -> np.ndarray:
+    """Part of the residue that each word belongs to, if no cipher explains it; -1 for words as languages write them.
+
+    Odd: a sign or control character between two letters, a capital after a small letter, or ``BARE`` letters and more of
+    a script that has plain letters, without any of those.
+    """
+    out = np.full(len(words), -1)
+    for n, w in enumerate(words):
+        inner = w.strip("\"'()[]{}<>«»“”„‘’.,;:!?…—–-")
+        if len(inner) < 2:
+            continue
+        letters = [c for c in inner if c.isalpha()]
+        latin = [c for c in letters if "\x7f" < c < "ɐ"]
+        plain = any(c.isascii() for c in letters)
+        sign = any(not c.isascii() and not c.isalnum() and c not in "’·‑–­" for c in inner) and len(letters) + sum(c > "\x7f" for c in inner) > 2
+        capital = any(b.isupper() and a.islower() for a, b in zip(inner, inner[1:])) and not w.isascii()
+        bare = len(latin) >= BARE and len(latin) == len(letters)
+        if (sign and any(c > "\x7f" for c in inner[:-1])) or capital or bare:
+            high = [ord(c) for c in inner if c > "\x7f"]
+            blocks = [0 if c < 0x250 or 0x2000 <= c < 0x2200 else 1 if c < 0x400 else 2 if c < 0x530 else 3 for c in high]
+            out[n] = 2 * max(set(blocks), key=blocks.count) + plain
+    return out
+
+
 class Model:
-    """Bigrams of letters and weights of ciphers."""
+    """Bigrams of letters, weights of ciphers and the letter tables of those that have one."""
 
-    def __init__(self, pairs: np.ndarray, letters: np.ndarray, weights: dict[int, float]) -> None:
-        self.pairs = pairs.tolist()
-        self.letters = letters.tolist()
+    def __init__(self, pairs: np.ndarray, letters: np.ndarray, weights: dict[int, float], tables: dict[int, dict[int, str]]) -> None:
+        self.pairs, self.letters, self.weights, self.tables = pairs, letters, weights, tables
         self.total = float(letters.sum()) + 1.0
-        self.weights = weights  # log odds of each cipher against none
-        self.memo: dict[str, tuple[float, dict[int, float]]] = {}
-
-    def score(self, word: str) -> float:
-        """Log score of a word with its ends."""
-        pairs, letters, total = self.pairs, self.letters, self.total
-        before, result = EDGE, 0.0
-        for c in codes(word):
-            if c == 0xFFFD:
-                result += LOST
+        self.alone = (letters + UNSEEN) / self.total
+        self.log_alone = np.log(self.alone)
+        self.memo: dict[str, dict[int, float]] = {}
+
+    def bigram(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Log scores of letters after others."""
+        seen = np.maximum(self.pairs[(a * 1000003 + c) & (SLOTS - 1)] - DISCOUNT, 0.0)
+        result = (1 - ALONE) * np.log((seen + BACKOFF * self.alone[c]) / (self.letters[a] + BACKOFF)) + ALONE * self.log_alone[c]
+        x, y = script(a), script(c)
+        result += np.where((x > 0) & (y > 0) & (x != y), MIXED, 0.0)
+        return np.where(c == 0xFFFD, LOST, result)
+
+    def scores(self, words: Sequence[str]) -> np.ndarray:
+        """Log scores of words."""
+        if not words:
+            return np.zeros(0)
+        a, c, starts = codes(words)
+        return np.add.reduceat(self.bigram(a, c), starts)
+
+    def weigh(self, words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, int | list[tuple[str, list[int]]]]]:
+        """Gains of readings over the words as they stand: (indices of words, gains, cipher), for all of a letter table
+        at once, and at the end the wide readings one by one with their ciphers."""
+        a, c, starts = codes(words, False)
+        bigrams, inverse = np.unique(a << 16 | c, return_inverse=True)
+        a, c = bigrams >> 16, bigrams & 0xFFFF
+        chars, where = np.unique(np.concatenate((a, c)), return_inverse=True)
+        before, after = where[: len(a)], where[len(a) :]
+        plain = np.array([_lower(chr(x)) for x in chars.tolist()], np.int64)
+        own = np.add.reduceat(self.bigram(plain[before], plain[after])[inverse], starts)
+        found = []
+        high = [(i, int(x)) for i, x in enumerate(chars.tolist()) if 0x80 <= x < EDGE]
+        for k, table in self.tables.items():
+            image, changes = plain.copy(), np.zeros(len(chars), bool)
+            for i, x in high:
+                r = table.get(x)
+                image[i] = -1 if r is None else _lower(r)
+                changes[i] = r is not None and ord(r[0]) != x
+            if not changes.any():
                 continue
-            alone = (letters[c] + UNSEEN) / total
-            seen = max(pairs[(before * 1000003 + c) & (SLOTS - 1)] - DISCOUNT, 0.0)
-            result += (1 - ALONE) * math.log((seen + BACKOFF * alone) / (letters[before] + BACKOFF))
-            result += ALONE * math.log(alone)
-            if c >= 0x250 or before >= 0x250:
-                a, b = script(before), script(c)
-                if a and b and a != b:
-                    result += MIXED
-            before = c
-        return result
-
-    def gains(self, word: str) -> dict[int, float]:
-        """Per cipher, the log likelihood that its reading gains over the word as it stands."""
-        known = self.memo.get(word)
-        if known is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            known = self.memo[word] = self._gains(word)
-        return known
-
-    def _gains(self, word: str) -> dict[int, float]:
-        own = self.score(word)
-        raws: dict[str, bytes | None] = {}
-        scores: dict[str, float] = {word: own}
-        found = {}
-        for k in self.weights:
-            shown, real = PAIRS[k]
-            if shown not in raws:
-                raws[shown] = to_bytes(word, shown)
-            raw = raws[shown]
-            text = None if raw is None else to_text(raw, real)
-            if text is not None and text != word:
-                if text not in scores:
-                    scores[text] = self.score(text)
-                if scores[text] - own > WORTH:
-                    found[k] = scores[text] - own
+            ta, tc = image[before], image[after]
+            value = np.where((ta < 0) | (tc < 0), -1e6, self.bigram(np.maximum(ta, 0), np.maximum(tc, 0)))
+            gain = np.add.reduceat(value[inverse], starts) - own
+            gain[np.add.reduceat(changes[after][inverse].astype(np.int64), starts) == 0] = -1e6
+            hit = np.flatnonzero(gain > WORTH)
+            if len(hit):
+                found.append((hit, gain[hit], k))
+        index, texts = [], []
+        for n, w in enumerate(words):
+            for text, ciphers in wide_readings(w).items():
+                index.append(n)
+                texts.append((text, ciphers))
+        gains = self.scores([t for t, _ in texts]) - own[index] if texts else np.zeros(0)
+        keep = np.flatnonzero(gains > WORTH)
+        found.append((np.array(index, np.int64)[keep], gains[keep], [texts[i] for i in keep]))
         return found
 
+    def gains(self, words: Sequence[str]) -> None:
+        """Remember, of words not seen before, the ciphers whose readings gain."""
+        new = [w for w in dict.fromkeys(words) if w not in self.memo]
+        if not new:
+            return
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(dict.fromkeys(words))
+        for w in new:
+            self.memo[w] = {}
+        for index, gain, what in self.weigh(new):
+            if isinstance(what, int):
+                for n, g in zip(index.tolist(), gain.tolist()):
+                    if g > 0:
+                        self.memo[new[n]][what] = g
+            else:
+                for n, g, (_, ciphers) in zip(index.tolist(), gain.tolist(), what):
+                    if g > 0:
+                        own = self.memo[new[n]]
+                        for k in ciphers:
+                            own[k] = max(g, own.get(k, 0.0))
+
     def judge(self, text: str) -> tuple[int, float]:
-        """The likeliest cipher of a text and its log odds; (-1, 0) if none is worth trying."""
+        """The likeliest cipher of a text and its log odds; (-1, 0) if none is worth trying. Words must be remembered."""
         total: dict[int, float] = {}
         for word in split(text):
             if not word.isascii():
-                for k, gain in self.gains(word).items():
-                    if gain > CHANGED:
+                for k, gain in self.memo[word].items():
+                    if gain > CHANGED and k in self.weights:
                         total[k] = total.get(k, 0.0) + gain - CHANGED
         if not total:
             return -1, 0.0
@@ -177,67 +330,23 @@ class Model:
 
     def restore(self, text: str, cipher: int) -> str:
         """The text with the words changed whose reading under the cipher is likelier."""
-        shown, real = PAIRS[cipher]
+        table = self.tables.get(cipher)
         out = []
         for part in _PARTS.split(text):
-            if part.isascii() or self.gains(part).get(cipher, 0.0) <= 0:
+            if part.isascii() or self.memo[part].get(cipher, 0.0) <= 0:
                 out.append(part)
-            elif shown in WIDE or real in WIDE:
-                out.append(reading(part, shown, real) or part)
             else:
-                out.append(part.translate(substitution(cipher)))
+                out.append(part.translate(table) if table is not None else reading(part, *PAIRS[cipher]) or part)
         return "".join(out)
 
 
-_PARTS = re.compile(f"({BLANK})")
-_TABLES: dict[int, dict[int, str]] = {}
-
-
-def split(text: str) -> list[str]:
-    """Words between blanks; other spaces may be part of a garbled letter."""
-    return [w for w in re.split(BLANK, text) if w]
-
-
-def substitution(cipher: int) -> dict[int, str]:
-    """The letter-to-letter table of a cipher between two single-byte pages."""
-    if cipher not in _TABLES:
-        shown, real = PAIRS[cipher]
-        table = {}
-        for b in range(0x80, 0x100):
-            seen, meant = to_text(bytes([b]), shown), to_text(bytes([b]), real)
-            if seen and meant:
-                table[ord(seen)] = meant
-        _TABLES[cipher] = table
-    return _TABLES[cipher]
-
-
-def codes(word: str) -> list[int]:
-    """Letters of a word in lower case and its end; a blank, as a reading may have, ends a word too."""
-    return [EDGE if c <= 32 else c & 0xFFFF for c in map(ord, word.lower())] + [EDGE]
-
-
-def script(c: int) -> int:
-    """Rough script of a letter: 1 Latin, 2 Greek, 3 Cyrillic, 4 East Asian, 0 what goes with any."""
-    if c < 0x250:
-        return 1 if 0x61 <= c <= 0x7A or (c >= 0xC0 and c not in (0xD7, 0xF7)) else 0
-    if c < 0x400:
-        return 2 if c >= 0x370 else 0
-    return 3 if c < 0x530 else 4 if 0x3040 <= c < 0xD7B0 else 0
-
-
-def count_word(word: str, n: float, pairs: np.ndarray, letters: np.ndarray) -> None:
-    """Add the bigrams and letters of a word."""
-    a = EDGE
-    for b in codes(word):
-        if b == 0xFFFD:
-            continue
-        pairs[(a * 1000003 + b) & (SLOTS - 1)] += n
-        letters[a] += n
-        a = b
+# Learning
 
 
-_STAT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("x", T.DoubleType())])
-_STAT_ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int32()), ("x", pa.float64())])
+_STAT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("x", T.DoubleType())])
+_STAT_ARROW = pa.schema([("kind", pa.int32()), ("slot", pa.int64()), ("x", pa.float64())])
+#: Kinds of statistics: bigrams, letters, ciphers; from the last on the shown bigrams under each cipher.
+_PAIRS, _LETTERS, _CIPHERS, _SHOWN = 0, 1, 2, 3
 
 
 def distinct_words(texts: DataFrame, column: str) -> DataFrame:
@@ -246,67 +355,249 @@ def distinct_words(texts: DataFrame, column: str) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
-    """One round over the distinct words: expected bigrams, letters and ciphers, in bounded tables."""
+class _Counts:
+    """Expected counts of one task."""
+
+    def __init__(self) -> None:
+        self.pairs, self.letters, self.ciphers = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(CIPHERS) + 1)
+        self.shown: dict[int, dict[int, float]] = {}
+
+    def letters_of(self, words: Sequence[str], n: np.ndarray) -> None:
+        """Count words as they stand."""
+        if words:
+            a, c, starts = codes(words)
+            self.bigrams(a, c, np.repeat(n, np.diff(np.append(starts, len(a)))))
+
+    def bigrams(self, a: np.ndarray, c: np.ndarray, x: np.ndarray) -> None:
+        keep = (c != 0xFFFD) & (a != 0xFFFD)
+        a, c, x = a[keep], c[keep], x[keep]
+        np.add.at(self.pairs, (a * 1000003 + c) & (SLOTS - 1), x)
+        np.add.at(self.letters, a, x)
+
+    def under(self, k: int, words: Sequence[str], x: np.ndarray) -> None:
+        """Count the bigrams that words show under a cipher."""
+        a, c, starts = codes(words, False)
+        slots, inverse = np.unique(a << 16 | c, return_inverse=True)
+        sums = np.bincount(inverse, np.repeat(x, np.diff(np.append(starts, len(a)))))
+        own = self.shown.setdefault(k, {})
+        for slot, s in zip(slots.tolist(), sums.tolist()):
+            own[slot] = own.get(slot, 0.0) + s
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for kind, table in ((_PAIRS, self.pairs), (_LETTERS, self.letters), (_CIPHERS, self.ciphers)):
+            slots = np.flatnonzero(table)
+            yield from self._batch(kind, slots, table[slots])
+        for k, own in self.shown.items():
+            yield from self._batch(_SHOWN + k, np.fromiter(own.keys(), np.int64), np.fromiter(own.values(), np.float64))
+
+    @staticmethod
+    def _batch(kind: int, slots: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(slots), 20_000):
+            part = slots[at : at + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int64)), pa.array(x[at : at + 20_000])], schema=_STAT_ARROW)
+
+
+def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts: _Counts) -> None:
+    """Add the expected counts of distinct words, which are said ``n`` times each."""
+    plain = np.array([model is None or w.isascii() for w in words], bool)
+    counts.letters_of([w for w, p in zip(words, plain) if p], n[plain])
+    if plain.all():
+        return
+    if model is None:
+        return
+    words, n = [w for w, p in zip(words, plain) if not p], n[~plain]
+    own, size = model.scores(words), bigram_counts(words)
+    index, gain, which, source, length = [], [], [], [], []
+    for i, g, what in model.weigh(words):
+        if isinstance(what, int):
+            index.append(i), gain.append(g), which.append(np.full(len(i), what)), source.append(np.full(len(i), -1)), length.append(size[i])
+        else:
+            for j, (text, ciphers) in enumerate(what):
+                ks = [k for k in ciphers if k in model.weights]
+                one = np.ones(len(ks))
+                index.append(one * i[j]), gain.append(one * g[j]), which.append(np.array(ks, int)), source.append(one * j), length.append(one * (len(text) + 1))
+            wide = what
+    index, which, source = (np.concatenate(x).astype(int) for x in (index, which, source))
+    # readings that no language would write are counted nowhere: they would come to vouch for themselves
+    gain = np.concatenate(gain)
+    written = own[index] + gain >= WRITTEN * np.concatenate(length)
+    index, which, source, gain = index[written], which[written], source[written], gain[written]
+    odds = gain + np.array([model.weights[k] for k in which.tolist()])
+    top = np.zeros(len(words))
+    np.maximum.at(top, index, odds)
+    part = np.exp(np.minimum(odds - top[index], 0.0))
+    stands = np.exp(-top)
+    whole = stands + np.bincount(index, part, len(words))
+    part, stands = part / whole[index], stands / whole
+    odd = odd_words(words)
+    unread = (np.bincount(index, minlength=len(words)) == 0) & (own < WRITTEN * size)
+    # a word that no language would write does not vouch for itself
+    counts.letters_of(words, np.where(odd >= 0, 0.0, n * stands))
+    counts.ciphers[-1] += float((n * stands).sum())
+    np.add.at(counts.ciphers, which, part * n[index])
+    for k in np.unique(which[part > 1e-2]).tolist():
+        mine = np.flatnonzero((which == k) & (part > 1e-2))
+        x = part[mine] * n[index[mine]]
+        if k in model.tables:
+            shown = [words[i] for i in index[mine].tolist()]
+            counts.under(k, shown, x)
+            counts.letters_of([w.translate(model.tables[k]) for w in shown], x)
+        else:
+            counts.letters_of([wide[j][0] for j in source[mine].tolist()], x)
+    for f in range(len(FREE)):
+        left = np.flatnonzero((odd == f) & unread)
+        if len(left):
+            counts.under(len(PAIRS) + f, [words[i] for i in left.tolist()], n[left])
+
+
+def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, dict[int, float]]]:  # noqa: ANN001
+    """One round over the distinct words: expected bigrams, letters, ciphers and what ciphers show, in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of()
-        pairs, letters, ciphers = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(PAIRS) + 1)
+        model, counts = model_of(), _Counts()
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = float(n)
-                if model is None or word.isascii():
-                    count_word(word, n, pairs, letters)
-                    continue
-                odds = {k: g + model.weights[k] for k, g in model.gains(word).items() if g + model.weights[k] > -8}
-                top = max([0.0, *odds.values()])
-                parts = {k: math.exp(o - top) for k, o in odds.items()}
-                plain = math.exp(-top)
-                whole = plain + sum(parts.values())
-                if plain / whole > 1e-3:
-                    count_word(word, n * plain / whole, pairs, letters)
-                ciphers[len(PAIRS)] += n * plain / whole
-                for k, p in parts.items():
-                    ciphers[k] += n * p / whole
-                    if p / whole > 1e-2:
-                        count_word(reading(word, *PAIRS[k]) or word, n * p / whole, pairs, letters)
-        for kind, table in enumerate((pairs, letters, ciphers)):
-            slots = np.flatnonzero(table)
-            for at in range(0, len(slots), 20_000):
-                part = slots[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[part])],
-                    schema=_STAT_ARROW,
-                )
+            if batch.num_rows:
+                expectation(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), model, counts)
+        yield from counts.batches()
 
     sums = words.mapInArrow(run, _STAT).groupBy("kind", "slot").agg(F.sum("x").alias("x"))
-    tables = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(PAIRS) + 1)
-    # at most SLOTS + LETTERS + ciphers rows, whatever the corpus
+    tables = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(CIPHERS) + 1)
+    # at most SLOTS + LETTERS + ciphers rows, and for each cipher the pairs of letters of a page
     rows = sums.toArrow()
     kind, slot, x = (rows.column(c).to_numpy() for c in ("kind", "slot", "x"))
     for k, table in enumerate(tables):
         table[slot[kind == k]] = x[kind == k]
-    return tables
+    shown = {k - _SHOWN: dict(zip(slot[kind == k].tolist(), x[kind == k].tolist())) for k in np.unique(kind[kind >= _SHOWN]).tolist()}
+    return (*tables, shown)
+
+
+def _matrix(shown: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters shown, and the counts of their bigrams as a matrix."""
+    slots = np.fromiter(shown.keys(), np.int64, len(shown))
+    letters = np.unique(np.concatenate((slots >> 16, slots & 0xFFFF)))
+    at = np.searchsorted(letters, np.stack((slots >> 16, slots & 0xFFFF)))
+    counts = np.zeros((len(letters), len(letters)))
+    counts[at[0], at[1]] = np.fromiter(shown.values(), np.float64, len(shown))
+    return letters, counts
+
+
+def relearned(model: Model, k: int, shown: dict[int, float]) -> dict[int, str]:
+    """The table of a cipher, each shown letter as the one that fits best between its neighbours.
+
+    Another letter than before must fit better by ``BETTER`` and by e at each place; letters not shown keep what they
+    started with.
+    """
+    table = dict(model.tables[k])
+    letters, counts = _matrix(shown)
+    image = np.array([_lower(table.get(x) or chr(x)) for x in letters.tolist()])
+    known = np.flatnonzero(model.letters[0x80:EDGE] >= KNOWN) + 0x80
+    if not len(known):
+        return table
+    for i, c in enumerate(letters.tolist()):
+        if not 0x80 <= c < EDGE or counts[i].sum() + counts[:, i].sum() < 1.0:
+            continue
+        candidates = np.append(known, image[i])
+        before, after = np.flatnonzero(counts[:, i]), np.flatnonzero(counts[i])
+        fit = sum(counts[j, i] * model.bigram(np.full(len(candidates), image[j]), candidates) for j in before.tolist() if j != i)
+        fit = fit + sum(counts[i, j] * model.bigram(candidates, np.full(len(candidates), image[j])) for j in after.tolist() if j != i)
+        best = int(np.argmax(fit))
+        if fit[best] > fit[-1] + BETTER + counts[:, i].sum():
+            table[c] = chr(int(candidates[best]))
+            image[i] = candidates[best]
+    return table
+
+
+def decipher(model: Model, shown: dict[int, float], plain: bool, seed: int = 1) -> dict[int, str] | None:
+    """A letter table learned from scratch: the shown letters as letters of the script that explains their bigrams best.
+
+    An emission table from real to shown letters is learned by EM against the script's bigrams, from several starts. With
+    ``plain``, plain letters stand for themselves and the others are letters of the Latin script. None if no script
+    explains the bigrams much better than the letters as they stand.
+    """
+    letters, counts = _matrix(shown)
+    odd = (letters >= 0x80) & (letters < EDGE)
+    if not 0 < odd.sum() <= PAGE:  # no page has more letters
+        return None
+    known = np.flatnonzero(model.letters[:EDGE] >= KNOWN)
+    known = known[[chr(x).isalpha() for x in known.tolist()]]
+    group = script(known)
+    fixed = np.array([_lower(chr(x)) for x in letters[~odd].tolist()])
+    rng = np.random.default_rng(seed)
+
+    def value_of(image: np.ndarray) -> float:
+        n = len(letters)
+        return float((counts * model.bigram(np.repeat(image, n), np.tile(image, n)).reshape(counts.shape)).sum())
+
+    stands = value_of(np.array([_lower(chr(x)) for x in letters.tolist()]))
+    best, result = -math.inf, None
+    for g in [1] if plain else sorted(set(group.tolist()) - {0, 1, 4}):
+        own = known[(group == g) & (known >= 0x80)]
+        if not 8 <= len(own) <= LARGEST_SCRIPT:
+            continue
+        real = np.concatenate((own, fixed))  # plain letters in both cases stand for themselves, each with a row of its own
+        pairs = np.maximum(model.pairs[(real[:, None] * 1000003 + real[None, :]) & (SLOTS - 1)] - DISCOUNT / 2, 0.0)
+        follow = (pairs + BACKOFF * model.alone[real][None, :]) / (model.letters[real] + BACKOFF)[:, None]
+        allowed = np.zeros((len(real), len(letters)))
+        allowed[: len(own), odd] = 1.0
+        allowed[np.arange(len(own), len(real)), np.flatnonzero(~odd)] = 1.0
+        often, rank_real = counts.sum(0)[odd], np.argsort(np.argsort(-model.letters[own]))
+        rank_shown = np.argsort(np.argsort(-often))
+        for start in range(STARTS):
+            emit = allowed.copy()
+            near = np.exp(-np.abs(rank_real[:, None] - rank_shown[None, :]) / (2.0 + start % 15))
+            emit[: len(own), odd] = near * rng.exponential(1.0, near.shape) if start else near
+            emit /= np.maximum(emit.sum(1, keepdims=True), 1e-300)
+            start_of = model.letters[real] / model.letters[real].sum()
+            joint = start_of[:, None] * follow
+            for _ in range(DECIPHER_ROUNDS):
+                expect = np.maximum(emit.T @ joint @ emit, 1e-300)
+                ratio = counts / expect
+                emit = emit * ((joint @ emit @ ratio.T) + (joint.T @ emit @ ratio)) + 1e-9 * allowed
+                emit *= allowed
+                emit /= np.maximum(emit.sum(1, keepdims=True), 1e-300)
+            value = float((counts * np.log(np.maximum(emit.T @ joint @ emit, 1e-300))).sum())
+            if value > best:
+                image = np.zeros(len(letters), np.int64)
+                image[~odd] = fixed
+                image[odd] = own[np.argmax((emit * start_of[:, None])[: len(own)][:, odd], 0)]
+                best, result = value, image
+    if result is None:
+        return None
+    if value_of(result) - stands < WORTH_LETTER * counts[:, odd].sum():
+        return None
+    return {int(c): chr(int(r)) for c, r in zip(letters[odd], result[odd])}
 
 
 def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
     """The model of all texts, by expectation-maximization over their distinct words.
 
-    Every word counts as often as it is said. Empty tables give a model that finds nothing.
+    Every word counts as often as it is said. Empty tables, and no rounds, give a model that finds nothing.
     """
     # few bytes but much work a word: keep the tasks that the session's shuffles are set up for
     words = cut(distinct_words(texts, column).repartition(parallelism(texts.sparkSession), "word"))
     context = texts.sparkSession.sparkContext
-    pairs, letters, _ = _statistics(words, lambda: None)
+    pairs, letters, *_ = _statistics(words, lambda: None)
+    if rounds == 0:
+        return context.broadcast((pairs, letters, {}, {}))
     odds = max(math.log(START_DAMAGED / len(PAIRS) / (1 - START_DAMAGED)), RAREST)
     weights = dict.fromkeys(range(len(PAIRS)), odds)
-    for _ in range(rounds):
-        tables = context.broadcast((pairs, letters, weights))
-        pairs, letters, ciphers = _statistics(words, lambda tables=tables: Model(*tables.value))
-        plain = ciphers[-1] + 1.0
+    tables = {k: substitution(k) for k in NARROW}
+    for turn in range(rounds):
+        state = context.broadcast((pairs, letters, weights, tables))
+        pairs, letters, ciphers, shown = _statistics(words, lambda state=state: Model(*state.value))
+        known = Model(pairs, letters, weights, tables)
+        stands = ciphers[-1] + 1.0
         # no cipher leaves: a rare one with small gains at first may still be needed
-        weights = {k: max(math.log((ciphers[k] + 0.01) / plain), RAREST) for k in range(len(PAIRS))}
-    return context.broadcast((pairs, letters, weights))
+        weights = {k: max(math.log((ciphers[k] + 0.01) / stands), RAREST) for k in weights}
+        tables = {k: relearned(known, k, shown[k]) if k in shown and ciphers[k] >= LEARNABLE else t for k, t in tables.items()}
+        if RESIDUE <= turn < rounds - 1:
+            for f, (name, _) in enumerate(FREE):
+                k = len(PAIRS) + f
+                rest = shown.get(k, {})
+                ends = sum(x for slot, x in rest.items() if slot >> 16 == EDGE)
+                if k not in tables and ends >= LEAST_RESIDUE and (table := decipher(known, rest, "plain" in name)):
+                    tables[k], weights[k] = table, max(math.log(ends / stands), RAREST)
+    return context.broadcast((pairs, letters, weights, tables))
 
 
 OUT = T.StructType(
@@ -336,21 +627,23 @@ def judged(nodes: DataFrame, rounds: int = ROUNDS, odds: float = ODDS) -> DataFr
     Defined results: null and empty texts are not garbled; repeated rows are judged each; an empty
     table gives no rows; very long texts are judged whole.
     """
-    model = learn(nodes, "buf", rounds)
+    learned = learn(nodes, "buf", rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*model.value)
+        model = Model(*learned.value)
         for batch in batches:
-            rows = []
-            for node_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows, texts = [], batch.column(1).to_pylist()
+            model.gains([w for t in texts if t and not t.isascii() for w in split(t) if not w.isascii()])
+            for node_id, text in zip(batch.column(0).to_pylist(), texts):
                 if not text or text.isascii():
                     rows.append((node_id, False, None, None, 0.0, None))
                     continue
-                cipher, log_odds = own.judge(text)
+                cipher, log_odds = model.judge(text)
                 hit = cipher >= 0 and log_odds >= odds
-                restored = own.restore(text, cipher) if hit else None
+                restored = model.restore(text, cipher) if hit else None
+                hit = hit and restored != text
                 lost = "�" in text
-                shown, real = PAIRS[cipher] if hit else (None, None)
+                shown, real = CIPHERS[cipher] if hit else (None, None)
                 whole = restored if restored is not None and "�" not in restored else None
                 rows.append((node_id, hit or lost, shown, real, log_odds, whole))
             if rows:

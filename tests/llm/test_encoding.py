@@ -51,6 +51,73 @@ def test_found_and_restored(spark):
     assert sum(got[k]["restored"] == bad[k] for k in hits) >= 0.95 * len(hits)
 
 
+#: Letters and words of languages, in pages that are not among the known ones.
+HEBREW = "שלום משאבה לחץ טמפרטורה מים צינור שסתום מנוע חיישן בדיקה מפלס זרימה מספר מערכת תחזוקה".split()
+RUSSIAN = "насос клапан давление температура уровень масло расход труба двигатель датчик проверка номер линия система цех корпус".split()
+FRENCH = "données numéro élément façade côté système très réservoir été modèle débit équipé contrôle pièce âgé fenêtre température".split()
+
+
+def unknown_swap(words, garble, extra, n=200, clean=500, seed=4):
+    """Rows with clean and garbled texts of a language among others; the ids of the garbled ones with their texts."""
+    rng = random.Random(seed)
+    rows = [(i, "d", t, None) for i, (_, _, t, _) in enumerate(r for r in corpus()[0][:1500])]
+    bad = {}
+    for k in range(n + clean):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(3, 7)))
+        if k < n:
+            bad[10_000 + k] = text
+            text = garble(text)
+        rows.append((10_000 + k, "d", text, None))
+    return rows + extra, bad
+
+
+def permuted(page, seed):
+    order = list(range(0x80, 0x100))
+    random.Random(seed).shuffle(order)
+    return lambda text: bytes(order[b - 0x80] if b >= 0x80 else b for b in text.encode(page)).decode("latin-1")
+
+
+SWAPS = {
+    "hebrew": (HEBREW, lambda t: t.encode("cp1255").decode("latin-1")),
+    "permuted russian": (RUSSIAN, permuted("cp1251", 5)),
+    "permuted french": (FRENCH, permuted("cp1252", 6)),
+}
+
+
+@pytest.mark.parametrize("name", SWAPS)
+def test_unknown_pages_are_deciphered(spark, name):
+    words, garble = SWAPS[name]
+    rows, bad = unknown_swap(words, garble, [])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["node_id"]: r for r in encoding.judged(df).collect()}
+    clean = {r[0] for r in rows if r[0] >= 10_000 and r[0] not in bad}
+    found = sum(got[k]["garbled"] for k in bad)
+    right = sum(a == b for k, t in bad.items() if got[k]["restored"] for a, b in zip(t, got[k]["restored"])) / sum(map(len, bad.values()))
+    assert found >= 0.9 * len(bad) and right >= 0.8
+    assert sum(got[k]["garbled"] for k in clean) <= 0.02 * len(clean)
+
+
+def test_letter_tables_are_learned():
+    """A table that starts with wrong letters is put right by what the language has between its neighbours."""
+    counts = encoding._Counts()
+    words = TEXTS["de"] * 40 + TEXTS["fr"] * 40
+    encoding.expectation(words, encoding.np.ones(len(words)), None, counts)
+    k = encoding.PAIRS.index(("cp850", "cp1252"))
+    wrong = encoding.substitution(k) | {ord("÷"): "ø", ord("ß"): "å"}  # ö and á in truth
+    model = encoding.Model(counts.pairs, counts.letters, {k: -3.0}, {k: wrong})
+    shown = [w.encode("cp1252").decode("cp850") for w in TEXTS["de"] for _ in range(5) if not w.isascii()]
+    seen = encoding._Counts()
+    seen.under(k, shown, encoding.np.ones(len(shown)))
+    right = encoding.relearned(model, k, seen.shown[k])
+    assert right[ord("÷")] == "ö" and right[ord("³")] == "ü" and right[ord("ß")] == "å"
+
+
+def test_nothing_is_found_without_learning(spark):
+    rows, bad = corpus()
+    got = encoding.judged(spark.createDataFrame(rows, SCHEMA), rounds=0).where("garbled").count()
+    assert bad and got == 0
+
+
 def test_nothing(spark):
     assert encoding.judged(spark.createDataFrame([], SCHEMA)).count() == 0
 
