@@ -19,6 +19,7 @@ cipher is chosen for all its words, and applied with translate() where it maps l
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator, Sequence
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from termloom.util import cut, parallelism
 
@@ -81,6 +83,8 @@ LEAST_RESIDUE, WORTH_LETTER, DECIPHER_ROUNDS, STARTS = 30.0, 1.0, 60, 150
 PAGE = 128
 #: Letters of a script at most that is deciphered into; those of larger ones come in groups of bytes.
 LARGEST_SCRIPT = 160
+#: Expected words of a cipher below which it is left out when texts are judged.
+UNASKED = 1e-4
 #: Log odds, per text, from which it counts as garbled.
 ODDS = 0.0
 #: Word ends, which are no letters of any page.
@@ -148,26 +152,43 @@ def substitution(cipher: int) -> dict[int, str]:
     return table
 
 
-def wide_readings(word: str) -> dict[str, list[int]]:
-    """Readings of a word under ciphers that are no letter tables, with the ciphers that give them."""
+def wide_readings(word: str, active: frozenset[int] | None = None) -> dict[str, list[int]]:
+    """Readings of a word under ciphers that are no letter tables, with the ciphers that give them.
+
+    ``active`` names the ciphers asked for. A reading that is lost for the better half is none.
+    """
     raws: dict[bytes, list[int]] = {}
-    for s, page in enumerate(SHOWN):
-        raw = to_bytes(word, page)
+    for s, reals in _WIDE_PAIRS if active is None else _asked(active):
+        raw = to_bytes(word, SHOWN[s])
         if raw is not None:
-            raws.setdefault(raw, []).append(s)
+            raws.setdefault(raw, []).append((s, reals))
     found: dict[str, list[int]] = {}
     for raw, pages in raws.items():
+        leads = None
         for r, real in enumerate(REAL):
-            own = [s for s in pages if SHOWN[s] != real and (real in WIDE or SHOWN[s] in WIDE)]
-            if not own or (real.startswith("utf-8") and not _LEADS.search(raw)):
+            own = [_INDEX[s, r] for s, reals in pages if r in reals]
+            if not own:
                 continue
+            if real.startswith("utf-8"):
+                leads = bool(_LEADS.search(raw)) if leads is None else leads
+                if not leads:
+                    continue
             text = to_text(raw, real)
-            if text is not None and text != word:
-                found.setdefault(text, []).extend(_INDEX[s, r] for s in own)
+            if text is not None and text != word and 2 * text.count("�") < len(text):
+                found.setdefault(text, []).extend(own)
     return found
 
 
+@functools.cache
+def _asked(active: frozenset[int]) -> list[tuple[int, set[int]]]:
+    pages = [(s, {r for r in reals if _INDEX[s, r] in active}) for s, reals in _WIDE_PAIRS]
+    return [(s, reals) for s, reals in pages if reals]
+
+
 _INDEX = {(SHOWN.index(x), REAL.index(y)): k for k, (x, y) in enumerate(PAIRS)}
+_WIDE_PAIRS = [
+    (s, {r for r, real in enumerate(REAL) if real != page and (real in WIDE or page in WIDE)}) for s, page in enumerate(SHOWN)
+]
 
 
 # Words as arrays of letters
@@ -230,6 +251,9 @@ def odd_words(words: Sequence[str]) -> np.ndarray:
     return out
 
 
+_SCRIPTS = script(np.arange(LETTERS)).astype(np.int16)
+
+
 class Model:
     """Bigrams of letters, weights of ciphers and the letter tables of those that have one."""
 
@@ -237,16 +261,18 @@ class Model:
         self.pairs, self.letters, self.weights, self.tables = pairs, letters, weights, tables
         self.total = float(letters.sum()) + 1.0
         self.alone = (letters + UNSEEN) / self.total
-        self.log_alone = np.log(self.alone)
+        self.log_alone, self.log_letters = ALONE * np.log(self.alone), np.log(letters + BACKOFF)
+        self.active = frozenset(weights)
         self.memo: dict[str, dict[int, float]] = {}
 
     def bigram(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Log scores of letters after others."""
         seen = np.maximum(self.pairs[(a * 1000003 + c) & (SLOTS - 1)] - DISCOUNT, 0.0)
-        result = (1 - ALONE) * np.log((seen + BACKOFF * self.alone[c]) / (self.letters[a] + BACKOFF)) + ALONE * self.log_alone[c]
-        x, y = script(a), script(c)
-        result += np.where((x > 0) & (y > 0) & (x != y), MIXED, 0.0)
-        return np.where(c == 0xFFFD, LOST, result)
+        result = (1 - ALONE) * (np.log(seen + BACKOFF * self.alone[c]) - self.log_letters[a]) + self.log_alone[c]
+        x, y = _SCRIPTS[a], _SCRIPTS[c]
+        result[(x > 0) & (y > 0) & (x != y)] += MIXED
+        result[c == 0xFFFD] = LOST
+        return result
 
     def scores(self, words: Sequence[str]) -> np.ndarray:
         """Log scores of words."""
@@ -255,9 +281,9 @@ class Model:
         a, c, starts = codes(words)
         return np.add.reduceat(self.bigram(a, c), starts)
 
-    def weigh(self, words: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, int | list[tuple[str, list[int]]]]]:
+    def weigh(self, words: Sequence[str], wide: Sequence[dict[str, list[int]]] | None = None) -> list[tuple[np.ndarray, np.ndarray, int | list[tuple[str, list[int]]]]]:
         """Gains of readings over the words as they stand: (indices of words, gains, cipher), for all of a letter table
-        at once, and at the end the wide readings one by one with their ciphers."""
+        at once, and at the end the wide readings one by one with their ciphers. ``wide``: those readings, if known."""
         a, c, starts = codes(words, False)
         bigrams, inverse = np.unique(a << 16 | c, return_inverse=True)
         a, c = bigrams >> 16, bigrams & 0xFFFF
@@ -283,8 +309,10 @@ class Model:
             if len(hit):
                 found.append((hit, gain[hit], k))
         index, texts = [], []
-        for n, w in enumerate(words):
-            for text, ciphers in wide_readings(w).items():
+        if wide is None:
+            wide = (wide_readings(w, self.active) for w in words)
+        for n, readings in enumerate(wide):
+            for text, ciphers in readings.items():
                 index.append(n)
                 texts.append((text, ciphers))
         gains = self.scores([t for t, _ in texts]) - own[index] if texts else np.zeros(0)
@@ -355,11 +383,28 @@ def distinct_words(texts: DataFrame, column: str) -> DataFrame:
     return words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+_READ = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("texts", T.ArrayType(T.StringType())),
+                      T.StructField("ciphers", T.ArrayType(T.ArrayType(T.IntegerType())))])
+_READ_ARROW = to_arrow_schema(_READ)
+
+
+def _with_readings(words: DataFrame) -> DataFrame:
+    """Distinct words with their wide readings, which are the same in every round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [{} if w.isascii() else wide_readings(w) for w in batch.column(0).to_pylist()]
+            columns = [*batch.columns, pa.array([list(f) for f in found], _READ_ARROW.types[2]), pa.array([list(f.values()) for f in found], _READ_ARROW.types[3])]
+            yield pa.RecordBatch.from_arrays(columns, schema=_READ_ARROW)
+
+    return words.mapInArrow(run, _READ)
+
+
 class _Counts:
-    """Expected counts of one task."""
+    """Expected counts of one task; of ciphers, what they explain, the words that stand, and what each might explain alone."""
 
     def __init__(self) -> None:
-        self.pairs, self.letters, self.ciphers = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(CIPHERS) + 1)
+        self.pairs, self.letters, self.ciphers = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(2 * len(CIPHERS) + 1)
         self.shown: dict[int, dict[int, float]] = {}
 
     def letters_of(self, words: Sequence[str], n: np.ndarray) -> None:
@@ -397,18 +442,20 @@ class _Counts:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int64)), pa.array(x[at : at + 20_000])], schema=_STAT_ARROW)
 
 
-def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts: _Counts) -> None:
-    """Add the expected counts of distinct words, which are said ``n`` times each."""
+def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts: _Counts, wide: Sequence[dict[str, list[int]]] | None = None) -> None:
+    """Add the expected counts of distinct words, which are said ``n`` times each; ``wide``: their wide readings."""
     plain = np.array([model is None or w.isascii() for w in words], bool)
     counts.letters_of([w for w, p in zip(words, plain) if p], n[plain])
     if plain.all():
         return
     if model is None:
         return
+    if wide is not None:
+        wide = [x for x, p in zip(wide, plain) if not p]
     words, n = [w for w, p in zip(words, plain) if not p], n[~plain]
     own, size = model.scores(words), bigram_counts(words)
     index, gain, which, source, length = [], [], [], [], []
-    for i, g, what in model.weigh(words):
+    for i, g, what in model.weigh(words, wide):
         if isinstance(what, int):
             index.append(i), gain.append(g), which.append(np.full(len(i), what)), source.append(np.full(len(i), -1)), length.append(size[i])
         else:
@@ -416,13 +463,15 @@ def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts
                 ks = [k for k in ciphers if k in model.weights]
                 one = np.ones(len(ks))
                 index.append(one * i[j]), gain.append(one * g[j]), which.append(np.array(ks, int)), source.append(one * j), length.append(one * (len(text) + 1))
-            wide = what
+            texts = what
     index, which, source = (np.concatenate(x).astype(int) for x in (index, which, source))
     # readings that no language would write are counted nowhere: they would come to vouch for themselves
     gain = np.concatenate(gain)
+    prior = np.array([model.weights[k] for k in which.tolist()])
+    np.add.at(counts.ciphers, len(CIPHERS) + 1 + which, n[index] / (1.0 + np.exp(-np.clip(gain + prior, -50.0, 50.0))))
     written = own[index] + gain >= WRITTEN * np.concatenate(length)
-    index, which, source, gain = index[written], which[written], source[written], gain[written]
-    odds = gain + np.array([model.weights[k] for k in which.tolist()])
+    index, which, source = index[written], which[written], source[written]
+    odds = gain[written] + prior[written]
     top = np.zeros(len(words))
     np.maximum.at(top, index, odds)
     part = np.exp(np.minimum(odds - top[index], 0.0))
@@ -433,7 +482,7 @@ def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts
     unread = (np.bincount(index, minlength=len(words)) == 0) & (own < WRITTEN * size)
     # a word that no language would write does not vouch for itself
     counts.letters_of(words, np.where(odd >= 0, 0.0, n * stands))
-    counts.ciphers[-1] += float((n * stands).sum())
+    counts.ciphers[len(CIPHERS)] += float((n * stands).sum())
     np.add.at(counts.ciphers, which, part * n[index])
     for k in np.unique(which[part > 1e-2]).tolist():
         mine = np.flatnonzero((which == k) & (part > 1e-2))
@@ -443,7 +492,7 @@ def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts
             counts.under(k, shown, x)
             counts.letters_of([w.translate(model.tables[k]) for w in shown], x)
         else:
-            counts.letters_of([wide[j][0] for j in source[mine].tolist()], x)
+            counts.letters_of([texts[j][0] for j in source[mine].tolist()], x)
     for f in range(len(FREE)):
         left = np.flatnonzero((odd == f) & unread)
         if len(left):
@@ -457,11 +506,13 @@ def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.
         model, counts = model_of(), _Counts()
         for batch in batches:
             if batch.num_rows:
-                expectation(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), model, counts)
+                texts, ciphers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                wide = [dict(zip(x, y)) for x, y in zip(texts, ciphers)]
+                expectation(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), model, counts, wide)
         yield from counts.batches()
 
     sums = words.mapInArrow(run, _STAT).groupBy("kind", "slot").agg(F.sum("x").alias("x"))
-    tables = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(len(CIPHERS) + 1)
+    tables = np.zeros(SLOTS), np.zeros(LETTERS), np.zeros(2 * len(CIPHERS) + 1)
     # at most SLOTS + LETTERS + ciphers rows, and for each cipher the pairs of letters of a page
     rows = sums.toArrow()
     kind, slot, x = (rows.column(c).to_numpy() for c in ("kind", "slot", "x"))
@@ -574,7 +625,7 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
     Every word counts as often as it is said. Empty tables, and no rounds, give a model that finds nothing.
     """
     # few bytes but much work a word: keep the tasks that the session's shuffles are set up for
-    words = cut(distinct_words(texts, column).repartition(parallelism(texts.sparkSession), "word"))
+    words = cut(_with_readings(distinct_words(texts, column).repartition(parallelism(texts.sparkSession), "word")))
     context = texts.sparkSession.sparkContext
     pairs, letters, *_ = _statistics(words, lambda: None)
     if rounds == 0:
@@ -586,7 +637,7 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
         state = context.broadcast((pairs, letters, weights, tables))
         pairs, letters, ciphers, shown = _statistics(words, lambda state=state: Model(*state.value))
         known = Model(pairs, letters, weights, tables)
-        stands = ciphers[-1] + 1.0
+        stands = ciphers[len(CIPHERS)] + 1.0
         # no cipher leaves: a rare one with small gains at first may still be needed
         weights = {k: max(math.log((ciphers[k] + 0.01) / stands), RAREST) for k in weights}
         tables = {k: relearned(known, k, shown[k]) if k in shown and ciphers[k] >= LEARNABLE else t for k, t in tables.items()}
@@ -597,7 +648,9 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
                 ends = sum(x for slot, x in rest.items() if slot >> 16 == EDGE)
                 if k not in tables and ends >= LEAST_RESIDUE and (table := decipher(known, rest, "plain" in name)):
                     tables[k], weights[k] = table, max(math.log(ends / stands), RAREST)
-    return context.broadcast((pairs, letters, weights, tables))
+    # every distinct word was weighed: a cipher that none of them asked for, not even faintly, gains in no text
+    weights = {k: w for k, w in weights.items() if k >= len(PAIRS) or ciphers[len(CIPHERS) + 1 + k] > UNASKED}
+    return context.broadcast((pairs, letters, weights, {k: t for k, t in tables.items() if k in weights}))
 
 
 OUT = T.StructType(
