@@ -9,7 +9,10 @@ at least ``SEED`` words, so nothing is lost by looking at those only.
 
 from __future__ import annotations
 
+import pickle
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,8 +27,9 @@ from pyspark.sql import types as T
 LEAST_WORDS, WORDS_PER_EDIT = 20, 8
 #: With at most one edit in eight of 20 or more words, some 6 words in a row are untouched.
 SEED = 6
-#: Words of test items in one automaton at most; more items go through several, one after another.
-AUTOMATON_WORDS = 2_000_000
+#: Words of test items in one automaton at most; more items go through several, one after another. Ready to run, an
+#: automaton takes about 120 bytes a word, and some 900 while it is built, in a task of its own.
+AUTOMATON_WORDS = 500_000
 
 #: A number in brackets, which does not count, or a word.
 TOKEN = re.compile(r"[(\[{（【]\s*[0-9]+\s*[)\]}）】]|([^\W_]+)")
@@ -98,18 +102,55 @@ class Automaton:
                 root[state] = state if above < 0 else above
         return root
 
+    def packed(self, size: int, least: int) -> Packed:
+        """The automaton over ``size`` words in flat arrays, with the items of matches of ``least`` words."""
+        edges = sorted((state * size + c, to) for state, moves in enumerate(self.next) for c, to in moves.items())
+        root = self.roots(least)
+        ends, flat = [0], []
+        for state, own in enumerate(self.items):
+            if root[state] == state:
+                flat += sorted(own)
+            ends.append(len(flat))
+        return Packed(size, array("q", (k for k, _ in edges)), array("i", (to for _, to in edges)), array("i", self.link), array("i", self.length),
+                      array("i", root), array("i", ends), array("i", flat))
+
+
+@dataclass(frozen=True)
+class Packed:
+    """A suffix automaton in flat arrays: moves sorted by state and word, and items by the state of their last words."""
+
+    size: int
+    keys: array
+    to: array
+    link: array
+    length: array
+    root: array
+    ends: array
+    flat: array
+
+    def move(self, state: int, c: int) -> int:
+        """The state after a word; -1 if there is none."""
+        key = state * self.size + c
+        at = bisect_left(self.keys, key)
+        return self.to[at] if at < len(self.keys) and self.keys[at] == key else -1
+
     def run(self, sequence: Sequence[int]) -> Iterator[tuple[int, int]]:
         """(state, length) of the longest match that ends at each word."""
-        moves, link, length = self.next, self.link, self.length
         state, n = 0, 0
         for c in sequence:
-            while state and c not in moves[state]:
-                state = link[state]
-                n = length[state]
-            move = moves[state].get(c)
-            state, n = (0, 0) if move is None else (move, n + 1)
+            after = self.move(state, c)
+            while state and after < 0:
+                state = self.link[state]
+                n = self.length[state]
+                after = self.move(state, c)
+            state, n = (0, 0) if after < 0 else (after, n + 1)
             yield state, n
 
+    def items(self, state: int) -> array:
+        """Items that hold the last words of a match."""
+        at = self.root[state]
+        return self.flat[self.ends[at] : self.ends[at + 1]]
+
 
 def passages(
     doc: Sequence[int], item: Sequence[int], seeds: Sequence[tuple[int, int]], least: int, per_edit: int, seed: int
@@ -146,8 +187,8 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
     """Farthest (item words, doc words) to one side of an exact match, for 0, 1, 2 ... edits.
 
     For each number of edits and each shift between the texts, the farthest place is kept. A place
-    counts if it ends in words alike. ``own`` is what the match has to offer: words beyond which the
-    edits so far could not be paid for, three times in a row, are left to the matches among them.
+    counts if it ends in words alike. ``own`` is the most words that the passage can have on the match's other side
+    and in it: more edits than it and all words on this side could pay for are in no passage.
     """
     n, m = (len(item) - j, len(doc) - i) if step > 0 else (j + 1, i + 1)
 
@@ -161,8 +202,7 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
     places = {0: run}
     best = (run, run)
     reaches = [best]
-    poor = 0
-    while poor < 3 and places:
+    while places and len(reaches) <= (own + n) // per_edit:
         after: dict[int, int] = {}
         for d, x in places.items():  # replaced, added in the document, left out
             for shift, to in ((d, x + 1), (d + 1, x), (d - 1, x + 1)):
@@ -175,18 +215,13 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
             if run and x + run > best[0]:
                 best = (x + run, x + run + d)
         reaches.append(best)
-        gained = best[0] - per_edit * (len(reaches) - 1)
-        poor = 0 if own + gained >= 0 else poor + 1
-        if len(reaches) - 1 > n // per_edit + 3:
-            break
     return reaches
 
 
 def _around(doc: Sequence[int], item: Sequence[int], i: int, j: int, n: int, least: int, per_edit: int) -> tuple[int, int, int, int, int] | None:
     """The longest passage that holds the exact match of ``n`` words at ``i`` and ``j``, or None."""
     right = _reaches(doc, item, i + n, j + n, 1, n + j, per_edit)
-    gain = max(r[0] - per_edit * e for e, r in enumerate(right))
-    left = _reaches(doc, item, i - 1, j - 1, -1, n + gain, per_edit) if i and j else [(0, 0)]
+    left = _reaches(doc, item, i - 1, j - 1, -1, len(item) - j, per_edit) if i and j else [(0, 0)]
     best = None
     for e1, (x1, y1) in enumerate(left):
         for e2, (x2, y2) in enumerate(right):
@@ -203,27 +238,27 @@ class Matcher:
         self.least, self.per_edit, self.seed = least, per_edit, seed
         self.ids: dict[str, int] = {"": -2}  # a number in brackets
         self.items: list[tuple[int, list[int]]] = []
-        self.automaton = Automaton()
+        automaton = Automaton()
         for item_id, text in items:
             sequence = [self.ids.setdefault(w, len(self.ids) - 1) for w in words(text)]
-            self.automaton.add(len(self.items), sequence)
-            self.items.append((item_id, sequence))
-        self.root = self.automaton.roots(seed)
+            automaton.add(len(self.items), sequence)
+            self.items.append((item_id, array("i", sequence)))
         self.size = len(self.ids)
+        self.automaton = automaton.packed(self.size, seed)
         self.item_pairs = [{a * self.size + b for a, b in zip(s, s[1:])} for _, s in self.items]
         pairs = set().union(*self.item_pairs)
         self.pairs = np.array(sorted(pairs) or [-1], dtype=np.int64)
 
     def candidates(self, sequence: list[int], runs: np.ndarray) -> dict[int, list[list[int]]]:
         """Per item, (start, end) of words all of whose ``seed``-word pieces stand in the item."""
-        seed, root, of = self.seed, self.root, self.automaton.items
+        seed, of = self.seed, self.automaton.items
         spans: dict[int, list[list[int]]] = {}
         for start, end in runs.tolist():
             at = start
             for state, n in self.automaton.run(sequence[start : end + 1]):
                 at += 1
                 if n >= seed:
-                    for item in of[root[state]]:
+                    for item in of(state):
                         own = spans.setdefault(item, [])
                         if own and own[-1][1] == at - 1 and own[-1][0] <= at - seed - 1:
                             own[-1][1] = at
@@ -278,19 +313,21 @@ SPANS = T.StructType(
 _SPAN_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *[(n, pa.int32()) for n in SPANS.names[2:]]])
 
 
-def _groups(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
-    """The test items in groups of bounded size, fetched one partition after another."""
-    group, size = [], 0
-    rows = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
-    for r in rows.orderBy("item_id").toLocalIterator():
-        n = len(r["text"]) // 2 + 1
-        if group and size + n > most:
-            yield group
-            group, size = [], 0
-        group.append((r["item_id"], r["text"]))
-        size += n
-    if group:
-        yield group
+def _matchers(benchmark: DataFrame, least: int, per_edit: int, seed: int, most: int) -> Iterator[Matcher]:
+    """Matchers of all test items, each built in a task of its own and fetched one after another."""
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("bigint"), "text")
+    total = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    groups = max(1, -(-total // (2 * most)))  # a word is two characters at least, with what parts it from the next
+    own = items.repartitionById(groups, F.pmod(F.xxhash64("item_id"), F.lit(groups)).cast("int"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if rows:
+            made = pickle.dumps(Matcher(sorted(rows), least, per_edit, seed), pickle.HIGHEST_PROTOCOL)
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["matcher"])
+
+    for r in own.mapInArrow(build, "matcher binary").toLocalIterator():
+        yield pickle.loads(bytes(r["matcher"]))
 
 
 def leak_spans(
@@ -314,8 +351,8 @@ def leak_spans(
     seed = SEED if (least, per_edit) == (LEAST_WORDS, WORDS_PER_EDIT) else max(2, min(SEED, (least - least // per_edit) // (least // per_edit + 1)))
     slim = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     parts = None
-    for group in _groups(benchmark, automaton_words):
-        matcher = slim.sparkSession.sparkContext.broadcast(Matcher(group, least, per_edit, seed))
+    for made in _matchers(benchmark, least, per_edit, seed, automaton_words):
+        matcher = slim.sparkSession.sparkContext.broadcast(made)
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             m = matcher.value

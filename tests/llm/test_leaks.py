@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
 from termloom.llm import leaks
@@ -89,7 +90,7 @@ def test_automaton_knows_all_pieces():
     auto = leaks.Automaton()
     for i, s in enumerate(sequences):
         auto.add(i, s)
-    roots = auto.roots(4)
+    auto = pickle.loads(pickle.dumps(auto.packed(5, 4)))
     for _ in range(300):
         text = [rng.randrange(5) for _ in range(20)]
         for end, (state, n) in enumerate(auto.run(text), 1):
@@ -97,4 +98,20 @@ def test_automaton_knows_all_pieces():
             assert not n or inside(n)
             assert end == n or not inside(n + 1)
             if n >= 4:
-                assert auto.items[roots[state]] == inside(4)
+                assert set(auto.items(state)) == inside(4)
+
+
+def test_no_passage_is_given_up_early():
+    """Edits in a row are paid for by what comes after them, however many there are."""
+    item = list(range(1, 121))
+    doc = item[:50] + [-1] * 5 + item[55:]
+    assert leaks.passages(doc, item, [(0, 50)], 20, 8, 6) == [(0, 120, 0, 120, 5)]
+    short = item[:10] + [-1, -1] + item[12:22]
+    assert leaks.passages(short, item, [(0, 10)], 20, 8, 6) == [(0, 22, 0, 22, 2)]
+
+
+def test_items_in_several_automata(spark):
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(40)), "en") for k in range(30)]
+    docs = spark.createDataFrame([(k, "before " + items[k][1] + " after") for k in range(30)], "doc_id long, text string")
+    found = leaks.leak_spans(docs, spark.createDataFrame(items, ITEMS), automaton_words=100)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, k) for k in range(30)]
