@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import math
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,12 +26,32 @@ CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's vocabulary parts a text; a fixed value that belongs to the file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Items packed together, fillings looked at for one container, nodes of one exact search, and its items.
-BLOCK, FILLINGS, NODES, TAIL_ITEMS = 8192, 200, 2000, 48
+#: Items packed together.
+BLOCK = 8192
 #: A container waits for the next block if more than this part of it is empty.
 OPEN_PART = 1 / 256
 
 
+@dataclass(frozen=True)
+class Effort:
+    """How far the search goes; None: without limit.
+
+    ``fillings`` looked at for one container, ``sizes`` tried for one place of a filling, ``branches`` and ``nodes`` of
+    the branch and bound, and ``items`` of the worst containers that it is given. With limits a packing can have
+    containers too many, never an item too few; :data:`EXACT` has none, and then the packing of a block has as few
+    containers as there can be, at a cost that grows exponentially with the items.
+    """
+
+    fillings: int | None = 200
+    sizes: int | None = 6
+    branches: int | None = 50
+    nodes: int | None = 2000
+    items: int | None = 48
+
+
+EXACT = Effort(None, None, None, None, None)
+
+
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indices per container: largest item first, into the fullest container that has room."""
     bins: list[list[int]] = []
@@ -69,8 +91,10 @@ class _Stock:
             bisect.insort(self.sorted, size)
 
 
-def fillings(stock: _Stock, room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(waste, sizes) of undominated fillings of a room, least waste first, at most ``most`` looked at.
+def fillings(stock: _Stock, room: int, most: int | None, sizes: int | None) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, sizes) of undominated fillings of a room, least waste first.
+
+    At most ``most`` are looked at, and ``sizes`` for one place.
 
     Items are chosen in falling order, the largest that fits first. A filling to which an item could
     be added is dominated and never made; one in which a chosen item could be exchanged for a larger
@@ -85,7 +109,7 @@ def fillings(stock: _Stock, room: int, most: int) -> list[tuple[int, tuple[int,
         at = bisect.bisect_right(order, min(room, top)) - 1
         used_up = True
         tried = 0
-        while at >= 0 and looked < most:
+        while at >= 0 and (most is None or looked < most):
             size = order[at]
             if chosen.count(size) < stock.count[size]:
                 used_up = False
@@ -93,9 +117,9 @@ def fillings(stock: _Stock, room: int, most: int) -> list[tuple[int, tuple[int,
                 exact = grow(chosen, room - size, size)
                 chosen.pop()
                 tried += 1
-                if exact:
+                if exact and most is not None:
                     return True
-                if tried >= 6:
+                if sizes is not None and tried >= sizes:
                     break
             at -= 1
         if used_up and tried == 0:
@@ -106,38 +130,38 @@ def fillings(stock: _Stock, room: int, most: int) -> list[tuple[int, tuple[int,
 
     grow([], room, room)
     kept = []
-    for sizes, waste in found.items():
+    for chosen, waste in found.items():
         dominated = False
         if waste:
-            for size in set(sizes):
+            for size in set(chosen):
                 at = bisect.bisect_right(order, size)
                 while at < len(order) and order[at] <= size + waste:
-                    if sizes.count(order[at]) < stock.count[order[at]]:
+                    if chosen.count(order[at]) < stock.count[order[at]]:
                         dominated = True
                         break
                     at += 1
                 if dominated:
                     break
         if not dominated:
-            kept.append((waste, sizes))
+            kept.append((waste, chosen))
     return sorted(kept or [(w, s) for s, w in found.items()], key=lambda x: (x[0], [-s for s in x[1]]))
 
 
-def complete(sizes: list[int], capacity: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
+def complete(sizes: list[int], capacity: int, effort: Effort = Effort()) -> list[tuple[int, ...]]:
     """Sizes per container: the largest item each time with its best filling."""
     stock = _Stock(sizes)
     bins = []
     while stock.sorted:
         largest = stock.sorted[-1]
         stock.take(largest)
-        filling = fillings(stock, capacity - largest, most)[0][1] if stock.sorted else ()
+        filling = fillings(stock, capacity - largest, effort.fillings or 200, effort.sizes or 6)[0][1] if stock.sorted else ()
         for s in filling:
             stock.take(s)
         bins.append((largest, *filling))
     return bins
 
 
-def search(sizes: list[int], capacity: int, incumbent: int, nodes: int = NODES) -> list[tuple[int, ...]] | None:
+def search(sizes: list[int], capacity: int, incumbent: int, effort: Effort = Effort()) -> list[tuple[int, ...]] | None:
     """A packing into fewer than ``incumbent`` containers by branch and bound, or None.
 
     Branches over the undominated fillings around the largest item, least waste first. A branch is
@@ -148,7 +172,7 @@ def search(sizes: list[int], capacity: int, incumbent: int, nodes: int = NODES)
     total = sum(sizes)
     least = -(-total // capacity)
     stock = _Stock(sizes)
-    left = nodes
+    left = math.inf if effort.nodes is None else effort.nodes
 
     def descend(bins: list[tuple[int, ...]], waste: int) -> None:
         nonlocal best, incumbent, left
@@ -161,7 +185,7 @@ def search(sizes: list[int], capacity: int, incumbent: int, nodes: int = NODES)
         left -= 1
         largest = stock.sorted[-1]
         stock.take(largest)
-        for unused, filling in fillings(stock, capacity - largest, 50) if stock.sorted else [(0, ())]:
+        for unused, filling in fillings(stock, capacity - largest, effort.branches, effort.sizes) if stock.sorted else [(0, ())]:
             for s in filling:
                 stock.take(s)
             last = not stock.sorted
@@ -177,12 +201,12 @@ def search(sizes: list[int], capacity: int, incumbent: int, nodes: int = NODES)
     return best
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, effort: Effort = Effort()) -> list[list[int]]:
     """Indices per container for items of at most ``capacity``; every item is in one container."""
     least = -(-sum(sizes) // capacity)
     bins = best_fit(sizes, capacity)
     if len(bins) > least:
-        other = complete(sizes, capacity)
+        other = complete(sizes, capacity, effort)
         if len(other) < len(bins):
             bins = _indices(other, sizes)
     if len(bins) > least:
@@ -190,12 +214,12 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
         order = sorted(range(len(bins)), key=lambda b: (fill[b], b))
         tail, n = [], 0
         for b in order:
-            if n + len(bins[b]) > TAIL_ITEMS:
+            if effort.items is not None and n + len(bins[b]) > effort.items:
                 break
             tail.append(b)
             n += len(bins[b])
         own = [i for b in tail for i in bins[b]]
-        better = search([sizes[i] for i in own], capacity, len(tail), nodes)
+        better = search([sizes[i] for i in own], capacity, len(tail), effort)
         if better is not None:
             repacked = _indices(better, [sizes[i] for i in own])
             rest = set(tail)
@@ -235,11 +259,11 @@ def tokenizer(path: str):  # noqa: ANN201
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str = TOKENIZER, block: int = BLOCK) -> DataFrame:
+def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str = TOKENIZER, block: int = BLOCK, effort: Effort = Effort()) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, container): every document in containers of ``capacity`` tokens.
 
     A document is split only if it is larger than a container: into full pieces and one rest.
-    Containers are numbered per task. A task keeps at most ``block`` and an eighth items in memory,
+    Containers are numbered per task. ``effort`` limits the search for better packings. A task keeps at most ``block`` and an eighth items in memory,
     whatever its partition holds, and the texts of one Arrow batch.
 
     Defined results: a null or empty text has one piece of no tokens and no container; repeated
@@ -259,7 +283,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str =
 
         def packing(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal items, number
-            bins = pack([x[3] for x in items], capacity)
+            bins = pack([x[3] for x in items], capacity, effort)
             waste = [capacity - sum(items[i][3] for i in b) for b in bins]
             waiting: list[int] = []
             if not last:

@@ -51,7 +51,7 @@ def test_optimal_on_small_cases():
     rng = random.Random(2)
     for _ in range(60):
         sizes = sorted((rng.randint(5, 60) for _ in range(9)), reverse=True)
-        assert len(packing.pack(sizes, 100, nodes=20_000)) == least(sizes, 100)
+        assert len(packing.pack(sizes, 100, packing.EXACT)) == least(sizes, 100)
 
 
 def test_search_beats_best_fit():
