@@ -149,16 +149,14 @@ def all_combinations(
     return sized.unionByName(coarser.select(label.alias("level"), *keys, "n_distinct", error))
 
 
-def joint_sizes(
-    ka: np.ndarray, kb: np.ndarray, c: np.ndarray, starts: np.ndarray, na: np.ndarray, nb: np.ndarray, m: int, base: float
-) -> np.ndarray:
-    """Maximum-likelihood intersections of many pairs, given the sizes of both sets.
+def log_likelihoods(ka: np.ndarray, kb: np.ndarray, c: np.ndarray, starts: np.ndarray, rates: np.ndarray, base: float) -> np.ndarray:
+    """Log likelihood of the registers of many pairs of sets, given the rates (only a, only b, both) of each.
 
-    ``ka``, ``kb`` and ``c`` hold the pairs of levels (0: empty register) and their counts.
+    A rate is elements per register. ``ka``, ``kb`` and ``c`` hold the pairs of levels (0: empty register) and
+    their counts, pair after pair from ``starts`` on.
     """
-    lengths = np.diff(np.append(starts, len(c)))
-    group = np.repeat(np.arange(len(starts)), lengths)
-    a, b = na / m, nb / m
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+    ra, rb, x = np.maximum(rates, 0.0)[:, group]
 
     def interval(rate: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log P(k is the largest level) of a set with ``rate`` elements per register."""
@@ -166,37 +164,80 @@ def joint_sizes(
         d = np.minimum(-upper * (base - 1), 700)
         return upper + np.where(k == 0, 0.0, np.log(np.maximum(-np.expm1(-d), 1e-300)))
 
-    def likelihood(x: np.ndarray) -> np.ndarray:
-        x, ra, rb = x[group], a[group], b[group]
-        ra, rb = np.maximum(ra - x, 0), np.maximum(rb - x, 0)
-        low = np.minimum(ka, kb)
-        apart = np.where(ka < kb, interval(ra + x, ka) + interval(rb, kb), interval(ra, ka) + interval(rb + x, kb))
-        r = np.power(base, -low.astype(float))
-        s = r * base
-        whole = np.exp(-(ra + rb + x) * r)
-        tied = np.where(
-            low == 0,
-            whole,
-            whole - np.exp(-(ra + x) * s - rb * r) - np.exp(-ra * r - (rb + x) * s) + np.exp(-(ra + rb + x) * s),
-        )
-        each = np.where(ka == kb, np.log(np.maximum(tied, 1e-300)), apart)
-        return np.add.reduceat(c * each, starts)
+    low = np.minimum(ka, kb)
+    apart = np.where(ka < kb, interval(ra + x, ka) + interval(rb, kb), interval(ra, ka) + interval(rb + x, kb))
+    r = np.power(base, -low.astype(float))
+    s = r * base
+    whole = np.exp(-(ra + rb + x) * r)
+    tied = np.where(
+        low == 0,
+        whole,
+        whole - np.exp(-(ra + x) * s - rb * r) - np.exp(-ra * r - (rb + x) * s) + np.exp(-(ra + rb + x) * s),
+    )
+    each = np.where(ka == kb, np.log(np.maximum(tied, 1e-300)), apart)
+    return np.add.reduceat(c * each, starts)
+
 
+def joint_rates(
+    ka: np.ndarray, kb: np.ndarray, c: np.ndarray, starts: np.ndarray, na: np.ndarray, nb: np.ndarray, m: int, base: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rates (only a, only b, both) of many pairs that maximise the likelihood together, and their covariances.
+
+    Starts from the best overlap for the sizes ``na`` and ``nb`` of the sets alone; Newton steps then change all three
+    rates at once, as long as the likelihood grows. The covariance is the inverse of the observed information.
+    """
+    a, b = na / m, nb / m
+    value = lambda rates: log_likelihoods(ka, kb, c, starts, rates, base)
+    split = lambda x: np.stack((a - x, b - x, x))
     low, high = np.zeros(len(starts)), np.minimum(a, b)
     golden = (math.sqrt(5) - 1) / 2
-    for _ in range(45):
+    for _ in range(30):
         left, right = high - golden * (high - low), low + golden * (high - low)
-        better = likelihood(left) > likelihood(right)
+        better = value(split(left)) > value(split(right))
         low, high = np.where(better, low, left), np.where(better, right, high)
-    return (low + high) / 2 * m
-
-
-_PAIR_OUT = [("n_a", T.DoubleType()), ("n_b", T.DoubleType()), ("n_both", T.DoubleType()), ("n_union", T.DoubleType()),
-             ("jaccard", T.DoubleType())]
+    rates = np.maximum(split((low + high) / 2), 0.0)
+    for _ in range(4):
+        slope, curve = derivatives(value, rates)
+        step = np.zeros_like(rates)
+        for g in range(rates.shape[1]):
+            step[:, g] = -np.linalg.lstsq(curve[:, :, g], slope[:, g], rcond=1e-10)[0]
+        now, scale = value(rates), 1.0
+        for _ in range(4):
+            moved = np.maximum(rates + scale * step, 0.0)
+            gained = value(moved) > now
+            rates, now = np.where(gained, moved, rates), np.where(gained, value(moved), now)
+            step = np.where(gained, 0.0, step)
+            scale /= 4
+    _, curve = derivatives(value, rates)
+    covariance = np.stack([np.linalg.pinv(-curve[:, :, g], rcond=1e-10) for g in range(rates.shape[1])], 2) if len(starts) else np.zeros((3, 3, 0))
+    return rates, covariance
+
+
+def derivatives(value, rates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Gradients and Hessians of functions of three rates, by differences around points kept off the border."""
+    h = np.maximum(1e-3 * rates, 1e-6 + 1e-4 * rates.sum(0))
+    at = np.maximum(rates, h)
+    unit = [h * (np.arange(3) == i)[:, None] for i in range(3)]
+    here, up, down = value(at), [value(at + u) for u in unit], [value(at - u) for u in unit]
+    slope = np.stack([(up[i] - down[i]) / (2 * h[i]) for i in range(3)])
+    curve = np.zeros((3, 3, rates.shape[1]))
+    for i in range(3):
+        curve[i, i] = (up[i] - 2 * here + down[i]) / h[i] ** 2
+        for j in range(i):
+            both = value(at + unit[i] + unit[j]) + value(at - unit[i] - unit[j]) - value(at + unit[i] - unit[j]) - value(at - unit[i] + unit[j])
+            curve[i, j] = curve[j, i] = both / (4 * h[i] * h[j])
+    return slope, curve
+
+
+_PAIR_OUT = [(n, T.DoubleType()) for n in ("n_a", "n_b", "n_both", "n_union", "jaccard", "both_error", "union_error", "jaccard_error")]
 
 
 def pair_estimates(pairs: DataFrame, keys: Sequence[str], m: int = M, base: float = BASE) -> DataFrame:
-    """Joint estimates from registers of pairs: (keys, _reg, _ka, _kb), 0 where a set has none."""
+    """Joint estimates from registers of pairs: (keys, _reg, _ka, _kb), 0 where a set has none.
+
+    Sizes, intersection, union and Jaccard similarity come from the three rates that together make the registers
+    likeliest; the errors are standard errors of each row's own values, from the information matrix.
+    """
     cells = pairs.groupBy(*keys, "_ka", "_kb").agg(F.count(F.lit(1)).alias("_c"))
     # at most m entries per pair
     lists = cells.groupBy(*keys).agg(F.collect_list(F.struct("_ka", "_kb", "_c")).alias("_h"))
@@ -224,24 +265,43 @@ def pair_estimates(pairs: DataFrame, keys: Sequence[str], m: int = M, base: floa
             order = np.argsort(np.append(group, np.arange(len(starts))), kind="stable")
             ka, kb, c = ka[order].astype(np.int64), kb[order].astype(np.int64), c[order]
             starts = starts + np.arange(len(starts))
-            na, nb = marginal(ka, c, starts), marginal(kb, c, starts)
-            both = joint_sizes(ka, kb, c, starts, na, nb, m, base)
-            union = na + nb - both
-            numbers = [na, nb, both, union, both / np.maximum(union, 1e-9)]
+            rates, cov = joint_rates(ka, kb, c, starts, marginal(ka, c, starts), marginal(kb, c, starts), m, base)
+            only_a, only_b, both = rates * m
+            union = only_a + only_b + both
+            jaccard = both / np.maximum(union, 1e-9)
+            error = lambda w: np.sqrt(np.maximum(np.einsum("ig,ijg,jg->g", w, cov, w), 0.0)) * m  # noqa: B023, E731
+            one, zero = np.ones(len(starts)), np.zeros(len(starts))
+            slope = np.stack((-jaccard, -jaccard, 1 - jaccard)) / np.maximum(union, 1e-9)
+            numbers = [only_a + both, only_b + both, both, union, jaccard, error(np.stack((zero, zero, one))), error(np.stack((one, one, one))), error(slope)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], *[pa.array(x) for x in numbers]], schema=schema)
 
     return lists.select(*[f.name for f in fields], "_h").mapInArrow(run, out)
 
 
+def overlaps(registers: DataFrame, key: str, pairs: DataFrame, m: int = M, base: float = BASE) -> DataFrame:
+    """Union, intersection and Jaccard similarity of the sets of any pairs of groups, jointly estimated.
+
+    ``registers`` is a sketch by ``key``; ``pairs`` has the columns ``a`` and ``b`` with keys. A key without elements
+    is an empty set; null keys name no group. A set's at most ``m`` registers go to each pair it is in.
+    """
+    asked = pairs.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    none = F.lit(0).cast("smallint")
+    sides = [
+        asked.join(registers.select(F.col(key).alias(side), "_reg", "_k"), side).select(
+            "a", "b", "_reg", F.col("_k").alias("_ka") if side == "a" else none.alias("_ka"), F.col("_k").alias("_kb") if side == "b" else none.alias("_kb")
+        )
+        for side in ("a", "b")
+    ]
+    both = sides[0].unionByName(sides[1]).groupBy("a", "b", "_reg").agg(F.max("_ka").alias("_ka"), F.max("_kb").alias("_kb"))
+    return pair_estimates(both, ["a", "b"], m, base)
+
+
 def day_overlaps(df: DataFrame, day: Column, element: str, m: int = M, base: float = BASE) -> DataFrame:
     """Union, intersection and Jaccard similarity of each day's set with the next day's.
 
     One row per day that has elements or whose next day has; rows without a day do not count.
-    The standard errors of both sizes and the union are ``relative_error`` of them.
     """
     days = sketch(df.select(day.alias("_day"), F.col(element).alias("_e")).where("_day IS NOT NULL"), ["_day"], "_e", m, base)
-    none = F.lit(0).cast("smallint")
-    first = days.select(F.col("_day").alias("day"), "_reg", F.col("_k").alias("_ka"), none.alias("_kb"))
-    second = days.select(F.date_sub("_day", 1).alias("day"), "_reg", none.alias("_ka"), F.col("_k").alias("_kb"))
-    pairs = first.unionByName(second).groupBy("day", "_reg").agg(F.max("_ka").alias("_ka"), F.max("_kb").alias("_kb"))
-    return pair_estimates(pairs, ["day"], m, base).withColumn("rel_error", F.lit(relative_error(m, base)))
+    known = days.select("_day").distinct()
+    pairs = known.select(F.col("_day").alias("a")).union(known.select(F.date_sub("_day", 1).alias("a"))).distinct().withColumn("b", F.date_add("a", 1))
+    return overlaps(days, "_day", pairs, m, base).drop("b").withColumnRenamed("a", "day")

@@ -77,7 +77,30 @@ def test_same_and_disjoint_sets():
     for x, y, want in ((a, a, 20_000), (a, b, 0)):
         ones, starts = np.ones(m), np.array([0])
         size = np.array([20_000.0])
-        assert abs(distinct.joint_sizes(x, y, ones, starts, size, size, m, base)[0] - want) < 900
+        rates, covariance = distinct.joint_rates(x, y, ones, starts, size, size, m, base)
+        assert abs(rates[2, 0] * m - want) < 900 and rates.min() >= 0 and covariance.shape == (3, 3, 1)
+
+
+def test_errors_hold_and_rates_are_joint(spark):
+    """Over many pairs, the truth lies within two stated errors about as often as it should."""
+    rows, truth = [], {}
+    rng = np.random.default_rng(4)
+    for k in range(60):
+        both, only_a, only_b = rng.integers(200, 6000, 3).tolist()
+        truth[2 * k] = (both, both + only_a + only_b)
+        rows += [(2 * k, f"{k}c{i}") for i in range(both)] + [(2 * k + 1, f"{k}c{i}") for i in range(both)]
+        rows += [(2 * k, f"{k}a{i}") for i in range(only_a)] + [(2 * k + 1, f"{k}b{i}") for i in range(only_b)]
+    import pyarrow as pa
+
+    df = spark.createDataFrame(pa.table({"g": [r[0] for r in rows], "s": [r[1] for r in rows]}))
+    registers = distinct.sketch(df, ["g"], "s", 1024)
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(60)] + [(0, 999), (None, 1)], "a long, b long")
+    got = {r["a"]: r for r in distinct.overlaps(registers, "g", pairs, 1024).collect() if r["b"] != 999}
+    assert len(got) == 60
+    within = [abs(got[a]["n_both"] - both) <= 2 * got[a]["both_error"] for a, (both, _) in truth.items()]
+    united = [abs(got[a]["n_union"] - union) <= 2 * got[a]["union_error"] for a, (_, union) in truth.items()]
+    assert sum(within) >= 52 and sum(united) >= 52
+    assert all(r["both_error"] < 0.5 * r["n_a"] and r["jaccard_error"] > 0 for r in got.values())
 
 
 def test_nothing(spark):
