@@ -625,7 +625,7 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
     Every word counts as often as it is said. Empty tables, and no rounds, give a model that finds nothing.
     """
     # few bytes but much work a word: keep the tasks that the session's shuffles are set up for
-    words = cut(_with_readings(distinct_words(texts, column).repartition(parallelism(texts.sparkSession), "word")))
+    words = cut(_with_readings(distinct_words(texts, column).repartition(parallelism(texts.sparkSession))))
     context = texts.sparkSession.sparkContext
     pairs, letters, *_ = _statistics(words, lambda: None)
     if rounds == 0:
