@@ -114,7 +114,31 @@ def uri_resolve(uri: Column, base: Column) -> Column:
         )
 
     both = F.struct(_pieces(uri).alias("r"), _pieces(base).alias("b"))
-    return F.when(uri.isNull() | uri_has_scheme(uri) | ~uri_has_scheme(base), uri).otherwise(_let(both, full))
+    rest = _plain_resolved(uri, base, _let(both, full))
+    return F.when(uri.isNull() | uri_has_scheme(uri) | ~uri_has_scheme(base), uri).otherwise(rest)
+
+
+_ROOT, _LAST = r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/", r"[^/?#]*/$"
+
+
+def _plain_resolved(uri: Column, base: Column, otherwise: Column) -> Column:
+    """A reference resolved by plain pieces of the base, where that has an authority and a path; else ``otherwise``.
+
+    What is frequent stays free of lambdas, which no generated code holds.
+    """
+    piece = lambda pattern: F.regexp_extract(base, pattern, 1)
+    folder = piece(rf"^({_ROOT}(?:[^?#]*/)?)")
+    found = (
+        F.when(uri.startswith("#") | (uri == ""), F.concat(piece(r"^([^#]*)"), uri))
+        .when(uri.rlike(r"^\?[^#]"), F.concat(piece(r"^([^?#]*)"), uri))
+        .when(uri.rlike(r"^/(?!/|\.\.?(?:[/?#]|$))"), F.concat(piece(rf"^({_ROOT[:-1]})/"), uri))
+        .when(uri.rlike(r"^(?!\.\.?(?:[/?#]|$))[^/?#]"), F.concat(folder, uri))
+        .when(uri.rlike(r"^\./(?![./])"), F.concat(folder, F.substr(uri, F.lit(3))))
+    )
+    for n in (1, 2, 3):
+        folder = F.regexp_replace(folder, rf"^({_ROOT}(?:[^?#]*/)?){_LAST}", "$1")
+        found = found.when(uri.rlike(rf"^(?:\.\./){{{n}}}(?![./])"), F.concat(folder, F.substr(uri, F.lit(3 * n + 1))))
+    return F.when(base.rlike("^" + _ROOT), found.otherwise(otherwise)).otherwise(otherwise)
 
 
 def uri_under(uri: Column, folder: str) -> Column:
