@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from termloom.util import cut, parallelism
+from termloom.util import cut, parallelism, spread
 
 #: Pages that a text may have been shown in, and pages that it may really be in.
 SHOWN = (
@@ -702,7 +702,7 @@ def judged(nodes: DataFrame, rounds: int = ROUNDS, odds: float = ODDS) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-    return nodes.select(F.col("node_id").cast("bigint"), "buf").mapInArrow(run, OUT)
+    return spread(nodes.select(F.col("node_id").cast("bigint"), "buf")).mapInArrow(run, OUT)
 
 
 def garbled(nodes: DataFrame) -> DataFrame:

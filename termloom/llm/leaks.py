@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.util import spread
+
 #: Successive words of an item that make a leak, and words per allowed edit.
 LEAST_WORDS, WORDS_PER_EDIT = 20, 8
 #: With at most one edit in eight of 20 or more words, some 6 words in a row are untouched.
@@ -349,7 +351,7 @@ def leak_spans(
     alike are reported each.
     """
     seed = SEED if (least, per_edit) == (LEAST_WORDS, WORDS_PER_EDIT) else max(2, min(SEED, (least - least // per_edit) // (least // per_edit + 1)))
-    slim = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    slim = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text"))
     parts = None
     for made in _matchers(benchmark, least, per_edit, seed, automaton_words):
         matcher = slim.sparkSession.sparkContext.broadcast(made)

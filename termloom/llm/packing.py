@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from termloom.util import spread
+
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer's vocabulary parts a text; a fixed value that belongs to the file.
@@ -270,7 +272,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str =
     rows are packed each; an empty table gives no rows; of items of one size, those read first come
     first.
     """
-    spread = max(1, block // 8)
+    most_waiting = max(1, block // 8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
@@ -288,7 +290,7 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str =
             waiting: list[int] = []
             if not last:
                 for b in sorted(range(len(bins)), key=lambda b: (-waste[b], b)):
-                    if waste[b] <= capacity * OPEN_PART or len(waiting) + len(bins[b]) > spread:
+                    if waste[b] <= capacity * OPEN_PART or len(waiting) + len(bins[b]) > most_waiting:
                         break
                     waiting += bins[b]
             later = set(waiting)
@@ -311,14 +313,14 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, tokenizer_path: str =
                     empty.append((doc_id, 0, 0, 0, None))
                 for piece, first in enumerate(range(0, n, capacity)):
                     items.append((doc_id, piece, first, min(capacity, n - first)))
-                if len(items) >= block + spread:
+                if len(items) >= block + most_waiting:
                     yield from packing(False)
             if empty:
                 yield close(empty)
         if items:
             yield from packing(True)
 
-    return documents.select("doc_id", "text").mapInArrow(run, OUT)
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, OUT)
 
 
 def container_fill(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
