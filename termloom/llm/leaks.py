@@ -189,8 +189,10 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
     """Farthest (item words, doc words) to one side of an exact match, for 0, 1, 2 ... edits.
 
     For each number of edits and each shift between the texts, the farthest place is kept. A place
-    counts if it ends in words alike. ``own`` is the most words that the passage can have on the match's other side
-    and in it: more edits than it and all words on this side could pay for are in no passage.
+    counts if it ends in words alike. ``own`` are the words of the match. A side is followed as long as it has, with the
+    match, half the words an edit that a passage needs: every passage has an exact match from which both of its sides
+    keep to that (of two parts with too many edits between them, the larger pays for half of these at least), and
+    the passage is found from there.
     """
     n, m = (len(item) - j, len(doc) - i) if step > 0 else (j + 1, i + 1)
 
@@ -204,7 +206,7 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
     places = {0: run}
     best = (run, run)
     reaches = [best]
-    while places and len(reaches) <= (own + n) // per_edit:
+    while places and 2 * (own + best[0]) >= per_edit * (len(reaches) - 2):
         after: dict[int, int] = {}
         for d, x in places.items():  # replaced, added in the document, left out
             for shift, to in ((d, x + 1), (d + 1, x), (d - 1, x + 1)):
@@ -222,8 +224,8 @@ def _reaches(doc: Sequence[int], item: Sequence[int], i: int, j: int, step: int,
 
 def _around(doc: Sequence[int], item: Sequence[int], i: int, j: int, n: int, least: int, per_edit: int) -> tuple[int, int, int, int, int] | None:
     """The longest passage that holds the exact match of ``n`` words at ``i`` and ``j``, or None."""
-    right = _reaches(doc, item, i + n, j + n, 1, n + j, per_edit)
-    left = _reaches(doc, item, i - 1, j - 1, -1, len(item) - j, per_edit) if i and j else [(0, 0)]
+    right = _reaches(doc, item, i + n, j + n, 1, n, per_edit)
+    left = _reaches(doc, item, i - 1, j - 1, -1, n, per_edit) if i and j else [(0, 0)]
     best = None
     for e1, (x1, y1) in enumerate(left):
         for e2, (x2, y2) in enumerate(right):

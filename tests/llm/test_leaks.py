@@ -5,6 +5,9 @@ from __future__ import annotations
 import pickle
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from termloom.llm import leaks
 
 DOCS = "doc_id long, text string, item_id int, start int"
@@ -110,6 +113,26 @@ def test_no_passage_is_given_up_early():
     assert leaks.passages(short, item, [(0, 10)], 20, 8, 6) == [(0, 22, 0, 22, 2)]
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 40)), min_size=1, max_size=16), st.integers(0, 15))
+def test_every_passage_has_a_match_to_start_from(runs, lifted):
+    """Runs of words alike with an edit between each two: one run of a seed's words has half the words needed on each side."""
+    edits = len(runs) - 1
+    missing = max(20, 8 * edits) - sum(runs) - edits
+    if missing > 0:
+        runs[lifted % len(runs)] += missing
+
+    def pays(side):
+        total = 0
+        for e, n in enumerate(side):
+            total += n
+            if 2 * total < 8 * (e - 1):
+                return False
+        return True
+
+    assert any(n >= leaks.SEED and pays(runs[k:]) and pays(runs[k::-1]) for k, n in enumerate(runs))
+
+
 def test_items_in_several_automata(spark):
     items = [(k, " ".join(f"w{k}x{j}" for j in range(40)), "en") for k in range(30)]
     docs = spark.createDataFrame([(k, "before " + items[k][1] + " after") for k in range(30)], "doc_id long, text string")
