@@ -357,3 +357,93 @@ def bounded_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("bounded_measures", bounded_measures.__doc__, bounded_measures, _values(_MEASURES, "text, most, n_chars, n_bytes, flags"))
+
+
+_FOLDED = [("ABC", "abc", 1), ("a", "b", 0), ("É", "é", 0), ("", "", 1), ("Turtle", "tURTLE", 1)]
+_RAW = [("61c3a962", "aéb"), ("61ff62", "a�b"), ("c3", "�"), ("", ""), ("f09f9880", "😀")]
+
+
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are the same but for the case of ASCII letters."""
+    return spark.createDataFrame([r[:2] for r in _FOLDED], "a string, b string").select("a", "b", C.same_folded(F.col("a"), F.col("b")).cast("int").alias("same"))
+
+
+_add("folded_texts", folded_texts.__doc__, folded_texts, _values(_FOLDED, "a, b, same"))
+
+
+def repaired_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of bytes, what is no UTF-8 as U+FFFD."""
+    return spark.createDataFrame([(h,) for h, _ in _RAW], "raw string").select("raw", C.valid_utf8(F.unhex("raw")).alias("text"))
+
+
+_add("repaired_bytes", repaired_bytes.__doc__, repaired_bytes, _values(_RAW, "raw, text"))
+
+_FRAMES = [(1, "a\0b\0"), (2, ""), (3, "\0\0c"), (4, "d")]
+
+
+def nul_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of frames parted by NUL; empty ones are dropped."""
+    return chunks.split_frames(spark.createDataFrame(_FRAMES, "id int, text string"), "text")
+
+
+_add("nul_frames", nul_frames.__doc__, nul_frames, _values([(1, "a"), (1, "b"), (3, "c"), (4, "d")], "id, text"))
+
+# The command line: arguments, exit code, what is written, and how many errors are told.
+_S = "<http://a> <http://b> "
+_COMMANDS = [
+    (["-s", _S + "'é' ."], 0, _S + '"é" .\n', 0),
+    (["-a", "-i", "turtle", "-s", _S + "'é' ."], 0, _S + '"\\u00E9" .\n', 0),
+    (["-b", "-s", _S + "1 ."], 0, _S + f'"1"^^<{X}integer> .\n', 0),
+    (["-e", "-s", _S + "<http://c> ."], 0, _S + "<http://c> .\n", 0),
+    (["-c", "k", "-s", "_:kx <http://b> _:y ."], 0, "_:x <http://b> _:y .\n", 0),
+    (["-p", "k", "-s", "_:x <http://b> _:y ."], 0, "_:kx <http://b> _:ky .\n", 0),
+    (["-f", "-i", "turtle", "-o", "turtle", "-s", P + f"<{E}s> e:p e:o ."], 0, P + f"\n<{E}s>\n\te:p e:o .\n", 0),
+    (["-i", "turtle", "-o", "turtle", "-s", P + f"<{E}s> e:p e:o ."], 0, P + "\ne:s\n\te:p e:o .\n", 0),
+    (["-i", "nquads", "-o", "trig", "-s", _S + "<http://c> <http://g> .\n"], 0, "\n<http://g> {\n\t<http://a>\n\t\t<http://b> <http://c> .\n}\n", 0),
+    (["-i", "ntriples", "-s", _S + "<http://c> .\n"], 0, _S + "<http://c> .\n", 0),
+    (["-i", "trig", "-s", "<http://g> { " + _S + "<http://c> }"], 0, _S + "<http://c> <http://g> .\n", 0),
+    (["-l", "-i", "turtle", "-s", _S + "1 .\nwrong\n" + _S + "<http://c> ."], 0, _S + f'"1"^^<{X}integer> .\n' + _S + "<http://c> .\n", 1),
+    (["-i", "turtle", "-s", _S + "<http://c> .\nwrong\n" + _S + "<http://d> ."], 1, _S + "<http://c> .\n", 1),
+    (["-q", "-i", "turtle", "-s", "wrong"], 1, "", 0),
+    (["-r", "http://h/d/", "-i", "turtle", "-o", "turtle", "-s", "<a> <../../b> <http://h/x> .", "http://h/d/e/"], 0, "<a>\n\t<http://h/b> <http://h/x> .\n", 0),
+    (["-i", "turtle", "-s", "<a> <b> <c> .", "http://h/"], 0, "<http://h/a> <http://h/b> <http://h/c> .\n", 0),
+    (["-i", "turtle", "-s", "<a> <http://b> <http://c> ."], 1, "", 1),
+    (["-v"], 0, "termloom ", 0),
+    (["-h"], 0, "usage: te", 0),
+    (["http://remote.example/x.ttl"], 2, "", 1),
+]
+
+
+def command_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command with each of its options; of help and version only how they begin."""
+    rows = spark.createDataFrame([(n, args) for n, (args, *_) in enumerate(_COMMANDS)], "n int, args array<string>")
+
+    def run(parts):  # noqa: ANN001, ANN202
+        import contextlib
+        import io
+
+        import pyarrow as pa
+
+        from termloom.__main__ import main
+
+        for part in parts:
+            done = []
+            for args in part.column("args").to_pylist():
+                out, err = io.TextIOWrapper(io.BytesIO(), "utf-8", newline=""), io.StringIO()
+                with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+                    try:
+                        code = main(args)
+                    except SystemExit as stop:
+                        code = stop.code or 0
+                out.flush()
+                text = out.buffer.getvalue().decode()
+                done.append((code, text[:9] if args[0] in ("-v", "-h") else text, err.getvalue().count("error:")))
+            codes, texts, errors = zip(*done)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("n"), pa.array(codes, pa.int32()), pa.array(texts), pa.array(errors, pa.int32())], names=["n", "code", "text", "errors"]
+            )
+
+    return rows.mapInArrow(run, "n int, code int, text string, errors int")
+
+
+_add("command_runs", command_runs.__doc__, command_runs, _values([(n, c, t, e) for n, (_, c, t, e) in enumerate(_COMMANDS)], "n, code, text, errors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -521,15 +523,16 @@ def trig_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files and streams
 
 
-def _filed(spark: SparkSession, sf_dir: str, syntax: str) -> DataFrame:
-    """The statements written to files of a syntax in the shared folder, and read from there."""
+def _filed(spark: SparkSession, sf_dir: str, syntax: str, source: str | None = None) -> DataFrame:
+    """The statements written to files of a syntax in the shared folder, and read from there by URI and pattern."""
     register(spark)
     events = _events(spark, sf_dir).where(lines.refusal(syntax in ("nquads", "trig")).isNull())
     sorted_rows = events.repartitionByRange(parallelism(spark), "doc", "seq").sortWithinPartitions("doc", "seq")
-    path = shared_folder(spark, f"files-{syntax}")
+    path = shared_folder(spark, f"files-{source or syntax}")
     slim = sorted_rows.select(*[c for c in EVENT.names if c in sorted_rows.columns])
     slim.write.format(syntax).option("fullUris", "true").mode("overwrite").save(path)
-    back = spark.read.format(syntax).option("mode", "FAILFAST").option("expand", "false").load(path)
+    uri = path if ":" in path.partition("/")[0] else f"file://{os.path.abspath(path)}"
+    back = spark.read.format(source or syntax).option("mode", "FAILFAST").option("expand", "false").load(f"{uri}/part-*")
     return back.where("kind = 'statement'")
 
 
@@ -554,3 +557,8 @@ def ntriples_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_EXPANDED_SQL + f"SELECT g_type, graph AS g, {_BACK_SQL} FROM expanded WHERE no_quad IS NULL")
 def nquads_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filed(spark, sf_dir, "nquads").select("g_type", "g", *_BACK)
+
+
+@query(_EXPANDED_SQL + f"SELECT g_type, graph AS g, {_BACK_SQL} FROM expanded WHERE no_quad IS NULL")
+def files_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(spark, sf_dir, "nquads", "rdf").select("g_type", "g", *_BACK)
