@@ -388,7 +388,7 @@ def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str, quads: bool = True, ascii_only: bool = False) -> DataFrame:
-    return _expanded(spark, sf_dir).select("stmt_id", lines.statement_line(quads, ascii_only).alias("line"), lines.refusal(quads).alias("refused"))
+    return _expanded(spark, sf_dir).select("stmt_id", lines.statement_line(quads, ascii_only, True).alias("line"), lines.refusal(quads).alias("refused"))
 
 
 _ALL_SQL = ", ".join(f"{k}, {v}" for k, v in env.TERMS)
@@ -452,7 +452,7 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("URI").alias("p_type"), F.lit("http://data.example/name").alias("p"), F.lit("LITERAL").alias("o_type"),
         F.col("n_name").alias("o"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"),
     )
-    return rows.select("n_nationkey", lines.statement_line(False, typed=False).alias("line"))
+    return rows.select("n_nationkey", lines.statement_line(False).alias("line"))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,10 +68,10 @@ def term_text(kind: Column, value: Column, ascii_only: bool = False) -> Column:
     )
 
 
-def statement_line(quads: bool = True, ascii_only: bool = False, typed: bool = True, **names: str) -> Column:
+def statement_line(quads: bool = True, ascii_only: bool = False, typed: bool = False, **names: str) -> Column:
     """The line of a statement; null for one that cannot be written, such as with an unexpanded name.
 
-    ``typed``: whether there is a column ``o_datatype_type``; datatypes are URIs without it.
+    ``typed``: whether to look at the column ``o_datatype_type``; datatypes are URIs else.
     """
     c = {k: F.col(names.get(k, k)) for k in (
         "flags", "g_type", "g", "s_type", "s", "p_type", "p", "o_type", "o", "o_datatype", "o_lang",
