@@ -69,7 +69,7 @@ START_DAMAGED = 0.05
 #: Least log odds of a cipher before a word is seen: a rare one must not need more than a clear word.
 RAREST = -5.5
 #: Rounds of expectation-maximization, and the round whose residue is deciphered.
-ROUNDS, RESIDUE = 4, 1
+ROUNDS, RESIDUE = 3, 0
 #: Expected words from which on a table is estimated again, log likelihood by which another letter must fit better,
 #: and occurrences of a letter that may stand for another.
 LEARNABLE, BETTER, KNOWN = 3.0, 6.0, 3.0
@@ -83,8 +83,8 @@ LEAST_RESIDUE, WORTH_LETTER, DECIPHER_ROUNDS, STARTS = 30.0, 1.0, 60, 150
 PAGE = 128
 #: Letters of a script at most that is deciphered into; those of larger ones come in groups of bytes.
 LARGEST_SCRIPT = 160
-#: Expected words of a cipher below which it is left out when texts are judged.
-UNASKED = 1e-4
+#: Distinct words with gains at most that are broadcast, at some 300 bytes each; with more, tasks find them out again.
+MOST_GAINS = 200_000
 #: Log odds, per text, from which it counts as garbled.
 ODDS = 0.0
 #: Word ends, which are no letters of any page.
@@ -254,6 +254,9 @@ def odd_words(words: Sequence[str]) -> np.ndarray:
 _SCRIPTS = script(np.arange(LETTERS)).astype(np.int16)
 
 
+_NONE: dict[int, float] = {}
+
+
 class Model:
     """Bigrams of letters, weights of ciphers and the letter tables of those that have one."""
 
@@ -320,8 +323,8 @@ class Model:
         found.append((np.array(index, np.int64)[keep], gains[keep], [texts[i] for i in keep]))
         return found
 
-    def gains(self, words: Sequence[str]) -> None:
-        """Remember, of words not seen before, the ciphers whose readings gain."""
+    def gains(self, words: Sequence[str], wide: dict[str, dict[str, list[int]]] | None = None) -> None:
+        """Remember, of words not seen before, the ciphers whose readings gain; ``wide``: their wide readings, if known."""
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
             return
@@ -330,7 +333,7 @@ class Model:
             new = list(dict.fromkeys(words))
         for w in new:
             self.memo[w] = {}
-        for index, gain, what in self.weigh(new):
+        for index, gain, what in self.weigh(new, None if wide is None else [wide[w] for w in new]):
             if isinstance(what, int):
                 for n, g in zip(index.tolist(), gain.tolist()):
                     if g > 0:
@@ -339,7 +342,7 @@ class Model:
                 for n, g, (_, ciphers) in zip(index.tolist(), gain.tolist(), what):
                     if g > 0:
                         own = self.memo[new[n]]
-                        for k in ciphers:
+                        for k in self.active.intersection(ciphers):
                             own[k] = max(g, own.get(k, 0.0))
 
     def judge(self, text: str) -> tuple[int, float]:
@@ -347,7 +350,7 @@ class Model:
         total: dict[int, float] = {}
         for word in split(text):
             if not word.isascii():
-                for k, gain in self.memo[word].items():
+                for k, gain in self.memo.get(word, _NONE).items():
                     if gain > CHANGED and k in self.weights:
                         total[k] = total.get(k, 0.0) + gain - CHANGED
         if not total:
@@ -361,7 +364,7 @@ class Model:
         table = self.tables.get(cipher)
         out = []
         for part in _PARTS.split(text):
-            if part.isascii() or self.memo[part].get(cipher, 0.0) <= 0:
+            if part.isascii() or self.memo.get(part, _NONE).get(cipher, 0.0) <= 0:
                 out.append(part)
             else:
                 out.append(part.translate(table) if table is not None else reading(part, *PAIRS[cipher]) or part)
@@ -620,7 +623,7 @@ def decipher(model: Model, shown: dict[int, float], plain: bool, seed: int = 1)
 
 
 def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
-    """The model of all texts, by expectation-maximization over their distinct words.
+    """The model of all texts, by expectation-maximization over their distinct words; and these with their readings.
 
     Every word counts as often as it is said. Empty tables, and no rounds, give a model that finds nothing.
     """
@@ -629,7 +632,7 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
     context = texts.sparkSession.sparkContext
     pairs, letters, *_ = _statistics(words, lambda: None)
     if rounds == 0:
-        return context.broadcast((pairs, letters, {}, {}))
+        return context.broadcast((pairs, letters, {}, {})), words
     odds = max(math.log(START_DAMAGED / len(PAIRS) / (1 - START_DAMAGED)), RAREST)
     weights = dict.fromkeys(range(len(PAIRS)), odds)
     tables = {k: substitution(k) for k in NARROW}
@@ -648,9 +651,33 @@ def learn(texts: DataFrame, column: str, rounds: int = ROUNDS):  # noqa: ANN201
                 ends = sum(x for slot, x in rest.items() if slot >> 16 == EDGE)
                 if k not in tables and ends >= LEAST_RESIDUE and (table := decipher(known, rest, "plain" in name)):
                     tables[k], weights[k] = table, max(math.log(ends / stands), RAREST)
-    # every distinct word was weighed: a cipher that none of them asked for, not even faintly, gains in no text
-    weights = {k: w for k, w in weights.items() if k >= len(PAIRS) or ciphers[len(CIPHERS) + 1 + k] > UNASKED}
-    return context.broadcast((pairs, letters, weights, {k: t for k, t in tables.items() if k in weights}))
+    return context.broadcast((pairs, letters, weights, tables)), words
+
+
+_GAINS = T.StructType([T.StructField("word", T.StringType()), T.StructField("ciphers", T.ArrayType(T.IntegerType())), T.StructField("gains", T.ArrayType(T.DoubleType()))])
+_GAINS_ARROW = to_arrow_schema(_GAINS)
+
+
+def known_gains(words: DataFrame, learned) -> dict[str, dict[int, float]] | None:  # noqa: ANN001
+    """Gains of all distinct words that have any, if these are at most ``MOST_GAINS``; else None.
+
+    They are what every task would find out for its own words again; so many fit a broadcast.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*learned.value)
+        for batch in batches:
+            own = [(w, dict(zip(x, y))) for w, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)]) if not w.isascii()]
+            model.gains([w for w, _ in own], dict(own))
+            found = [(w, model.memo[w]) for w, _ in own if model.memo[w]]
+            columns = zip(*[(w, list(g), list(g.values())) for w, g in found]) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GAINS_ARROW)], schema=_GAINS_ARROW)
+
+    found = cut(words.mapInArrow(run, _GAINS))
+    if found.count() > MOST_GAINS:
+        return None
+    rows = found.toArrow()
+    return {w: dict(zip(k, g)) for w, k, g in zip(*[rows.column(i).to_pylist() for i in range(3)])}
 
 
 OUT = T.StructType(
@@ -680,13 +707,18 @@ def judged(nodes: DataFrame, rounds: int = ROUNDS, odds: float = ODDS) -> DataFr
     Defined results: null and empty texts are not garbled; repeated rows are judged each; an empty
     table gives no rows; very long texts are judged whole.
     """
-    learned = learn(nodes, "buf", rounds)
+    learned, words = learn(nodes, "buf", rounds)
+    gains = known_gains(words, learned)
+    told = None if gains is None else nodes.sparkSession.sparkContext.broadcast(gains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*learned.value)
+        if told is not None:
+            model.memo = told.value
         for batch in batches:
             rows, texts = [], batch.column(1).to_pylist()
-            model.gains([w for t in texts if t and not t.isascii() for w in split(t) if not w.isascii()])
+            if told is None:
+                model.gains([w for t in texts if t and not t.isascii() for w in split(t) if not w.isascii()])
             for node_id, text in zip(batch.column(0).to_pylist(), texts):
                 if not text or text.isascii():
                     rows.append((node_id, False, None, None, 0.0, None))
