@@ -152,43 +152,37 @@ def substitution(cipher: int) -> dict[int, str]:
     return table
 
 
-def wide_readings(word: str, active: frozenset[int] | None = None) -> dict[str, list[int]]:
-    """Readings of a word under ciphers that are no letter tables, with the ciphers that give them.
+def wide_readings(word: str) -> list[tuple[str, int]]:
+    """Readings of a word under ciphers that are no letter tables, each with a code for the ciphers that give it.
 
-    ``active`` names the ciphers asked for. A reading that is lost for the better half is none.
+    A reading that is lost for the better half is none.
     """
-    raws: dict[bytes, list[int]] = {}
-    for s, reals in _WIDE_PAIRS if active is None else _asked(active):
-        raw = to_bytes(word, SHOWN[s])
+    raws: dict[bytes, int] = {}
+    for s, page in enumerate(SHOWN):
+        raw = to_bytes(word, page)
         if raw is not None:
-            raws.setdefault(raw, []).append((s, reals))
-    found: dict[str, list[int]] = {}
+            raws[raw] = raws.get(raw, 0) | 1 << s
+    found = []
     for raw, pages in raws.items():
-        leads = None
+        leads = bool(_LEADS.search(raw))
         for r, real in enumerate(REAL):
-            own = [_INDEX[s, r] for s, reals in pages if r in reals]
-            if not own:
-                continue
-            if real.startswith("utf-8"):
-                leads = bool(_LEADS.search(raw)) if leads is None else leads
-                if not leads:
-                    continue
-            text = to_text(raw, real)
-            if text is not None and text != word and 2 * text.count("�") < len(text):
-                found.setdefault(text, []).extend(own)
+            own = pages & _WIDE_PAGES[r]
+            if own and (leads or not real.startswith("utf-8")):
+                text = to_text(raw, real)
+                if text is not None and text != word and 2 * text.count("�") < len(text):
+                    found.append((text, r << len(SHOWN) | own))
     return found
 
 
 @functools.cache
-def _asked(active: frozenset[int]) -> list[tuple[int, set[int]]]:
-    pages = [(s, {r for r in reals if _INDEX[s, r] in active}) for s, reals in _WIDE_PAIRS]
-    return [(s, reals) for s, reals in pages if reals]
+def ciphers_of(code: int) -> list[int]:
+    """The ciphers that a code of :func:`wide_readings` stands for."""
+    return [_INDEX[s, code >> len(SHOWN)] for s in range(len(SHOWN)) if code >> s & 1]
 
 
 _INDEX = {(SHOWN.index(x), REAL.index(y)): k for k, (x, y) in enumerate(PAIRS)}
-_WIDE_PAIRS = [
-    (s, {r for r, real in enumerate(REAL) if real != page and (real in WIDE or page in WIDE)}) for s, page in enumerate(SHOWN)
-]
+#: For each real page, the shown ones (as bits) with which it makes no letter table.
+_WIDE_PAGES = [sum(1 << s for s, page in enumerate(SHOWN) if page != real and (real in WIDE or page in WIDE)) for real in REAL]
 
 
 # Words as arrays of letters
@@ -284,7 +278,7 @@ class Model:
         a, c, starts = codes(words)
         return np.add.reduceat(self.bigram(a, c), starts)
 
-    def weigh(self, words: Sequence[str], wide: Sequence[dict[str, list[int]]] | None = None) -> list[tuple[np.ndarray, np.ndarray, int | list[tuple[str, list[int]]]]]:
+    def weigh(self, words: Sequence[str], wide: Sequence[list[tuple[str, int]]] | None = None) -> list[tuple[np.ndarray, np.ndarray, int | list[tuple[str, int]]]]:
         """Gains of readings over the words as they stand: (indices of words, gains, cipher), for all of a letter table
         at once, and at the end the wide readings one by one with their ciphers. ``wide``: those readings, if known."""
         a, c, starts = codes(words, False)
@@ -313,17 +307,16 @@ class Model:
                 found.append((hit, gain[hit], k))
         index, texts = [], []
         if wide is None:
-            wide = (wide_readings(w, self.active) for w in words)
+            wide = map(wide_readings, words)
         for n, readings in enumerate(wide):
-            for text, ciphers in readings.items():
-                index.append(n)
-                texts.append((text, ciphers))
+            index += [n] * len(readings)
+            texts += readings
         gains = self.scores([t for t, _ in texts]) - own[index] if texts else np.zeros(0)
         keep = np.flatnonzero(gains > WORTH)
         found.append((np.array(index, np.int64)[keep], gains[keep], [texts[i] for i in keep]))
         return found
 
-    def gains(self, words: Sequence[str], wide: dict[str, dict[str, list[int]]] | None = None) -> None:
+    def gains(self, words: Sequence[str], wide: dict[str, list[tuple[str, int]]] | None = None) -> None:
         """Remember, of words not seen before, the ciphers whose readings gain; ``wide``: their wide readings, if known."""
         new = [w for w in dict.fromkeys(words) if w not in self.memo]
         if not new:
@@ -339,10 +332,10 @@ class Model:
                     if g > 0:
                         self.memo[new[n]][what] = g
             else:
-                for n, g, (_, ciphers) in zip(index.tolist(), gain.tolist(), what):
+                for n, g, (_, code) in zip(index.tolist(), gain.tolist(), what):
                     if g > 0:
                         own = self.memo[new[n]]
-                        for k in self.active.intersection(ciphers):
+                        for k in self.active.intersection(ciphers_of(code)):
                             own[k] = max(g, own.get(k, 0.0))
 
     def judge(self, text: str) -> tuple[int, float]:
@@ -387,7 +380,7 @@ def distinct_words(texts: DataFrame, column: str) -> DataFrame:
 
 
 _READ = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("texts", T.ArrayType(T.StringType())),
-                      T.StructField("ciphers", T.ArrayType(T.ArrayType(T.IntegerType())))])
+                      T.StructField("ciphers", T.ArrayType(T.LongType()))])
 _READ_ARROW = to_arrow_schema(_READ)
 
 
@@ -396,8 +389,8 @@ def _with_readings(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [{} if w.isascii() else wide_readings(w) for w in batch.column(0).to_pylist()]
-            columns = [*batch.columns, pa.array([list(f) for f in found], _READ_ARROW.types[2]), pa.array([list(f.values()) for f in found], _READ_ARROW.types[3])]
+            found = [[] if w.isascii() else wide_readings(w) for w in batch.column(0).to_pylist()]
+            columns = [*batch.columns, *[pa.array([[x[i] for x in f] for f in found], _READ_ARROW.types[2 + i]) for i in range(2)]]
             yield pa.RecordBatch.from_arrays(columns, schema=_READ_ARROW)
 
     return words.mapInArrow(run, _READ)
@@ -445,7 +438,7 @@ class _Counts:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int64)), pa.array(x[at : at + 20_000])], schema=_STAT_ARROW)
 
 
-def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts: _Counts, wide: Sequence[dict[str, list[int]]] | None = None) -> None:
+def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts: _Counts, wide: Sequence[list[tuple[str, int]]] | None = None) -> None:
     """Add the expected counts of distinct words, which are said ``n`` times each; ``wide``: their wide readings."""
     plain = np.array([model is None or w.isascii() for w in words], bool)
     counts.letters_of([w for w, p in zip(words, plain) if p], n[plain])
@@ -462,15 +455,19 @@ def expectation(words: Sequence[str], n: np.ndarray, model: Model | None, counts
         if isinstance(what, int):
             index.append(i), gain.append(g), which.append(np.full(len(i), what)), source.append(np.full(len(i), -1)), length.append(size[i])
         else:
-            for j, (text, ciphers) in enumerate(what):
-                ks = [k for k in ciphers if k in model.weights]
-                one = np.ones(len(ks))
-                index.append(one * i[j]), gain.append(one * g[j]), which.append(np.array(ks, int)), source.append(one * j), length.append(one * (len(text) + 1))
+            many = [ciphers_of(code) for _, code in what]
+            times = np.fromiter(map(len, many), np.int64, len(many))
+            which.append(np.fromiter((k for ks in many for k in ks), np.int64, int(times.sum())))
+            sizes = np.fromiter((len(text) + 1 for text, _ in what), np.float64, len(what))
+            for rows, values in ((index, i), (gain, g), (source, np.arange(len(what))), (length, sizes)):
+                rows.append(np.repeat(values, times))
             texts = what
     index, which, source = (np.concatenate(x).astype(int) for x in (index, which, source))
     # readings that no language would write are counted nowhere: they would come to vouch for themselves
     gain = np.concatenate(gain)
-    prior = np.array([model.weights[k] for k in which.tolist()])
+    weight = np.full(len(CIPHERS), -np.inf)
+    weight[list(model.weights)] = list(model.weights.values())
+    prior = weight[which]
     np.add.at(counts.ciphers, len(CIPHERS) + 1 + which, n[index] / (1.0 + np.exp(-np.clip(gain + prior, -50.0, 50.0))))
     written = own[index] + gain >= WRITTEN * np.concatenate(length)
     index, which, source = index[written], which[written], source[written]
@@ -510,7 +507,7 @@ def _statistics(words: DataFrame, model_of) -> tuple[np.ndarray, np.ndarray, np.
         for batch in batches:
             if batch.num_rows:
                 texts, ciphers = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                wide = [dict(zip(x, y)) for x, y in zip(texts, ciphers)]
+                wide = [list(zip(x, y)) for x, y in zip(texts, ciphers)]
                 expectation(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), model, counts, wide)
         yield from counts.batches()
 
@@ -667,7 +664,7 @@ def known_gains(words: DataFrame, learned) -> dict[str, dict[int, float]] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*learned.value)
         for batch in batches:
-            own = [(w, dict(zip(x, y))) for w, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)]) if not w.isascii()]
+            own = [(w, list(zip(x, y))) for w, x, y in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)]) if not w.isascii()]
             model.gains([w for w, _ in own], dict(own))
             found = [(w, model.memo[w]) for w, _ in own if model.memo[w]]
             columns = zip(*[(w, list(g), list(g.values())) for w, g in found]) if found else ([], [], [])
