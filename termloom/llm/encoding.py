@@ -260,6 +260,15 @@ class Model:
         self.alone = (letters + UNSEEN) / self.total
         self.log_alone, self.log_letters = ALONE * np.log(self.alone), np.log(letters + BACKOFF)
         self.active = frozenset(weights)
+        # what each table makes of every letter that any of them knows: -1 where it has none, and the letter as it is
+        self.narrow, known = list(tables), sorted(set().union(*tables.values()))
+        self.known = np.array(known, np.int64)
+        self.images = np.full((len(tables), len(known)), -1, np.int32)
+        self.changes = np.zeros((len(tables), len(known)), bool)
+        at = {x: i for i, x in enumerate(known)}
+        for n, table in enumerate(tables.values()):
+            for x, r in table.items():
+                self.images[n, at[x]], self.changes[n, at[x]] = _lower(r), ord(r[0]) != x
         self.memo: dict[str, dict[int, float]] = {}
 
     def bigram(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -289,15 +298,16 @@ class Model:
         plain = np.array([_lower(chr(x)) for x in chars.tolist()], np.int64)
         own = np.add.reduceat(self.bigram(plain[before], plain[after])[inverse], starts)
         found = []
-        high = [(i, int(x)) for i, x in enumerate(chars.tolist()) if 0x80 <= x < EDGE]
-        for k, table in self.tables.items():
-            image, changes = plain.copy(), np.zeros(len(chars), bool)
-            for i, x in high:
-                r = table.get(x)
-                image[i] = -1 if r is None else _lower(r)
-                changes[i] = r is not None and ord(r[0]) != x
+        high = (chars >= 0x80) & (chars < EDGE)
+        at = np.minimum(np.searchsorted(self.known, chars), max(len(self.known) - 1, 0))
+        told = high & (self.known[at] == chars) if len(self.known) else np.zeros(len(chars), bool)
+        for n, k in enumerate(self.narrow):
+            changes = np.zeros(len(chars), bool)
+            changes[told] = self.changes[n, at[told]]
             if not changes.any():
                 continue
+            image = np.where(high, -1, plain)
+            image[told] = self.images[n, at[told]]
             ta, tc = image[before], image[after]
             value = np.where((ta < 0) | (tc < 0), -1e6, self.bigram(np.maximum(ta, 0), np.maximum(tc, 0)))
             gain = np.add.reduceat(value[inverse], starts) - own
