@@ -211,10 +211,7 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 def _drained_rows(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """The rows of a stream that is run until nothing is left."""
-    import uuid
-
-    run = f"{name}-{uuid.uuid4().hex[:8]}"
-    out, state = shared_folder(spark, run), shared_folder(spark, f"{run}-state")
+    out, state = shared_folder(spark, name), shared_folder(spark, f"{name}-state")
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

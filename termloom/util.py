@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A place of this session for files in the shared folder."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}"
+    """A new place of this session for files in the shared folder; no two calls share one."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
